@@ -168,9 +168,8 @@ def chart_pages(
         F.array_sort(F.collect_list(F.struct("__rank", *fields))).alias("__points")
     )
     names = {"date": "labels", "price": "prices", "volume": "volumes", "finalPrediction": "predictions"}
-    return grouped.select(
-        "symbol", "page", *[F.transform("__points", lambda p, f=f: p[f]).alias(n) for f, n in names.items()]
-    )
+    # a field of an array of structs is the array of that field
+    return grouped.select("symbol", "page", *[F.col("__points")[f].alias(n) for f, n in names.items()])
 
 
 def sentiment_gauges(records: DataFrame, ts: str = "timestamp", ties: Sequence[str] = ()) -> DataFrame:

@@ -1,4 +1,11 @@
 """All registered queries."""
 
-from marketlens.plans import news_queries, tick_queries  # noqa: F401
+from marketlens.plans import (  # noqa: F401
+    ingest_queries,
+    model_queries,
+    news_queries,
+    serving_queries,
+    stream_queries,
+    tick_queries,
+)
 from marketlens.plans.catalog import QUERIES, TWINS  # noqa: F401
