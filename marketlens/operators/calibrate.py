@@ -11,11 +11,11 @@ _FLAT = 1e-12
 def minmax_scaled(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add the column scaled to [0, 1]; a constant column stays as it is.
 
-    The two bounds enter as scalar subqueries, so rows are neither shuffled
-    nor joined.
+    The bounds enter as a scalar subquery, so rows are neither shuffled nor
+    joined.
     """
-    bounds = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    bounds = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     x = F.col(column)
     return df.withColumn(name, F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(x))
 

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketlens.operators.segments import (
+    COPIES,
     OWN,
     ROWS_PER_SEGMENT,
     SEGMENT,
     Segmented,
+    collapse_copies,
+    copy_order,
+    expand_copies,
     split_large_keys,
     with_preceding_rows,
 )
@@ -66,7 +70,12 @@ def add_features(
     All features share one window, so one exchange and one sort.
     """
     seg = split_large_keys(bars, ["symbol"], [ts, *ties], rows_per_segment)
-    return _over_segments(seg, names, ts, bars.columns)
+    if not seg.crowded:
+        return _over_segments(seg, names, ts, bars.columns)
+    # copies after the sixth see only copies, so they have the sixth one's features
+    few = collapse_copies(bars, kept=ROWS_BACK + 1)
+    seg = split_large_keys(few, ["symbol"], copy_order(bars, [ts, *ties]), rows_per_segment)
+    return expand_copies(_over_segments(seg, names, ts, few.columns))
 
 
 def _over_segments(
@@ -110,7 +119,18 @@ def next_price_label(
     The features contain the price itself (``price_lag1 + price_change``), so
     a model of ``price`` only repeats its input. This label is for forecasts.
     """
+    columns = bars.columns
     seg = split_large_keys(bars, ["symbol"], [ts, *ties], rows_per_segment)
+    if seg.crowded:
+        # all copies but the last are followed by a copy
+        bars = collapse_copies(bars, kept=2, rest_on_first=True)
+        order = copy_order(bars.select(*columns), [ts, *ties])
+        seg = split_large_keys(bars, ["symbol"], order, rows_per_segment)
+    labelled = _with_next_price(seg, bars.columns, name)
+    return expand_copies(labelled) if COPIES in bars.columns else labelled
+
+
+def _with_next_price(seg: Segmented, keep: Sequence[str], name: str) -> DataFrame:
     within = F.lead("price", 1).over(seg.window())
     if not seg.split:
         return seg.frame.withColumn(name, within).drop(SEGMENT)
@@ -133,7 +153,7 @@ def next_price_label(
         seg.frame.withColumn("__within", within)
         .withColumn("__is_last", last)
         .join(F.broadcast(nexts), F.col(SEGMENT) == F.col("__of"), "left")
-        .select(*bars.columns, F.when(F.col("__is_last"), F.col("__next")).otherwise(F.col("__within")).alias(name))
+        .select(*keep, F.when(F.col("__is_last"), F.col("__next")).otherwise(F.col("__within")).alias(name))
     )
 
 

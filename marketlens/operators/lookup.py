@@ -16,11 +16,18 @@ _measured: list[DataFrame] = []
 
 
 def release_measured() -> None:
-    """Free the tables that :func:`lookup_join` measured so far."""
+    """Free the frames that :func:`lookup_join` and :func:`hold` keep."""
     while _measured:
         _measured.pop().unpersist()
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Persist a frame that a query reads more than once, until :func:`release_measured`."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _measured.append(held)
+    return held
+
+
 def _width(df: DataFrame) -> Column:
     """An upper estimate of a row's size in bytes."""
     parts = [
@@ -46,7 +53,6 @@ def lookup_join(
     broadcast. Beyond them both sides are shuffled on the key and adaptive
     execution cuts partitions that a large key makes too big.
     """
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    _measured.append(table)
+    table = hold(table)
     side = F.broadcast(table) if is_small(table, max_rows) else table
     return big.join(side, list(on), how)

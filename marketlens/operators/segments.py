@@ -7,6 +7,10 @@ before a segment are copied into it, so results equal those of the plain
 window. Keys below the limit stay whole; without a large key the plan is the
 plain window: one exchange, one sort.
 
+Rows that the order columns do not tell apart cannot be cut. Where such copies
+exceed the limit, they are first counted (map tasks combine them), a few stand
+for all in the window, and the result is repeated by the count.
+
 Finding the large keys costs one aggregation over the key and order columns.
 What reaches the driver is one row per over-full key or segment, and
 ``MAX_SEGMENTS`` bounds their number whatever the data size.
@@ -24,13 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_SEGMENT = 4_000_000
-MAX_SEGMENTS = 20_000
+MAX_SEGMENTS = 200_000
 MAX_LEVELS = 8
 
 SEGMENT = "__segment"
 OWN = "__own"
-# stands for a null position: nulls sort first, and no timestamp is that old
-_BEFORE_ALL = -(10**17)
+COPY = "__copy"
+COPIES = "__copies"
+# bounds of positions; nulls take the lower one (they sort first), NaN the upper one
+_LOWEST, _HIGHEST = -1e300, 1e300
 
 
 @dataclass(frozen=True)
@@ -41,25 +47,30 @@ class Segmented:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     split: bool
+    crowded: bool = False  # some rows beyond the limit share all order columns
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys, SEGMENT).orderBy(*self.order)
 
 
 def _positions(df: DataFrame, order: Sequence[str]) -> list[Column]:
-    """The leading order columns as whole numbers, as far as they have such a form."""
+    """The leading order columns as doubles that keep their order, as far as they have such a form.
+
+    Values that a double does not tell apart stay in one segment.
+    """
     found = []
     for name in order:
         kind = df.schema[name].dataType
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             number = F.unix_micros(F.col(name).cast("timestamp"))
         elif isinstance(kind, T.DateType):
-            number = F.unix_date(name).cast("long")
-        elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            number = F.col(name).cast("long")
+            number = F.unix_date(name)
+        elif isinstance(kind, (T.NumericType, T.BooleanType)):
+            number = F.col(name)
         else:
             break
-        found.append(F.coalesce(number, F.lit(_BEFORE_ALL)))
+        placed = F.coalesce(number.cast("double"), F.lit(_LOWEST))
+        found.append(F.greatest(F.least(placed, F.lit(_HIGHEST)), F.lit(_LOWEST)))
     return found
 
 
@@ -94,17 +105,17 @@ def split_large_keys(
     full = extent.filter(F.col("rows") > limit).collect()
     extent.unpersist()
 
-    next_id, split = 1, False
+    next_id, split, crowded = 1, False, False
     for _ in range(MAX_LEVELS):
         cuts, first_id = [], next_id
         for row in full:
-            axis = next((i for i in range(len(positions)) if row[f"hi{i}"] > row[f"lo{i}"]), None)
+            parts = math.ceil(2 * row["rows"] / limit)
+            widths = [(row[f"hi{i}"] - row[f"lo{i}"]) / parts for i in range(len(positions))]
+            axis = next((i for i, w in enumerate(widths) if w > 0), None)
             if axis is None:
-                continue  # rows that no order column tells apart
-            span = row[f"hi{axis}"] - row[f"lo{axis}"] + 1
-            parts = min(math.ceil(2 * row["rows"] / limit), span)
-            segment = row[SEGMENT] if split else 0
-            width = -(-span // parts)
+                crowded = True
+                continue
+            segment, width = row[SEGMENT] if split else 0, widths[axis]
             cuts.append((*(row[k] for k in keys), segment, axis, row[f"lo{axis}"], width, next_id))
             next_id += parts + 1
         if not cuts:
@@ -115,7 +126,30 @@ def split_large_keys(
         full = _extent(fresh, [*keys, SEGMENT], positions).filter(F.col("rows") > limit).collect()
         if not full:
             break
-    return Segmented(frame, keys, order, split)
+    return Segmented(frame, keys, order, split, crowded)
+
+
+def collapse_copies(df: DataFrame, kept: int = 1, rest_on_first: bool = False) -> DataFrame:
+    """Up to ``kept`` numbered rows for all copies of a row, with the count each stands for.
+
+    The last of them, or the first, stands for the copies beyond ``kept``.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    shown = F.least(F.col("__n"), F.lit(kept).cast("long"))
+    numbered = counted.withColumn("__shown", shown).withColumn(COPY, F.explode(F.sequence(F.lit(1).cast("long"), shown)))
+    taker = F.lit(1) if rest_on_first else F.col("__shown")
+    copies = F.when(F.col(COPY) == taker, F.col("__n") - F.col("__shown") + 1).otherwise(F.lit(1))
+    return numbered.withColumn(COPIES, copies.cast("long")).drop("__n", "__shown")
+
+
+def copy_order(df: DataFrame, order: Sequence[str]) -> list[str]:
+    """An order that keeps copies next to each other."""
+    return [*order, *[c for c in df.columns if c not in order], COPY]
+
+
+def expand_copies(df: DataFrame) -> DataFrame:
+    repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col(COPIES)))
+    return df.withColumn("__repeat", repeat).drop("__repeat", COPY, COPIES)
 
 
 def _cut(frame: DataFrame, keys, positions, cuts, schema) -> DataFrame:
@@ -124,8 +158,8 @@ def _cut(frame: DataFrame, keys, positions, cuts, schema) -> DataFrame:
         + [
             T.StructField("__from", T.LongType()),
             T.StructField("__axis", T.IntegerType()),
-            T.StructField("__low", T.LongType()),
-            T.StructField("__width", T.LongType()),
+            T.StructField("__low", T.DoubleType()),
+            T.StructField("__width", T.DoubleType()),
             T.StructField("__base", T.LongType()),
         ]
     )
@@ -133,10 +167,9 @@ def _cut(frame: DataFrame, keys, positions, cuts, schema) -> DataFrame:
     same_key = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
     match = reduce(Column.__and__, [*same_key, F.col(SEGMENT) == F.col("__from")])
     along = F.coalesce(*[F.when(F.col("__axis") == i, p) for i, p in enumerate(positions)])
-    # at most MAX_SEGMENTS rows: each stands for more than total / MAX_SEGMENTS rows
+    # each row stands for more than total / MAX_SEGMENTS rows, so there are fewer than MAX_SEGMENTS
     joined = frame.join(F.broadcast(table), match, "left")
-    # doubles keep the order and cannot overflow; equal doubles stay together
-    steps = F.floor((along.cast("double") - F.col("__low")) / F.col("__width"))
+    steps = F.floor((along - F.col("__low")) / F.col("__width"))
     moved = F.col("__base") + steps.cast("long")
     return joined.withColumn(SEGMENT, F.coalesce(moved, F.col(SEGMENT))).drop(*table_schema.fieldNames())
 
@@ -185,21 +218,35 @@ def number_rows(
     rows_per_segment: int = ROWS_PER_SEGMENT,
 ) -> DataFrame:
     """Add the position of each row within its key (from 1) and the key's row count."""
+    columns = df.columns
     seg = split_large_keys(df, keys, order, rows_per_segment)
-    within = Window.partitionBy(*seg.keys, SEGMENT)
+    if seg.crowded:
+        df = collapse_copies(df)
+        seg = split_large_keys(df, keys, copy_order(df.select(*columns), order), rows_per_segment)
+    # a row's rank is that of the last copy it stands for
+    weight = F.col(COPIES) if COPIES in df.columns else F.lit(1).cast("long")
+    upto = seg.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = seg.frame.select(
         "*",
-        F.row_number().over(seg.window()).cast("long").alias(rank),
-        F.count(F.lit(1)).over(within).alias(size),
+        F.sum(weight).over(upto).alias(rank),
+        F.sum(weight).over(Window.partitionBy(*seg.keys, SEGMENT)).alias(size),
     )
-    if not seg.split:
-        return numbered.drop(SEGMENT)
+    if seg.split:
+        numbered = _with_offsets(seg, numbered, weight, rank, size)
+    if COPIES not in df.columns:
+        return numbered.select(*columns, rank, size)
+    each = F.sequence(F.col(rank) - F.col(COPIES) + 1, F.col(rank))
+    return numbered.withColumn(rank, F.explode(each)).select(*columns, rank, size)
+
+
+def _with_offsets(seg: Segmented, numbered: DataFrame, weight: Column, rank: str, size: str) -> DataFrame:
+    """Ranks and sizes within segments as ranks and sizes within keys."""
     # one row per segment of a split key, bounded by MAX_SEGMENTS
     start = F.struct(*seg.order)
     pieces = (
         seg.frame.filter(F.col(SEGMENT) > 0)
         .groupBy(*seg.keys, SEGMENT)
-        .agg(F.count(F.lit(1)).alias("__rows"), F.min(start).alias("__start"))
+        .agg(F.sum(weight).alias("__rows"), F.min(start).alias("__start"))
     )
     earlier = Window.partitionBy(*seg.keys).orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(
@@ -211,7 +258,7 @@ def number_rows(
     same_key = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(seg.keys)]
     match = reduce(Column.__and__, [*same_key, F.col(SEGMENT) == F.col("__from")])
     return numbered.join(F.broadcast(offsets), match, "left").select(
-        *df.columns,
+        *[c for c in numbered.columns if c not in (rank, size)],
         (F.col(rank) + F.coalesce("__offset", F.lit(0))).alias(rank),
         F.coalesce("__total", F.col(size)).alias(size),
     )
@@ -222,12 +269,17 @@ def carry_forward(
     name: str, rows_per_segment: int = ROWS_PER_SEGMENT,
 ) -> DataFrame:
     """Add ``value`` of the latest row, up to the current one, where ``present`` holds."""
+    columns = df.columns
     seg = split_large_keys(df, keys, order, rows_per_segment)
+    if seg.crowded:
+        df = collapse_copies(df)
+        seg = split_large_keys(df, keys, copy_order(df.select(*columns), order), rows_per_segment)
+    finish = expand_copies if COPIES in df.columns else (lambda done: done)
     held = F.when(present, F.struct(value.alias("v")))
     upto = seg.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = F.last(held, ignorenulls=True).over(upto)
     if not seg.split:
-        return seg.frame.withColumn(name, running["v"]).drop(SEGMENT)
+        return finish(seg.frame.withColumn(name, running["v"]).drop(SEGMENT))
     # one row per segment of a split key, bounded by MAX_SEGMENTS
     place = F.struct(*seg.order)
     pieces = (
@@ -246,7 +298,7 @@ def carry_forward(
     )
     same_key = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(seg.keys)]
     match = reduce(Column.__and__, [*same_key, F.col(SEGMENT) == F.col("__from")])
-    return (
+    return finish(
         seg.frame.withColumn("__running", running)
         .join(F.broadcast(inherited), match, "left")
         .select(*df.columns, F.coalesce("__running", "__inherited")["v"].alias(name))

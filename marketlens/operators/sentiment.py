@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens import schemas
 from marketlens.functions import columns as C
-from marketlens.operators.lookup import lookup_join
+from marketlens.operators.lookup import is_small, lookup_join
 
 # The terms of the article search.
 FINANCE_TERMS = ("stock", "shares", "market", "trading", "earnings", "investor", "financial")
@@ -94,21 +96,44 @@ def with_overall(scored: DataFrame) -> DataFrame:
     )
 
 
-def score_news(news: DataFrame, lexicon: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
-    """The articles with both field scores, overall score and label.
+def _in_place_scorer(entries: dict[str, tuple[float, float]]):
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        word = re.compile(WORD_PATTERN)
 
-    Without a key, articles with the same content share one; each copy stays a
-    row of the result. The join brings the scores back to the full rows; a
-    caller that selects few columns shuffles only those.
-    """
-    if key is None:
-        keyed = news.withColumn("__content", F.md5(F.to_json(F.struct("company", "title", "description"))))
-        return with_overall(_attach(keyed, lexicon, ["__content"])).drop("__content")
-    return with_overall(_attach(news, lexicon, list(key)))
+        def one(text: str | None) -> float | None:
+            if text is None:
+                return None
+            found = [entries[w] for w in word.findall(text.lower()) if w in entries]
+            if not found:
+                return 0.0
+            polarity = sum(p for p, _ in found) / len(found)
+            subjectivity = sum(s for _, s in found) / len(found)
+            return polarity * (0.5 + 0.5 * subjectivity)
+
+        return texts.map(one, na_action=None)
+
+    return score
 
 
-def _attach(news: DataFrame, lexicon: DataFrame, key: list[str]) -> DataFrame:
-    return news.join(score_articles(news, lexicon, key), key, "left")
+def score_news(news: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The articles, texts included, with both field scores, overall score and label.
+
+    Joining scores back to full articles would shuffle every text. The words of
+    a text are all in its row, so the row is scored where it is, in Arrow
+    batches, with the lexicon as a dictionary. A lexicon beyond the broadcast
+    bounds goes through :func:`score_articles` and that join.
+    """
+    if is_small(lexicon):
+        entries = {r["word"]: (r["polarity"], r["subjectivity"]) for r in lexicon.collect()}
+        score = _in_place_scorer(entries)
+        return with_overall(
+            news.withColumns({f"{name}_sentiment": score(name) for name in ("title", "description")})
+        )
+    # articles with the same content share a key; each copy stays a row
+    keyed = news.withColumn("__content", F.md5(F.to_json(F.struct("title", "description"))))
+    scores = score_articles(keyed, lexicon, ["__content"])
+    return with_overall(keyed.join(scores, "__content", "left").drop("__content"))
 
 
 def company_statistics(scored: DataFrame) -> DataFrame:

@@ -143,12 +143,14 @@ def market_data_for(
 
 def fitted_weights(fit: DataFrame) -> tuple[Column, Column]:
     """Weights of a one-row fit as columns for :func:`serving_records`."""
-    return fit.select("alpha").scalar(), fit.select("beta").scalar()
+    weights = fit.select(F.struct("alpha", "beta")).scalar()
+    return weights["alpha"], weights["beta"]
 
 
 def blend_with_coefficients(records: DataFrame, coefficients: DataFrame, name: str = "finalPrediction") -> DataFrame:
     """Replace the blended prediction by the one with an interaction term."""
-    x, y, z = (coefficients.select(c).scalar() for c in ("x", "y", "z"))
+    stored = coefficients.select(F.struct("x", "y", "z")).scalar()
+    x, y, z = (stored[c] for c in ("x", "y", "z"))
     return records.withColumn(name, C.blend_product("rawPrediction", "sentiment", x, y, z))
 
 

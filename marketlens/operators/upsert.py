@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,10 @@ BATCH = "log_batch"
 DAY = "log_day"
 
 
+def _version(columns: Sequence[str]) -> Column:
+    return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """The row with the highest version of each key.
 
@@ -25,14 +29,13 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -
     with very many versions stays cheap.
     """
     rest = [c for c in df.columns if c not in keys]
-    chosen = F.max_by(F.struct(*rest), F.struct(*version)).alias("__row")
+    chosen = F.max_by(F.struct(*rest), _version(version)).alias("__row")
     return df.groupBy(*keys).agg(chosen).select(*[c if c in keys else f"__row.{c}" for c in df.columns])
 
 
 def latest_value(df: DataFrame, key: str, value: str, version: Sequence[str], name: str) -> DataFrame:
     """``value`` of the highest version of each key; it may be null."""
-    newest = F.max_by(F.struct(value), F.struct(*version))
-    return df.groupBy(key).agg(newest.alias("__v")).select(key, F.col("__v")[value].alias(name))
+    return df.groupBy(key).agg(F.max_by(value, _version(version)).alias(name))
 
 
 def merge_partial_rows(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -42,7 +45,7 @@ def merge_partial_rows(df: DataFrame, keys: Sequence[str], version: Sequence[str
     there.
     """
     rest = [c for c in df.columns if c not in keys and c not in version]
-    order = F.struct(*version)
+    order = _version(version)
     return df.groupBy(*keys).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest]
     )
@@ -131,11 +134,17 @@ class VersionedLog:
         self.schema = T.StructType(list(schema.fields))
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
-        """Write a batch from the executors, in place of an earlier try of it."""
+        """Write a batch from the executors, in place of an earlier try of it.
+
+        Rows of a day are brought together first, so that a batch of many tasks
+        and days does not write tasks times days files. The rebalance hint lets
+        adaptive execution cut a large day and join small ones.
+        """
         (
             rows.select(*self.schema.fieldNames())
             .withColumn(DAY, F.to_date(self.ts))
             .withColumn(BATCH, F.lit(int(batch_id)).cast("long"))
+            .hint("rebalance", F.col(DAY))
             .sortWithinPartitions(BATCH, DAY, *self.sort_by)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -150,13 +159,19 @@ class VersionedLog:
         )
         return spark.read.schema(full).parquet(self.path)
 
-    def current(self, spark: SparkSession, by_column: bool = False) -> DataFrame:
+    def current(
+        self, spark: SparkSession, by_column: bool = False, days: tuple[str, str] | None = None
+    ) -> DataFrame:
         """The table: the latest version of each key.
 
         ``by_column`` takes the latest value of each column that is not null,
-        for logs whose writers leave columns out.
+        for logs whose writers leave columns out. ``days`` reads only the
+        directories of a range of days, both ends included.
         """
-        versions, order = self.versions(spark).drop(DAY), [BATCH, *self.ties]
+        versions, order = self.versions(spark), [BATCH, *self.ties]
+        if days:
+            versions = versions.filter(F.col(DAY).between(*[F.lit(d).cast("date") for d in days]))
+        versions = versions.drop(DAY)
         if by_column:
             return merge_partial_rows(versions, self.keys, order)
         return latest_per_key(versions, self.keys, order).drop(BATCH)
@@ -164,7 +179,5 @@ class VersionedLog:
     def compact_to(self, spark: SparkSession, path: str) -> "VersionedLog":
         """Write the current table as the first batch of a log at a new path."""
         target = VersionedLog(path, self.schema, self.keys, self.ts, self.sort_by, self.ties)
-        current = self.current(spark).withColumn("__day", F.to_date(self.ts))
-        ranged = current.repartitionByRange("__day", *self.sort_by).drop("__day")
-        target.append(ranged, 0)
+        target.append(self.current(spark), 0)
         return target

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import columns as C
 from marketlens.operators import sentiment, upsert
+from marketlens.operators.lookup import lookup_join
 from marketlens.plans.catalog import query
 from marketlens.plans.tick_queries import rounded
 from marketlens.plans.views import NEWS, SCORED, lexicon, news
@@ -158,8 +159,8 @@ def upsert_sentiment(spark, sf_dir):
     newest = upsert.latest_per_key(
         fetched.select("company", "fetch_timestamp", "doc_id"), ["company", "fetch_timestamp"], ["doc_id"]
     )
-    surviving = fetched.drop("text").join(newest.select("doc_id"), "doc_id", "left_semi")
-    scored = sentiment.score_news(surviving, lexicon(spark), KEY)
+    surviving = lookup_join(fetched.drop("text"), newest.select("doc_id"), ["doc_id"], "left_semi")
+    scored = sentiment.score_news(surviving, lexicon(spark))
     return _as_doubles(upsert.sentiment_rows(_nine_digits(scored)))
 
 
@@ -170,7 +171,7 @@ def _nine_digits(scored):
 @query("news_job", f"WITH {SCORED} SELECT doc_id, {_SENTIMENT_COLUMNS} FROM scored")
 def news_job(spark, sf_dir):
     """Rows the news job stores for one batch."""
-    result = jobs.news_result(news(spark, sf_dir).drop("text"), lexicon(spark), KEY, KEY)
+    result = jobs.news_result(news(spark, sf_dir).drop("text"), lexicon(spark), KEY)
     return _as_doubles(upsert.sentiment_rows(_nine_digits(result.scored), "published_at", extra=KEY))
 
 

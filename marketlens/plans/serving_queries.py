@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import columns as C
 from marketlens.operators import calibrate, serving, upsert
-from marketlens.operators.lookup import lookup_join
+from marketlens.operators.lookup import hold, lookup_join
 from marketlens.plans.catalog import query
 from marketlens.plans.news_queries import scored_articles
 from marketlens.plans.tick_queries import BAR_TIES, TIES, rounded
@@ -127,7 +127,8 @@ _ASOF_SQL = f"""WITH {_MAPPED}, {SCORED} SELECT event_id, m.symbol, m."timestamp
 
 
 def _asof(spark, sf_dir, **options):
-    scored = scored_articles(spark, sf_dir, ("company", "published_at"))
+    # read twice, for the sizes of the sequences and for the join
+    scored = hold(scored_articles(spark, sf_dir, ("company", "published_at")))
     joined = serving.join_sentiment_asof(
         mapped_ticks(spark, sf_dir).select("event_id", "symbol", "timestamp", "price"), scored,
         news_ts="published_at", ties=TIES, news_ties=KEY, **options,
@@ -272,7 +273,9 @@ def blend_nonlinear(spark, sf_dir):
     FROM company_scores""",
 )
 def minmax_sentiment(spark, sf_dir):
-    scaled = calibrate.minmax_scaled(company_scores(spark, sf_dir), "overall_sentiment", "normalized_sentiment")
+    # read twice, for the bounds and for the rows
+    scored = hold(company_scores(spark, sf_dir))
+    scaled = calibrate.minmax_scaled(scored, "overall_sentiment", "normalized_sentiment")
     return rounded(scaled.select("doc_id", "company", "normalized_sentiment"), ("normalized_sentiment",))
 
 

@@ -21,11 +21,10 @@ class NewsResult:
 
 
 def news_result(
-    news: DataFrame, lexicon: DataFrame, key: Sequence[str] | None = None, ties: Sequence[str] = (),
-    top: int = 3,
+    news: DataFrame, lexicon: DataFrame, ties: Sequence[str] = (), top: int = 3
 ) -> NewsResult:
     """Scored articles, statistics per company, and the articles at both ends."""
-    scored = sentiment.score_news(news, lexicon, key)
+    scored = sentiment.score_news(news, lexicon)
     return NewsResult(
         scored,
         sentiment.company_statistics(scored),
