@@ -8,7 +8,7 @@ from marketlens.functions import columns as C
 from marketlens.operators import sentiment, upsert
 from marketlens.operators.lookup import lookup_join
 from marketlens.plans.catalog import query
-from marketlens.plans.tick_queries import rounded
+from marketlens.plans.tick_queries import rounded, settled
 from marketlens.plans.views import NEWS, SCORED, lexicon, news
 from marketlens.streaming import jobs, windows
 
@@ -34,17 +34,17 @@ def clean_text(spark, sf_dir):
 
 @query(
     "sentiment_score",
-    f"WITH {SCORED} SELECT doc_id, round(description_sentiment, 6) AS sentiment FROM scored",
+    f"WITH {SCORED} SELECT doc_id, round(description_sentiment + 1e-10, 6) AS sentiment FROM scored",
 )
 def sentiment_score(spark, sf_dir):
     scores = sentiment.score_articles(news(spark, sf_dir), lexicon(spark), KEY, ["description"])
-    return scores.select("doc_id", F.round("description_sentiment", 6).alias("sentiment"))
+    return scores.select("doc_id", settled("description_sentiment").alias("sentiment"))
 
 
 @query(
     "sentiment_two_fields",
-    f"""WITH {SCORED} SELECT doc_id, round(title_sentiment, 6) AS title_sentiment,
-    round(description_sentiment, 6) AS description_sentiment FROM scored""",
+    f"""WITH {SCORED} SELECT doc_id, round(title_sentiment + 1e-10, 6) AS title_sentiment,
+    round(description_sentiment + 1e-10, 6) AS description_sentiment FROM scored""",
 )
 def sentiment_two_fields(spark, sf_dir):
     return rounded(sentiment.score_articles(news(spark, sf_dir), lexicon(spark), KEY), _SCORES)
@@ -52,7 +52,7 @@ def sentiment_two_fields(spark, sf_dir):
 
 @query(
     "sentiment_overall",
-    f"WITH {SCORED} SELECT doc_id, company, round(overall_sentiment, 6) AS overall_sentiment FROM scored",
+    f"WITH {SCORED} SELECT doc_id, company, round(overall_sentiment + 1e-10, 6) AS overall_sentiment FROM scored",
 )
 def sentiment_overall(spark, sf_dir):
     return rounded(scored_articles(spark, sf_dir).select("doc_id", "company", "overall_sentiment"), _SCORES)
@@ -63,9 +63,9 @@ def sentiment_label(spark, sf_dir):
     return scored_articles(spark, sf_dir).select("doc_id", "company", "sentiment_label")
 
 
-_STATS_SQL = """round(avg(overall_sentiment), 6) AS avg_sentiment, count(*) AS article_count,
-    round(avg(CASE WHEN sentiment_label = 'positive' THEN 1.0 ELSE 0.0 END), 6) AS positive_ratio,
-    round(avg(CASE WHEN sentiment_label = 'negative' THEN 1.0 ELSE 0.0 END), 6) AS negative_ratio"""
+_STATS_SQL = """round(avg(overall_sentiment) + 1e-10, 6) AS avg_sentiment, count(*) AS article_count,
+    round(avg(CASE WHEN sentiment_label = 'positive' THEN 1.0 ELSE 0.0 END) + 1e-10, 6) AS positive_ratio,
+    round(avg(CASE WHEN sentiment_label = 'negative' THEN 1.0 ELSE 0.0 END) + 1e-10, 6) AS negative_ratio"""
 _STATS = ("avg_sentiment", "positive_ratio", "negative_ratio")
 
 
@@ -83,8 +83,8 @@ def _ranked_titles(spark, sf_dir, ranked):
 
 @query(
     "top_positive",
-    f"""WITH {SCORED} SELECT doc_id, company, title, round(overall_sentiment, 6) AS overall_sentiment FROM scored
-    ORDER BY round(scored.overall_sentiment, 9) DESC NULLS LAST, doc_id LIMIT 3""",
+    f"""WITH {SCORED} SELECT doc_id, company, title, round(overall_sentiment + 1e-10, 6) AS overall_sentiment FROM scored
+    ORDER BY round(scored.overall_sentiment + 1e-13, 9) DESC NULLS LAST, doc_id LIMIT 3""",
 )
 def top_positive(spark, sf_dir):
     return _ranked_titles(spark, sf_dir, sentiment.most_positive(_for_rank(spark, sf_dir), ties=KEY))
@@ -92,8 +92,8 @@ def top_positive(spark, sf_dir):
 
 @query(
     "top_negative",
-    f"""WITH {SCORED} SELECT doc_id, company, title, round(overall_sentiment, 6) AS overall_sentiment FROM scored
-    ORDER BY round(scored.overall_sentiment, 9) ASC NULLS LAST, doc_id LIMIT 3""",
+    f"""WITH {SCORED} SELECT doc_id, company, title, round(overall_sentiment + 1e-10, 6) AS overall_sentiment FROM scored
+    ORDER BY round(scored.overall_sentiment + 1e-13, 9) ASC NULLS LAST, doc_id LIMIT 3""",
 )
 def top_negative(spark, sf_dir):
     return _ranked_titles(spark, sf_dir, sentiment.most_negative(_for_rank(spark, sf_dir), ties=KEY))
@@ -102,7 +102,7 @@ def top_negative(spark, sf_dir):
 def _for_rank(spark, sf_dir):
     # sums of doubles depend on their order in the last digits; rounding keeps ties ties
     return scored_articles(spark, sf_dir).select(
-        "doc_id", "company", F.round("overall_sentiment", 9).alias("overall_sentiment"), F.lit("").alias("title")
+        "doc_id", "company", settled("overall_sentiment", 9).alias("overall_sentiment"), F.lit("").alias("title")
     )
 
 
@@ -135,9 +135,9 @@ def filter_relevant_articles(spark, sf_dir):
 
 
 _SENTIMENT_COLUMNS = """company, published_at AS "timestamp", description,
-    round(CAST(round(description_sentiment, 9)::FLOAT AS DOUBLE), 6) AS description_sentiment,
-    round(CAST(round(overall_sentiment, 9)::FLOAT AS DOUBLE), 6) AS overall_sentiment, sentiment_label, title,
-    round(CAST(round(title_sentiment, 9)::FLOAT AS DOUBLE), 6) AS title_sentiment"""
+    round(CAST(round(description_sentiment + 1e-13, 9)::FLOAT AS DOUBLE) + 1e-10, 6) AS description_sentiment,
+    round(CAST(round(overall_sentiment + 1e-13, 9)::FLOAT AS DOUBLE) + 1e-10, 6) AS overall_sentiment, sentiment_label, title,
+    round(CAST(round(title_sentiment + 1e-13, 9)::FLOAT AS DOUBLE) + 1e-10, 6) AS title_sentiment"""
 
 
 def _as_doubles(df):
@@ -179,7 +179,7 @@ def news_job(spark, sf_dir):
     "window_sentiment",
     f"""WITH {SCORED} SELECT time_bucket(INTERVAL '1 hour', published_at) AS window_start,
     time_bucket(INTERVAL '1 hour', published_at) + INTERVAL '1 hour' AS window_end, company,
-    round(avg(overall_sentiment), 6) AS avg_sentiment, count(*) AS article_count FROM scored GROUP BY ALL""",
+    round(avg(overall_sentiment) + 1e-10, 6) AS avg_sentiment, count(*) AS article_count FROM scored GROUP BY ALL""",
 )
 def window_sentiment(spark, sf_dir):
     scored = scored_articles(spark, sf_dir, ("company", "published_at"))

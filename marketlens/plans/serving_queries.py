@@ -9,7 +9,7 @@ from marketlens.operators import calibrate, serving, upsert
 from marketlens.operators.lookup import hold, lookup_join
 from marketlens.plans.catalog import query
 from marketlens.plans.news_queries import scored_articles
-from marketlens.plans.tick_queries import BAR_TIES, TIES, rounded
+from marketlens.plans.tick_queries import BAR_TIES, TIES, rounded, settled
 from marketlens.plans.views import (
     BARS,
     NEWS,
@@ -34,13 +34,13 @@ def company_scores(spark, sf_dir):
     scored = scored_articles(spark, sf_dir, ("company", "published_at"))
     return scored.select(
         "doc_id", company_symbol(F.col("company")).alias("company"), "published_at",
-        F.round("overall_sentiment", 9).alias("overall_sentiment"),
+        settled("overall_sentiment", 9).alias("overall_sentiment"),
     )
 
 
 _COMPANY_SCORES = f"""{SCORED}, company_scores AS (
   SELECT doc_id, concat('S', substr(company, 4)) AS company, published_at,
-         round(overall_sentiment, 9) AS overall_sentiment FROM scored)"""
+         round(overall_sentiment + 1e-13, 9) AS overall_sentiment FROM scored)"""
 _LATEST = f"""{_COMPANY_SCORES}, latest AS (
   SELECT company, coalesce(arg_max(overall_sentiment, (published_at, doc_id)), 0) AS sentiment
   FROM company_scores GROUP BY company)"""
@@ -76,7 +76,7 @@ def filter_symbol_ci(spark, sf_dir):
     )
 
 
-@query("agg_latest_sentiment", f"WITH {_LATEST} SELECT company, round(sentiment, 6) AS sentiment FROM latest")
+@query("agg_latest_sentiment", f"WITH {_LATEST} SELECT company, round(sentiment + 1e-10, 6) AS sentiment FROM latest")
 def agg_latest_sentiment(spark, sf_dir):
     return rounded(serving.latest_sentiment(company_scores(spark, sf_dir), "published_at", KEY), ("sentiment",))
 
@@ -84,7 +84,7 @@ def agg_latest_sentiment(spark, sf_dir):
 @query(
     "serve_join_latest_sentiment",
     f"""WITH {BARS}, {_LATEST} SELECT symbol, "timestamp", price, prediction, {_ROW},
-    round(coalesce(sentiment, 0), 6) AS sentiment FROM bars LEFT JOIN latest ON company = symbol""",
+    round(coalesce(sentiment, 0) + 1e-10, 6) AS sentiment FROM bars LEFT JOIN latest ON company = symbol""",
 )
 def serve_join_latest_sentiment(spark, sf_dir):
     rows = bars(spark, sf_dir).drop("volume")
@@ -112,7 +112,7 @@ _MAPPED = f"""{TICKS}, {TICK_COMPANIES_SQL}, mapped AS (
       SELECT company, strftime(published_at, '%Y-%m-%d') AS "date", avg(overall_sentiment) AS sentiment
       FROM scored GROUP BY ALL)
     SELECT event_id, m.symbol, strftime(m."timestamp", '%Y-%m-%d') AS "date", price,
-           round(coalesce(sentiment, 0), 6) AS sentiment
+           round(coalesce(sentiment, 0) + 1e-10, 6) AS sentiment
     FROM mapped m LEFT JOIN daily d ON d.company = m.symbol AND d."date" = strftime(m."timestamp", '%Y-%m-%d')""",
 )
 def join_sentiment_by_day(spark, sf_dir):
@@ -122,7 +122,7 @@ def join_sentiment_by_day(spark, sf_dir):
 
 
 _ASOF_SQL = f"""WITH {_MAPPED}, {SCORED} SELECT event_id, m.symbol, m."timestamp", price,
-    round(s.overall_sentiment, 6) AS sentiment
+    round(s.overall_sentiment + 1e-10, 6) AS sentiment
     FROM mapped m ASOF LEFT JOIN scored s ON s.company = m.symbol AND m."timestamp" >= s.published_at"""
 
 
@@ -200,7 +200,7 @@ def parse_numbers(spark, sf_dir):
 
 
 _GAUGE = """CASE WHEN {0} > 0.2 THEN 'Positive' WHEN {0} < -0.2 THEN 'Negative' ELSE 'Neutral' END AS label,
-    round(coalesce(({0} + 1) / 2, 0.5), 6) AS gauge"""
+    round(coalesce(({0} + 1) / 2, 0.5) + 1e-10, 6) AS gauge"""
 
 
 @query(
@@ -208,7 +208,7 @@ _GAUGE = """CASE WHEN {0} > 0.2 THEN 'Positive' WHEN {0} < -0.2 THEN 'Negative'
     f"""WITH {_COMPANY_SCORES}, newest AS (
       SELECT company AS symbol, arg_max(overall_sentiment, (published_at, doc_id)) AS score
       FROM company_scores GROUP BY company)
-    SELECT symbol, round(score, 6) AS score, {_GAUGE.format('score')} FROM newest""",
+    SELECT symbol, round(score + 1e-10, 6) AS score, {_GAUGE.format('score')} FROM newest""",
 )
 def sentiment_gauge(spark, sf_dir):
     records = company_scores(spark, sf_dir).withColumnsRenamed(
@@ -222,7 +222,7 @@ _SERVED_SQL = f"""{BARS}, {_LATEST}, served AS (
          prediction AS "rawPrediction", coalesce(sentiment, 0) AS sentiment, "timestamp", {_ROW}
   FROM bars LEFT JOIN latest ON company = symbol)"""
 _SERVED_COLUMNS = f""""date", price, symbol, volume,  "rawPrediction",
-    round(sentiment, 6) AS sentiment, {_ROW}"""
+    round(sentiment + 1e-10, 6) AS sentiment, {_ROW}"""
 
 
 def served(spark, sf_dir, raw_weight=1.0, sentiment_weight=0.0):
@@ -269,7 +269,7 @@ def blend_nonlinear(spark, sf_dir):
     "minmax_sentiment",
     f"""WITH {_COMPANY_SCORES} SELECT doc_id, company,
     round((overall_sentiment - (SELECT min(overall_sentiment) FROM company_scores))
-      / (SELECT max(overall_sentiment) - min(overall_sentiment) FROM company_scores), 6) AS normalized_sentiment
+      / (SELECT max(overall_sentiment) - min(overall_sentiment) FROM company_scores) + 1e-10, 6) AS normalized_sentiment
     FROM company_scores""",
 )
 def minmax_sentiment(spark, sf_dir):

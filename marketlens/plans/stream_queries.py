@@ -78,7 +78,7 @@ _OHLC = T.StructType(
     f"""WITH {TICKS} SELECT time_bucket(INTERVAL '1 hour', "timestamp") AS window_start,
       time_bucket(INTERVAL '1 hour', "timestamp") + INTERVAL '1 hour' AS window_end, symbol,
       arg_min(price, "timestamp") AS "open", max(price) AS high, min(price) AS low,
-      arg_max(price, "timestamp") AS "close", round(sum(volume), 6) AS volume, count(*) AS ticks
+      arg_max(price, "timestamp") AS "close", round(sum(volume) + 1e-10, 6) AS volume, count(*) AS ticks
     FROM ticks GROUP BY ALL""",
 )
 def stream_window_ohlc(spark, sf_dir):

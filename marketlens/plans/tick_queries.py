@@ -37,18 +37,28 @@ _ROUNDED = ("price_change", "volume_change", "rolling_mean_price", "rolling_mean
 
 FEATURE_TABLE_SQL = f"""WITH {TICKS}, {_FEATURES_SQL}
 SELECT event_id, symbol, "timestamp", price, volume, price_lag1, price_lag2, price_lag3, volume_lag1,
-       round(price_change, 6) AS price_change, round(volume_change, 6) AS volume_change,
-       "hour", "day", day_of_week, round(rolling_mean_price, 6) AS rolling_mean_price,
-       round(rolling_mean_volume, 6) AS rolling_mean_volume
+       round(price_change + 1e-10, 6) AS price_change, round(volume_change + 1e-10, 6) AS volume_change,
+       "hour", "day", day_of_week, round(rolling_mean_price + 1e-10, 6) AS rolling_mean_price,
+       round(rolling_mean_volume + 1e-10, 6) AS rolling_mean_volume
 FROM features WHERE {_COMPLETE}"""
 
 
+def settled(column, digits=6):
+    """Rounded for the comparison with SQL.
+
+    Sums of doubles differ in their last bits with the order of rows. A value
+    that sits on a rounding border up to those bits is moved off it, on both
+    sides of the comparison.
+    """
+    return F.round(F.col(column) + 10.0 ** -(digits + 4), digits)
+
+
 def rounded(df, names=_ROUNDED, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if c in names else c for c in df.columns])
+    return df.select(*[settled(c, digits).alias(c) if c in names else c for c in df.columns])
 
 
 def _feature_sql(*names: str) -> str:
-    shown = ", ".join(f'round("{n}", 6) AS "{n}"' if n in _ROUNDED else f'"{n}"' for n in names)
+    shown = ", ".join(f'round("{n}" + 1e-10, 6) AS "{n}"' if n in _ROUNDED else f'"{n}"' for n in names)
     return f"WITH {TICKS}, {_FEATURES_SQL} SELECT event_id, symbol, {shown} FROM features"
 
 
@@ -217,8 +227,8 @@ def score_pct_error(spark, sf_dir):
     )
 
 
-_ERROR_SQL = """round(avg(e), 6) AS mean_error_percentage, round(max(e), 6) AS max_error_percentage,
-      round(min(e), 6) AS min_error_percentage"""
+_ERROR_SQL = """round(avg(e) + 1e-10, 6) AS mean_error_percentage, round(max(e) + 1e-10, 6) AS max_error_percentage,
+      round(min(e) + 1e-10, 6) AS min_error_percentage"""
 _ERRORS = f"{BARS}, errors AS (SELECT symbol, abs(prediction - price) / nullif(price, 0) * 100 AS e FROM bars)"
 _ERROR_NAMES = ("mean_error_percentage", "max_error_percentage", "min_error_percentage")
 
@@ -228,7 +238,7 @@ def agg_error_stats(spark, sf_dir):
     return rounded(forecast.error_statistics(bars(spark, sf_dir), per_symbol=True), _ERROR_NAMES)
 
 
-@query("agg_rmse", f"WITH {BARS} SELECT round(sqrt(avg((prediction - price) ** 2)), 6) AS rmse FROM bars")
+@query("agg_rmse", f"WITH {BARS} SELECT round(sqrt(avg((prediction - price) ** 2)) + 1e-10, 6) AS rmse FROM bars")
 def agg_rmse(spark, sf_dir):
     return rounded(forecast.rmse(bars(spark, sf_dir)), ("rmse",))
 
@@ -250,7 +260,7 @@ def split_train_test(spark, sf_dir):
     f"""WITH {TICKS} SELECT time_bucket(INTERVAL '1 hour', "timestamp") AS window_start,
       time_bucket(INTERVAL '1 hour', "timestamp") + INTERVAL '1 hour' AS window_end, symbol,
       arg_min(price, "timestamp") AS "open", max(price) AS high, min(price) AS low,
-      arg_max(price, "timestamp") AS "close", round(sum(volume), 6) AS volume, count(*) AS ticks
+      arg_max(price, "timestamp") AS "close", round(sum(volume) + 1e-10, 6) AS volume, count(*) AS ticks
     FROM ticks GROUP BY ALL""",
 )
 def window_ohlc(spark, sf_dir):
