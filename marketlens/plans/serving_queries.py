@@ -186,16 +186,19 @@ def dim_company(spark, sf_dir):
 
 @query(
     "parse_numbers",
-    f"""SELECT doc_id, coalesce(TRY_CAST(piece AS DOUBLE), 0) AS as_double,
-      coalesce(CAST(trunc(TRY_CAST(piece AS DOUBLE)) AS INTEGER), 0) AS as_int
-    FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 5)
+    """SELECT doc_id, coalesce(TRY_CAST(piece AS DOUBLE), 0) AS as_double,
+      coalesce(CAST(trunc(TRY_CAST(piece AS DOUBLE)) AS INTEGER), 0) AS as_int, CAST(n_chars AS INTEGER) AS leading
+    FROM (SELECT doc_id, n_chars, CASE WHEN lang = 'fr' THEN source
       ELSE concat('-', CAST(n_chars AS VARCHAR), '.75') END AS piece FROM documents)""",
 )
 def parse_numbers(spark, sf_dir):
+    """Numbers as text, with words among them, and numbers with a unit behind."""
     number = F.concat(F.lit("-"), F.col("n_chars").cast("string"), F.lit(".75"))
-    piece = F.when(F.col("doc_id") % 3 == 0, F.substr("text", F.lit(1), F.lit(5))).otherwise(number)
+    piece = F.when(F.col("lang") == "fr", F.col("source")).otherwise(number)
+    with_unit = F.concat(F.col("n_chars").cast("string"), F.lit(" chars"))
     return table(spark, sf_dir, "documents").select(
-        "doc_id", C.parse_double(piece).alias("as_double"), C.parse_int(piece).alias("as_int")
+        "doc_id", C.parse_double(piece).alias("as_double"), C.parse_int(piece).alias("as_int"),
+        C.parse_int(with_unit, prefix=True).alias("leading"),
     )
 
 
@@ -321,18 +324,18 @@ def calibrate_events(spark, sf_dir):
     "blend_calibrated",
     f"""WITH {_SERVED_SQL}, points AS (SELECT price AS y, "rawPrediction" AS a,
       (sentiment - (SELECT min(sentiment) FROM served)) / (SELECT max(sentiment) - min(sentiment) FROM served) AS b
-      FROM served), fit AS ({_FIT_SQL.replace('m AS (', 'WITH m AS (', 1).replace('round(alpha, 5)', 'alpha').replace('round(beta, 5)', 'beta')})
-    SELECT {_SERVED_COLUMNS}, round("rawPrediction" * (SELECT alpha FROM fit) + sentiment * (SELECT beta FROM fit), 4)
+      FROM served), fit AS ({_FIT_SQL.replace('m AS (', 'WITH m AS (', 1)})
+    SELECT {_SERVED_COLUMNS}, round("rawPrediction" * (SELECT alpha FROM fit) + sentiment * (SELECT beta FROM fit) + 1e-10, 6)
       AS "finalPrediction" FROM served""",
 )
 def blend_calibrated(spark, sf_dir):
-    """Serving records blended with the weights fitted on them."""
+    """Serving records blended with the weights fitted on them, the weights taken to five digits."""
     records = served(spark, sf_dir)
-    raw_weight, sentiment_weight = serving.fitted_weights(calibrate.fit_blend(records))
+    raw_weight, sentiment_weight = serving.fitted_weights(_rounded_fit(calibrate.fit_blend(records)))
     blended = records.withColumn(
         "finalPrediction", C.blend_linear("rawPrediction", "sentiment", raw_weight, sentiment_weight)
     )
-    return rounded(rounded(blended, ("finalPrediction",), 4), ("sentiment",)).drop("timestamp")
+    return rounded(blended, ("finalPrediction", "sentiment")).drop("timestamp")
 
 
 @query(

@@ -12,22 +12,40 @@ ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # keeps the state of large streams off the heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # rewriting one batch of a log must leave the other batches alone
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
-def build_session(app_name: str = "marketlens", master: str | None = None, **conf) -> SparkSession:
+# bytes of input per shuffle partition, and the number of partitions at most
+PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 50_000
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Partitions to start from for an input; adaptive execution joins the small ones."""
+    return max(8, min(MAX_PARTITIONS, -(-input_bytes // PARTITION_BYTES)))
+
+
+def build_session(
+    app_name: str = "marketlens", master: str | None = None, input_bytes: int | None = None, **conf
+) -> SparkSession:
     """A session with the engine's settings.
 
-    ``conf`` takes further settings with ``__`` written for ``.``, so
-    ``spark__sql__shuffle__partitions="8"``.
+    ``input_bytes`` is the size of the largest table the job reads; the number
+    of shuffle partitions follows from it. ``conf`` takes further settings with
+    ``__`` written for ``.``, so ``spark__sql__shuffle__partitions="8"``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for name, value in ENGINE_CONF.items():
         builder = builder.config(name, value)
+    if input_bytes is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes)))
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
     return builder.getOrCreate()
