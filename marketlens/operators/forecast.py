@@ -37,6 +37,17 @@ def split_by_hash(df: DataFrame, key: Sequence[str], share: float = TRAIN_SHARE)
     return df.withColumn("is_train", part < int(share * _HASH_PARTS))
 
 
+def spread_evenly(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The rows over all cores, by hash of the key.
+
+    A feature table comes out of a shuffle by symbol, which leaves few
+    partitions; each of the many passes of a training would run on these.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *key)
+
+
 def train_forest(
     train: DataFrame, label: str = "price", features: Sequence[str] = FEATURE_NAMES,
     trees: int = TREES, depth: int = DEPTH, seed: int = 17,
@@ -102,17 +113,13 @@ def train_and_score(
     """Train on the early rows of a feature table and score the rest.
 
     None when the table does not pass the training gate. Only the held-out
-    rows come back. The table is used by every pass of the training, so it is
-    persisted while that lasts; the caller may persist it for longer.
+    rows come back. The training reads its rows several times, so they are
+    persisted while it lasts; the caller may persist the features for longer.
     """
     if not has_enough_rows(features):
         return None
-    held = features.is_cached
-    marked = split_by_time(features, ts, ties)
-    if not held:
-        marked = marked.persist()
+    marked = spread_evenly(split_by_time(features, ts, ties), ["symbol", ts, *ties]).persist()
     model = train_forest(marked.filter("is_train"), label, trees=trees, depth=depth, seed=seed)
     scored = score(model, marked.filter("NOT is_train")).drop("is_train")
-    if not held:
-        marked.unpersist()
+    marked.unpersist()
     return scored

@@ -11,8 +11,8 @@ Rows that the order columns do not tell apart cannot be cut. Where such copies
 exceed the limit, they are first counted (map tasks combine them), a few stand
 for all in the window, and the result is repeated by the count.
 
-Finding the large keys costs one aggregation over the key and order columns.
-What reaches the driver is one row per over-full key or segment, and
+Looking for large keys costs one count per key; only if there are any, a second
+pass takes the ranges of their order columns. What reaches the driver is one row per over-full key or segment, and
 ``MAX_SEGMENTS`` bounds their number whatever the data size.
 """
 
@@ -99,11 +99,12 @@ def split_large_keys(
     frame = df.withColumn(SEGMENT, F.lit(0).cast("long"))
     positions = _positions(df, order)
 
-    extent = _extent(df, keys, positions).persist()
-    total = extent.agg(F.sum("rows")).first()[0] or 0
-    limit = max(rows_per_segment, math.ceil(total / max_segments))
-    full = extent.filter(F.col("rows") > limit).collect()
-    extent.unpersist()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    total, largest = sizes.agg(F.sum("rows"), F.max("rows")).first()
+    limit = max(rows_per_segment, math.ceil((total or 0) / max_segments))
+    if (largest or 0) <= limit:
+        return Segmented(frame, keys, order, False)
+    full = _extent(df, keys, positions).filter(F.col("rows") > limit).collect()
 
     next_id, split, crowded = 1, False, False
     for _ in range(MAX_LEVELS):

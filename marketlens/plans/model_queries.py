@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens.operators import features, forecast, upsert
+from marketlens.operators.lookup import hold
 from marketlens.plans.catalog import query
 from marketlens.plans.tick_queries import TIES
 from marketlens.plans.views import ticks
@@ -13,7 +14,7 @@ from marketlens.streaming import jobs
 
 
 def held_out(spark, sf_dir):
-    table = features.feature_table(ticks(spark, sf_dir), ties=TIES)
+    table = hold(features.feature_table(ticks(spark, sf_dir), ties=TIES))
     return forecast.train_and_score(table, ties=TIES)
 
 
@@ -22,7 +23,8 @@ def train_forest(spark, sf_dir):
     """The trained model's trees: number, node count and depth of each."""
     table = features.feature_table(ticks(spark, sf_dir), ties=TIES)
     marked = forecast.split_by_time(table, ties=TIES)
-    model = forecast.train_forest(marked.filter("is_train"))
+    train = hold(forecast.spread_evenly(marked.filter("is_train"), ["symbol", "timestamp", *TIES]))
+    model = forecast.train_forest(train)
     path = shared_path(spark, "model")
     forecast.save_model(model, path)
     forest = forecast.load_model(path).stages[-1]

@@ -176,7 +176,7 @@ def _widened(df, *names):
         row_number() OVER (PARTITION BY symbol, "timestamp" ORDER BY {VERSION_DESC}) AS age FROM bars)
     SELECT symbol, "timestamp", CAST(arg_min(price, age) AS DOUBLE) AS price,
            CAST(arg_min(prediction, age) AS DOUBLE) AS prediction,
-           arg_min(volume, age) FILTER (WHERE volume IS NOT NULL) AS volume
+           CAST(arg_min(volume, age) FILTER (WHERE volume IS NOT NULL) AS DOUBLE) AS volume
     FROM writes GROUP BY symbol, "timestamp" """,
 )
 def upsert_partial_columns(spark, sf_dir):
@@ -189,7 +189,7 @@ def upsert_partial_columns(spark, sf_dir):
         F.struct(*VERSION).alias("version"),
     )
     merged = upsert.merge_partial_rows(writes, ["symbol", "timestamp"], ["version"])
-    return _widened(merged, "price", "prediction")
+    return _widened(merged, "price", "prediction", "volume")
 
 
 @query(
