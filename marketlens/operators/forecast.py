@@ -56,7 +56,8 @@ def train_forest(
     forest = RandomForestRegressor(
         featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed
     )
-    return Pipeline(stages=[assemble, forest]).fit(train)
+    # the last bar of a symbol has no next price
+    return Pipeline(stages=[assemble, forest]).fit(train.filter(F.col(label).isNotNull()))
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -21,8 +21,11 @@ _NO_WORD = ""
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """A lexicon with one row per word from a CSV file with a header."""
-    return spark.read.csv(path, header=True, schema=schemas.LEXICON)
+    """A lexicon from a CSV file with a header; a word's senses are averaged."""
+    senses = spark.read.csv(path, header=True, schema=schemas.LEXICON)
+    return senses.groupBy(F.lower("word").alias("word")).agg(
+        F.avg("polarity").alias("polarity"), F.avg("subjectivity").alias("subjectivity")
+    )
 
 
 def _words(text: Column) -> Column:
@@ -39,7 +42,7 @@ def score_articles(
     """One score ``<field>_sentiment`` per text field, one row per key.
 
     A text's polarity and subjectivity are the means over its words found in
-    ``lexicon`` (word, polarity, subjectivity); the score is the polarity
+    ``lexicon`` (word, polarity, subjectivity; one row per word); the score is the polarity
     weighted by subjectivity. A text without such words scores 0, a null text
     scores null. Rows with equal keys must hold equal texts. ``carry`` names
     short columns that depend on the key.

@@ -76,16 +76,20 @@ def prediction_file_rows(scored: DataFrame, ts: str = "timestamp") -> DataFrame:
     )
 
 
-def sentiment_rows(scored: DataFrame, ts: str = "fetch_timestamp", extra: Sequence[str] = ()) -> DataFrame:
+def sentiment_rows(
+    scored: DataFrame, ts: str = "fetch_timestamp", extra: Sequence[str] = (), whole_millis: bool = False
+) -> DataFrame:
     """Scored articles in the types of the sentiment table.
 
     ``extra`` keeps further columns, for instance the url: articles of one
     fetch can share a company and millisecond, and only a key that has more
-    than these two tells them apart.
+    than these two tells them apart. ``whole_millis`` cuts the time to the
+    millisecond, for tables that store no more.
     """
+    at = F.date_trunc("millisecond", F.col(ts)) if whole_millis else F.col(ts)
     return scored.select(
         "company",
-        F.col(ts).alias("timestamp"),
+        at.alias("timestamp"),
         "description",
         F.col("description_sentiment").cast("float").alias("description_sentiment"),
         F.col("overall_sentiment").cast("float").alias("overall_sentiment"),

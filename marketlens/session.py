@@ -12,6 +12,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # top-N per key is cut down before the shuffle up to this N
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     # keeps the state of large streams off the heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

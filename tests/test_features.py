@@ -89,3 +89,12 @@ def test_hash_split_is_stable(spark):
     share = marked.agg(F.avg(F.col("is_train").cast("double"))).first()[0]
     assert 0.75 < share < 0.85
     assert rows(marked.repartition(7)) == rows(marked)
+
+
+def test_forecast_of_the_next_price(spark):
+    table = features.next_price_label(features.feature_table(bars(spark, [float(i * 7 % 13) for i in range(40)])))
+    assert table.filter("next_price IS NULL").count() == 1
+    scored = forecast.train_and_score(table, label="next_price", trees=3, depth=3)
+    assert scored.count() == 8
+    model = forecast.train_forest(table, label="next_price", trees=3, depth=3)
+    assert forecast.score(model, table).filter("prediction IS NULL").count() == 0

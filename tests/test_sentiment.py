@@ -125,5 +125,5 @@ def test_relevant_articles(spark):
 
 def test_read_lexicon(spark, tmp_path):
     path = tmp_path / "words.csv"
-    path.write_text("word,polarity,subjectivity\ngood,0.5,0.6\n")
-    assert rows(sentiment.read_lexicon(spark, str(path))) == [("good", 0.5, 0.6)]
+    path.write_text("word,polarity,subjectivity\ngood,0.5,0.5\nbad,-1,1\nGood,1,1\n")
+    assert rows(sentiment.read_lexicon(spark, str(path))) == [("bad", -1.0, 1.0), ("good", 0.75, 0.75)]

@@ -197,3 +197,33 @@ def test_shared_root_comes_from_the_session(spark):
     root = session.shared_root(spark)
     assert root == configured.rstrip("/") if configured else root
     assert session.shared_path(spark, "x") != session.shared_path(spark, "x")
+
+
+def test_handlers_accept_empty_batches(spark, tmp_path):
+    log = upsert.VersionedLog(str(tmp_path / "log"), PREDICTION, ["symbol", "timestamp"])
+    jobs.training_handler(log)(bars(spark, ("A", 0)).limit(0), 0)
+    lexicon = spark.createDataFrame([("good", 0.5, 0.6)], schemas.LEXICON)
+    stored = upsert.VersionedLog(str(tmp_path / "news"), _STORED_NEWS, ["company", "url"])
+    empty = spark.createDataFrame([], schemas.NEWS)
+    jobs.news_handler(lexicon, stored, extra=("url",))(empty, 0)
+    stream = handler(spark, tmp_path)
+    feed(stream, spark, [[("A", m) for m in range(5)]])
+    stream(bars(spark, ("A", 0)).limit(0), 1)
+    stream(bars(spark, ("A", 5)), 2)
+    assert stream.output.current(spark).count() == 3
+
+
+def test_articles_of_one_millisecond_overwrite_each_other(spark):
+    at = T0.replace(microsecond=250_100)
+    made = [("A", at, "d", 0.1, 0.1, "neutral", t, 0.1) for t in ("x", "y")]
+    shape = """company string, fetch_timestamp timestamp, description string, description_sentiment double,
+        overall_sentiment double, sentiment_label string, title string, title_sentiment double"""
+    rows_ = upsert.sentiment_rows(spark.createDataFrame(made, shape), whole_millis=True)
+    kept = upsert.latest_per_key(rows_, ["company", "timestamp"], ["title"])
+    assert rows(kept.select("timestamp", "title")) == [(T0.replace(microsecond=250_000), "y")]
+
+
+def test_partitions_follow_from_the_input():
+    assert session.shuffle_partitions(1) == 8
+    assert session.shuffle_partitions(10**12) == 3726
+    assert session.shuffle_partitions(100 * 10**12) == session.MAX_PARTITIONS
