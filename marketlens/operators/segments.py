@@ -12,8 +12,9 @@ exceed the limit, they are first counted (map tasks combine them), a few stand
 for all in the window, and the result is repeated by the count.
 
 Looking for large keys costs one count per key; only if there are any, a second
-pass takes the ranges of their order columns. What reaches the driver is one row per over-full key or segment, and
-``MAX_SEGMENTS`` bounds their number whatever the data size.
+pass takes the ranges of their order columns. What reaches the driver is one
+row per over-full key or segment, and ``MAX_SEGMENTS`` bounds their number
+whatever the data size.
 """
 
 from __future__ import annotations
@@ -53,12 +54,9 @@ class Segmented:
         return Window.partitionBy(*self.keys, SEGMENT).orderBy(*self.order)
 
 
-def _positions(df: DataFrame, order: Sequence[str]) -> list[Column]:
-    """The leading order columns as doubles that keep their order, as far as they have such a form.
-
-    Values that a double does not tell apart stay in one segment.
-    """
-    found = []
+def _positions(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:
+    """The leading order columns as doubles that keep their order, as far as they have such a form."""
+    found = {}
     for name in order:
         kind = df.schema[name].dataType
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -70,17 +68,36 @@ def _positions(df: DataFrame, order: Sequence[str]) -> list[Column]:
         else:
             break
         placed = F.coalesce(number.cast("double"), F.lit(_LOWEST))
-        found.append(F.greatest(F.least(placed, F.lit(_HIGHEST)), F.lit(_LOWEST)))
+        found[name] = F.greatest(F.least(placed, F.lit(_HIGHEST)), F.lit(_LOWEST))
     return found
 
 
-def _extent(df: DataFrame, groups: Sequence[str], positions: Sequence[Column]) -> DataFrame:
+def _extent(df: DataFrame, groups: Sequence[str], positions: dict[str, Column]) -> DataFrame:
     bounds = []
-    for i, position in enumerate(positions):
-        bounds += [F.min(position).alias(f"lo{i}"), F.max(position).alias(f"hi{i}")]
+    for i, (name, position) in enumerate(positions.items()):
+        bounds += [
+            F.min(position).alias(f"lo{i}"),
+            F.max(position).alias(f"hi{i}"),
+            F.min(name).eqNullSafe(F.max(name)).alias(f"same{i}"),
+        ]
     return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), *bounds)
 
 
+def _axis(row, parts: int, columns: int) -> tuple[int, float] | None:
+    """The first order column that varies and the width of one of ``parts`` equal ranges of it.
+
+    A later column orders rows only where the earlier ones are equal. Values
+    that differ, but not as doubles, are therefore not cut at all.
+    """
+    for i in range(columns):
+        width = (row[f"hi{i}"] - row[f"lo{i}"]) / parts
+        if width > 0:
+            return i, width
+        if not row[f"same{i}"]:
+            return None
+    return None
+
+
 def split_large_keys(
     df: DataFrame,
     keys: Sequence[str],
@@ -111,12 +128,12 @@ def split_large_keys(
         cuts, first_id = [], next_id
         for row in full:
             parts = math.ceil(2 * row["rows"] / limit)
-            widths = [(row[f"hi{i}"] - row[f"lo{i}"]) / parts for i in range(len(positions))]
-            axis = next((i for i, w in enumerate(widths) if w > 0), None)
-            if axis is None:
+            found = _axis(row, parts, len(positions))
+            if found is None:
                 crowded = True
                 continue
-            segment, width = row[SEGMENT] if split else 0, widths[axis]
+            axis, width = found
+            segment = row[SEGMENT] if split else 0
             cuts.append((*(row[k] for k in keys), segment, axis, row[f"lo{axis}"], width, next_id))
             next_id += parts + 1
         if not cuts:
@@ -167,7 +184,7 @@ def _cut(frame: DataFrame, keys, positions, cuts, schema) -> DataFrame:
     table = frame.sparkSession.createDataFrame(cuts, table_schema)
     same_key = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
     match = reduce(Column.__and__, [*same_key, F.col(SEGMENT) == F.col("__from")])
-    along = F.coalesce(*[F.when(F.col("__axis") == i, p) for i, p in enumerate(positions)])
+    along = F.coalesce(*[F.when(F.col("__axis") == i, p) for i, p in enumerate(positions.values())])
     # each row stands for more than total / MAX_SEGMENTS rows, so there are fewer than MAX_SEGMENTS
     joined = frame.join(F.broadcast(table), match, "left")
     steps = F.floor((along - F.col("__low")) / F.col("__width"))

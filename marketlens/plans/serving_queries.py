@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens.functions import columns as C
-from marketlens.operators import calibrate, serving, upsert
+from marketlens.operators import calibrate, serving
 from marketlens.operators.lookup import hold, lookup_join
 from marketlens.plans.catalog import query
 from marketlens.plans.news_queries import scored_articles

@@ -94,6 +94,16 @@ def test_features_of_copies(spark):
     assert shown(cut) == shown(plain_features(df))
 
 
+def test_order_columns_beyond_doubles_are_not_skipped(spark):
+    """Ids that differ only beyond double precision come before the price in the order."""
+    made = [("A", START, 2**62 + i, float(-i), 1.0) for i in range(60)]
+    df = spark.createDataFrame(made, SCHEMA)
+    got = add_features(df, ["price_lag3"], ties=["id", "price"], rows_per_segment=20)
+    w = Window.partitionBy("symbol").orderBy("timestamp", "id", "price")
+    want = df.select("id", F.lag("price", 3).over(w))
+    assert rows(got.select("id", "price_lag3")) == rows(want)
+
+
 def test_crowd_at_one_instant_is_cut_by_price(spark):
     df = frame(spark, [("A", 5, i) for i in range(200)])
     seg = segments.split_large_keys(df, ["symbol"], ["timestamp", "price"], 20)
