@@ -59,8 +59,12 @@ def _positions(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:
     found = {}
     for name in order:
         kind = df.schema[name].dataType
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            number = F.unix_micros(F.col(name).cast("timestamp"))
+        if isinstance(kind, T.TimestampType):
+            number = F.unix_micros(name)
+        elif isinstance(kind, T.TimestampNTZType):
+            # by way of the session zone, a clock change would swap times
+            since = F.col(name) - F.lit("1970-01-01").cast("timestamp_ntz")
+            number = since.cast("interval second").cast("decimal(20,6)")
         elif isinstance(kind, T.DateType):
             number = F.unix_date(name)
         elif isinstance(kind, (T.NumericType, T.BooleanType)):

@@ -104,6 +104,18 @@ def test_order_columns_beyond_doubles_are_not_skipped(spark):
     assert rows(got.select("id", "price_lag3")) == rows(want)
 
 
+def test_clock_changes_of_the_session_zone(spark):
+    night = dt.datetime(2024, 3, 10, 1, 30)
+    made = [("A", night + dt.timedelta(minutes=i), i, float(i), 1.0) for i in range(120)]
+    df = spark.createDataFrame(made, SCHEMA.replace("timestamp timestamp", "timestamp timestamp_ntz"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = rows(add_features(df, ["price_lag3"], rows_per_segment=10).select("id", "price_lag3"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == sorted([(i, float(i - 3) if i > 2 else None) for i in range(120)], key=repr)
+
+
 def test_crowd_at_one_instant_is_cut_by_price(spark):
     df = frame(spark, [("A", 5, i) for i in range(200)])
     seg = segments.split_large_keys(df, ["symbol"], ["timestamp", "price"], 20)
