@@ -23,6 +23,7 @@ from marketlens.plans.views import (
     tick_companies,
     ticks,
 )
+from marketlens.session import shared_path
 from marketlens.sources import landed
 
 KEY = ("doc_id",)
@@ -338,6 +339,18 @@ def blend_calibrated(spark, sf_dir):
     return rounded(blended, ("finalPrediction", "sentiment")).drop("timestamp")
 
 
+@query(
+    "read_market_json",
+    f"""WITH {_SERVED_SQL} SELECT "date", price, symbol, volume, "rawPrediction",
+    round(sentiment + 1e-10, 6) AS sentiment, "rawPrediction" * 1 + sentiment * 0.0 AS "finalPrediction" FROM served""",
+)
+def read_market_json(spark, sf_dir):
+    """Serving records written as paged JSON documents and read back."""
+    path = shared_path(spark, "market-json")
+    landed.export_market_json(served(spark, sf_dir), path, order="timestamp", ties=BAR_TIES)
+    return rounded(landed.read_market_json(spark, path), ("sentiment",))
+
+
 @query(
     "series_arrays",
     f"""WITH {_SERVED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens import schemas
+from marketlens.operators import upsert
 from marketlens.operators.upsert import VersionedLog
 from marketlens.plans.catalog import query
 from marketlens.plans.tick_queries import FEATURE_TABLE_SQL, TIES, rounded
 from marketlens.plans.views import NEWS_START, SCORED, TICKS, lexicon, table, ticks
 from marketlens.session import shared_path
-from marketlens.sources import topics
+from marketlens.sources import landed, topics
 from marketlens.streaming import incremental, jobs, windows
 from marketlens.streaming.runner import run_stream
 
@@ -220,3 +221,33 @@ def stream_news(spark, sf_dir):
         F.round(F.col("overall_sentiment").cast("double"), 4).alias("overall_sentiment"), "url",
     )
     return plain(stored, "timestamp")
+
+
+_PREDICTIONS = T.StructType(
+    [
+        T.StructField("symbol", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("prediction", T.FloatType()),
+        T.StructField("price", T.FloatType()),
+        T.StructField("volume", T.IntegerType()),
+    ]
+)
+
+
+@query(
+    "stream_parquet_scores",
+    f"""WITH {TICKS} SELECT symbol, "timestamp", CAST(CAST(price * 1.01::DOUBLE AS FLOAT) AS DOUBLE) AS prediction,
+    CAST(CAST(price AS FLOAT) AS DOUBLE) AS price, trunc(volume) AS volume FROM ticks""",
+)
+def stream_parquet_scores(spark, sf_dir):
+    """Prediction files without volumes streamed into a log that has them from an earlier writer."""
+    out = shared_path(spark, "scores")
+    rows = ticks(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    log = VersionedLog(f"{out}/log", _PREDICTIONS, ["symbol", "timestamp"])
+    log.append(upsert.prediction_rows(rows.withColumn("prediction", F.col("price"))), 0)
+    rows.select("timestamp", "symbol", "price", (F.col("price") * 1.01).alias("prediction")).write.parquet(f"{out}/files")
+    source = landed.stream_scored_files(spark, f"{out}/files")
+    handler = jobs.partial_handler(log, first_batch=1)
+    run_stream(source, handler, f"{out}/checkpoint", trigger=None).awaitTermination()
+    merged = plain(log.current(spark, by_column=True), "timestamp")
+    return merged.withColumns({c: F.col(c).cast("double") for c in ("prediction", "price", "volume")})

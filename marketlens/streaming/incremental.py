@@ -107,12 +107,14 @@ class FeatureStream:
     def __call__(self, rows: DataFrame, batch_id: int) -> None:
         context = self.context(batch_id)
         usable = rows.filter(F.col("symbol").isNotNull() & F.col(self.ts).isNotNull())
-        on_time, too_late = split_late(context, usable, self.ts, self.lateness)
-        emitted, merged = batch_features(context, on_time, self.ts, self.ties)
+        too_late = None
+        if batch_id > 0:  # before the first batch nothing can be late
+            usable, too_late = split_late(context, usable, self.ts, self.lateness)
+        emitted, merged = batch_features(context, usable, self.ts, self.ties)
         merged = merged.persist()
         try:
             self.output.append(emitted, batch_id)
-            if self.late is not None:
+            if self.late is not None and too_late is not None:
                 self.late.append(too_late, batch_id)
             kept = next_context(merged, self.ts, self.ties, self.lateness)
             kept.write.mode("overwrite").parquet(self._slot(batch_id))

@@ -112,10 +112,16 @@ def training_handler(
     return handle
 
 
-def partial_handler(log: VersionedLog, ts: str = "timestamp") -> Callable[[DataFrame, int], None]:
-    """Append predictions that come from files and carry no volume."""
+def partial_handler(
+    log: VersionedLog, ts: str = "timestamp", first_batch: int = 0
+) -> Callable[[DataFrame, int], None]:
+    """Append predictions that come from files and carry no volume.
+
+    ``first_batch`` puts this stream's batches behind those that another writer
+    left in the log.
+    """
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        log.append(upsert.prediction_file_rows(rows, ts), batch_id)
+        log.append(upsert.prediction_file_rows(rows, ts), first_batch + batch_id)
 
     return handle
