@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 DIMS = 1 << 12
 #: Labelled texts per language that the machines are trained on at most.
 PER_LANGUAGE = 1000
+#: Parts that a language's documents are chosen in before they are chosen together.
+SALTS = 64
 #: A value of the label needs so many texts to be learned.
 MIN_TEXTS = 5
 STEPS, PENALTY = 120, 1e-4
@@ -121,9 +123,11 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     sample has a bound and does not depend on the order of rows.
     """
     usable = documents.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).filter(
-        F.col("__n") <= per_language).select("doc_id", F.col("lang").alias("__lang")).distinct()
+    rows = usable.select("doc_id", "lang").withColumn("__salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    for keys in (("lang", "__salt"), ("lang",)):  # first within parts, so that a common language is no single task
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        rows = rows.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per_language).drop("__n")
+    chosen = rows.select("doc_id", F.col("lang").alias("__lang")).distinct()
     picked = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter("lang = __lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
