@@ -76,25 +76,26 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, segments: int | No
     entries = stored(
         codes.withColumn("__n", F.row_number().over(least)).filter(F.col("__n") <= k + 1)
         .groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    n = entries.count()
-    m = segments or segments_for(n)
-    borders = _borders(m)
-    index = stored(entries.select("code", F.posexplode(F.array(*[_part(F.col("code"), lo, w) for lo, w in borders])).alias(
-        "segment", "value")), "index")
-    # equal query codes are searched once; the k + 1 best leave k for each of them
+    borders = _borders(segments or segments_for(entries.count()))
+    m = len(borders)
+    index = stored(entries.select("code", F.col("ids")[0].alias("first"), F.size("ids").alias("n"), F.posexplode(
+        F.array(*[_part(F.col("code"), lo, w) for lo, w in borders])).alias("segment", "value")), "index")
+    # Equal query codes are searched once. Codes are ranked by distance and least id: a row among the k + 1 best
+    # has a code among the k + 1 best, and k + 1 rows leave k for a query that is one of them.
     left = stored(queries.select(F.col("code").alias("q")).distinct(), "left")
     best, done = None, []
     for radius in range(max(w for _, w in borders) + 1):
         flips = [_probed(i, lo, w, radius) for i, (lo, w) in enumerate(borders)]
         probes = left.select("q", F.explode(F.concat(*flips)).alias("p")).select("q", "p.*")
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
-        met = probes.join(index, ["segment", "value"]).select("q", "code", distance.alias("distance")).distinct()
-        met = met.join(entries, "code").select("q", "distance", F.explode("ids").alias("id"))
-        held = met if best is None else met.union(best.join(left, "q", "left_semi").select("q", "distance", "id")).distinct()
-        order = Window.partitionBy("q").orderBy("distance", "id")
-        best = stored(held.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1), "best")
-        covered = m * (radius + 1) - 1
-        settled = best.filter((F.col("rank") == k + 1) & (F.col("distance") <= covered)).select("q")
+        # the planner can't see how many probes a query makes, so it must not take them for a small table
+        met = index.join(probes.hint("merge"), ["segment", "value"]).select("q", "code", distance.alias("distance"), "first", "n")
+        held = met if best is None else met.union(best.join(left, "q", "left_semi"))
+        order = Window.partitionBy("q").orderBy("distance", "first", "code")
+        best = stored(held.distinct().withColumn("__rank", F.row_number().over(order)).filter(
+            F.col("__rank") <= k + 1).drop("__rank"), "best")
+        settled = best.filter(F.col("distance") <= m * (radius + 1) - 1).groupBy("q").agg(F.sum("n").alias("n")).filter(
+            F.col("n") > k).select("q")
         done.append(best.join(settled, "q", "left_semi"))
         left = stored(left.join(settled, "q", "left_anti"), "left")
         if left.isEmpty():
@@ -104,10 +105,12 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, segments: int | No
     found = done[0]
     for part in done[1:]:
         found = found.union(part)
+    rows = found.join(entries, "code").select("q", "distance", F.explode("ids").alias("neighbor_id"))
+    best_rows = Window.partitionBy("q").orderBy("distance", "neighbor_id")
+    rows = rows.withColumn("__rank", F.row_number().over(best_rows)).filter(F.col("__rank") <= k + 1).drop("__rank")
     again = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return (
-        queries.select(F.col("id").alias("query_id"), F.col("code").alias("q"))
-        .join(found.select("q", "distance", F.col("id").alias("neighbor_id")), "q").filter("query_id != neighbor_id")
+        queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(rows, "q").filter("query_id != neighbor_id")
         .withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= k)
         .select("query_id", "rank", "neighbor_id", "distance")
     )
