@@ -4,13 +4,20 @@ A code is cut into segments, each segment indexes all codes. Two codes at
 distance d agree in some segment up to d / segments bits, so once all segments
 were probed up to radius r, every code within segments * (r + 1) - 1 bits has
 been met. The radius grows until a query's k-th distance lies within that.
+Codes are dealt into blocks that one task can index, every query visits every
+block and brings its best from each; rows are made for results alone, none for
+probes or candidates.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +25,8 @@ from marketlens.llm.common import stored
 
 BITS = 64
 K = 10
+#: Codes and queries that one task compares; both are dealt by hash, so blocks are even.
+BLOCK_CODES, BLOCK_QUERIES = 20_000, 2_000
 
 
 def sign_code(vector: str = "embedding") -> Column:
@@ -37,25 +46,48 @@ def segments_for(n_codes: int) -> int:
     return max(2, min(16, round(BITS / max(1.0, math.log2(max(2, n_codes))))))
 
 
-def _borders(segments: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of each segment."""
-    cuts = [BITS * i // segments for i in range(segments + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
-
-
-def _part(code: Column, low: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def _flips(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in chosen) for chosen in combinations(range(width), radius)]
-
-
-def _probed(segment: int, low: int, width: int, radius: int) -> Column:
-    """Where the index is read for column ``q``: the segment's value with ``radius`` bits turned."""
-    flips = F.array(*[F.lit(x).cast("long") for x in _flips(width, radius)]).cast("array<bigint>")
-    return F.transform(flips, lambda x: F.struct(
-        F.lit(segment).alias("segment"), _part(F.col("q"), low, width).bitwiseXOR(x).alias("value")))
+@lru_cache(maxsize=256)
+def _flips(width: int, radius: int) -> np.ndarray:
+    """All numbers of ``width`` bits with ``radius`` bits set."""
+    return np.array([sum(1 << b for b in chosen) for chosen in combinations(range(width), radius)], "u8")
+
+
+class Index:
+    """The segments' tables over one block of codes."""
+
+    def __init__(self, codes: np.ndarray, segments: int):
+        self.codes = codes
+        cuts = [BITS * i // segments for i in range(segments + 1)]
+        self.parts = []
+        for low, high in zip(cuts, cuts[1:]):
+            mask = np.uint64((1 << (high - low)) - 1)
+            values = (codes >> np.uint64(low)) & mask
+            order = np.argsort(values, kind="stable")
+            self.parts.append((np.uint64(low), mask, high - low, values[order], order))
+
+    def search(self, query: np.uint64, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of codes among which are all of the ``k`` nearest rows' codes.
+
+        ``wanted`` has the rows of each code. The radius grows while fewer than
+        ``k`` rows lie within the distance that is covered; when the next radius
+        would probe more values than there are codes, all codes are compared.
+        """
+        met: list[np.ndarray] = []
+        for radius in range(BITS):
+            flips = [_flips(width, radius) if radius <= width else np.empty(0, "u8") for _, _, width, _, _ in self.parts]
+            if sum(map(len, flips)) > len(self.codes):
+                break
+            for (low, mask, _, values, order), flip in zip(self.parts, flips):
+                probes = ((query >> low) & mask) ^ flip
+                lo, hi = np.searchsorted(values, probes, "left"), np.searchsorted(values, probes, "right")
+                met += [order[x:y] for x, y in zip(lo[hi > lo], hi[hi > lo])]
+            at = np.unique(np.concatenate(met)) if met else np.empty(0, "i8")
+            distance = np.bitwise_count(self.codes[at] ^ query).astype("i4")
+            covered = len(self.parts) * (radius + 1) - 1
+            if wanted[at[distance <= covered]].sum() >= k:
+                return at, distance
+            met = [at]
+        return np.arange(len(self.codes)), np.bitwise_count(self.codes ^ query).astype("i4")
 
 
 def nearest(codes: DataFrame, queries: DataFrame, k: int = K, segments: int | None = None) -> DataFrame:
@@ -76,35 +108,39 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, segments: int | No
     entries = stored(
         codes.withColumn("__n", F.row_number().over(least)).filter(F.col("__n") <= k + 1)
         .groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    borders = _borders(segments or segments_for(entries.count()))
-    m = len(borders)
-    index = stored(entries.select("code", F.col("ids")[0].alias("first"), F.size("ids").alias("n"), F.posexplode(
-        F.array(*[_part(F.col("code"), lo, w) for lo, w in borders])).alias("segment", "value")), "index")
-    # Equal query codes are searched once. Codes are ranked by distance and least id: a row among the k + 1 best
-    # has a code among the k + 1 best, and k + 1 rows leave k for a query that is one of them.
-    left = stored(queries.select(F.col("code").alias("q")).distinct(), "left")
-    best, done = None, []
-    for radius in range(max(w for _, w in borders) + 1):
-        flips = [_probed(i, lo, w, radius) for i, (lo, w) in enumerate(borders)]
-        probes = left.select("q", F.explode(F.concat(*flips)).alias("p")).select("q", "p.*")
-        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
-        # the planner can't see how many probes a query makes, so it must not take them for a small table
-        met = index.join(probes.hint("merge"), ["segment", "value"]).select("q", "code", distance.alias("distance"), "first", "n")
-        held = met if best is None else met.union(best.join(left, "q", "left_semi"))
-        order = Window.partitionBy("q").orderBy("distance", "first", "code")
-        best = stored(held.distinct().withColumn("__rank", F.row_number().over(order)).filter(
-            F.col("__rank") <= k + 1).drop("__rank"), "best")
-        settled = best.filter(F.col("distance") <= m * (radius + 1) - 1).groupBy("q").agg(F.sum("n").alias("n")).filter(
-            F.col("n") > k).select("q")
-        done.append(best.join(settled, "q", "left_semi"))
-        left = stored(left.join(settled, "q", "left_anti"), "left")
-        if left.isEmpty():
-            break
-    else:
-        done.append(best.join(left, "q", "left_semi"))
-    found = done[0]
-    for part in done[1:]:
-        found = found.union(part)
+    blocks = max(1, -(-entries.count() // BLOCK_CODES))
+    asked = queries.select(F.col("code").alias("q")).distinct()
+    query_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    index = entries.select(F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block"), F.struct(
+        "code", F.col("ids")[0].alias("first"), F.size("ids").alias("n")).alias("e")).groupBy("block").agg(
+        F.collect_list("e.code").alias("codes"), F.collect_list("e.first").alias("firsts"), F.collect_list("e.n").alias("ns"))
+    lists = asked.groupBy(F.pmod(F.xxhash64("q", F.lit(1)), F.lit(query_blocks)).alias("part")).agg(
+        F.collect_list("q").alias("qs")).select(
+        "qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                codes_, firsts, ns, qs = (
+                    batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("codes", "firsts", "ns", "qs"))
+                table = Index(codes_.view("u8"), segments or segments_for(len(codes_)))
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for q in qs.view("u8"):
+                    at, distance = table.search(q, ns, k + 1)
+                    order = np.lexsort((codes_[at], firsts[at], distance))[: k + 1]
+                    for column, x in zip(out, (np.full(len(order), q), codes_[at[order]], distance[order], firsts[at[order]])):
+                        column.append(x)
+                q, code, distance, first = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q.view("i8")), pa.array(code), pa.array(distance, pa.int32()), pa.array(first)],
+                    ["q", "code", "distance", "first"])
+
+    # Codes are ranked by distance and least id: a row among the k + 1 best has a code among the k + 1 best, and
+    # k + 1 rows leave k for a query that is one of them.
+    best = index.join(lists.hint("merge"), "block").select("codes", "firsts", "ns", "qs").mapInArrow(
+        run, "q long, code long, distance int, first long")
+    order = Window.partitionBy("q").orderBy("distance", "first", "code")
+    found = best.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= k + 1)
     rows = found.join(entries, "code").select("q", "distance", F.explode("ids").alias("neighbor_id"))
     best_rows = Window.partitionBy("q").orderBy("distance", "neighbor_id")
     rows = rows.withColumn("__rank", F.row_number().over(best_rows)).filter(F.col("__rank") <= k + 1).drop("__rank")
