@@ -21,8 +21,8 @@ def col(name: str | Column) -> Column:
 
 
 def clean_text(text: str | Column) -> Column:
-    """Runs of white space become one blank, ends are trimmed, letters lowered."""
-    return F.lower(F.trim(F.regexp_replace(col(text), r"\s+", " ")))
+    """Runs of white space, Unicode's included, become one blank, ends are trimmed, letters lowered."""
+    return F.lower(F.trim(F.regexp_replace(col(text), r"(?U)[\s\x1c-\x1f]+", " ")))
 
 
 def percent_error(prediction: str | Column, actual: str | Column) -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import columns as C
@@ -61,7 +62,14 @@ def train_forest(
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).drop("features")
+    """The rows with ``prediction``; null, and no row left out, where a feature is null or NaN."""
+    assemble, *rest = model.stages
+    names = assemble.getInputCols()
+    scored = assemble.copy().setHandleInvalid("keep").transform(rows)
+    for stage in rest:
+        scored = stage.transform(scored)
+    complete = reduce(Column.__and__, [F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double")) for n in names])
+    return scored.withColumn("prediction", F.when(complete, F.col("prediction"))).drop("features")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -28,6 +28,12 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def one_per_word(lexicon: DataFrame) -> DataFrame:
+    """One row per word with the means of its entries; a word without a polarity or subjectivity is none of the lexicon."""
+    means = lexicon.groupBy("word").agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in ("polarity", "subjectivity")])
+    return means.dropna()
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
 
@@ -66,7 +72,7 @@ def score_articles(
         ).alias("word"),
     )
     blank = lexicon.sparkSession.createDataFrame([(_NO_WORD, None, None)], schemas.LEXICON)
-    known = lexicon.select("word", "polarity", "subjectivity").unionByName(blank)
+    known = one_per_word(lexicon).select("word", "polarity", "subjectivity").unionByName(blank)
     found = lookup_join(words, known, ["word"], "inner")
 
     means = []
@@ -127,6 +133,7 @@ def score_news(news: DataFrame, lexicon: DataFrame) -> DataFrame:
     batches, with the lexicon as a dictionary. A lexicon beyond the broadcast
     bounds goes through :func:`score_articles` and that join.
     """
+    lexicon = one_per_word(lexicon)
     if is_small(lexicon):
         entries = {r["word"]: (r["polarity"], r["subjectivity"]) for r in lexicon.collect()}
         score = _in_place_scorer(entries)

@@ -77,7 +77,8 @@ def join_sentiment_asof(
         *[F.lit(None).alias(f"__news_tie{i}") for i in range(len(news_ties))],
         F.lit(None).cast("double").alias("__score"),
     )
-    articles = news.select(
+    # an article without a company belongs to no bar, also to none without a symbol
+    articles = news.filter(F.col("company").isNotNull()).select(
         F.col("company").alias("__company"),
         F.col(news_ts).alias("__ts"),
         F.lit(0).alias("__side"),

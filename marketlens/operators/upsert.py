@@ -138,7 +138,10 @@ class VersionedLog:
         self.schema = T.StructType(list(schema.fields))
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
-        """Write a batch from the executors, in place of an earlier try of it.
+        """Write a batch from the executors, in place of an earlier try of it as a whole.
+
+        A batch has a folder of its own, so a try with fewer days or no rows
+        leaves nothing of the one before.
 
         Rows of a day are brought together first, so that a batch of many tasks
         and days does not write tasks times days files. The rebalance hint lets
@@ -147,13 +150,12 @@ class VersionedLog:
         (
             rows.select(*self.schema.fieldNames())
             .withColumn(DAY, F.to_date(self.ts))
-            .withColumn(BATCH, F.lit(int(batch_id)).cast("long"))
             .hint("rebalance", F.col(DAY))
-            .sortWithinPartitions(BATCH, DAY, *self.sort_by)
+            .sortWithinPartitions(DAY, *self.sort_by)
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BATCH, DAY)
-            .parquet(self.path)
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(DAY)
+            .parquet(f"{self.path}/{BATCH}={int(batch_id)}")
         )
 
     def versions(self, spark: SparkSession) -> DataFrame:
@@ -169,16 +171,23 @@ class VersionedLog:
         """The table: the latest version of each key.
 
         ``by_column`` takes the latest value of each column that is not null,
-        for logs whose writers leave columns out. ``days`` reads only the
-        directories of a range of days, both ends included.
+        for logs whose writers leave columns out. ``days`` keeps a range of days,
+        both ends included. Only where the time is part of the key all versions
+        of a row lie in one day, and other directories need not be read.
         """
         versions, order = self.versions(spark), [BATCH, *self.ties]
-        if days:
-            versions = versions.filter(F.col(DAY).between(*[F.lit(d).cast("date") for d in days]))
+
+        def inside(day: Column) -> Column:
+            return day.between(*[F.lit(d).cast("date") for d in days])
+
+        if days and self.ts in self.keys:
+            versions = versions.filter(inside(F.col(DAY)))
         versions = versions.drop(DAY)
         if by_column:
-            return merge_partial_rows(versions, self.keys, order)
-        return latest_per_key(versions, self.keys, order).drop(BATCH)
+            table = merge_partial_rows(versions, self.keys, order)
+        else:
+            table = latest_per_key(versions, self.keys, order).drop(BATCH)
+        return table.filter(inside(F.to_date(self.ts))) if days and self.ts not in self.keys else table
 
     def compact_to(self, spark: SparkSession, path: str) -> "VersionedLog":
         """Write the current table as the first batch of a log at a new path."""

@@ -22,14 +22,13 @@ ENGINE_CONF = {
 }
 
 
-# bytes of input per shuffle partition, and the number of partitions at most
+# bytes of input per shuffle partition
 PARTITION_BYTES = 256 * 1024 * 1024
-MAX_PARTITIONS = 50_000
 
 
 def shuffle_partitions(input_bytes: int) -> int:
     """Partitions to start from for an input; adaptive execution joins the small ones."""
-    return max(8, min(MAX_PARTITIONS, -(-input_bytes // PARTITION_BYTES)))
+    return max(8, -(-input_bytes // PARTITION_BYTES))
 
 
 def build_session(

@@ -80,7 +80,7 @@ def scoring_handler(
         try:
             log.append(upsert.prediction_rows(scored, ts), batch_id)
             if report:
-                report(stock_result(scored, ts), batch_id)
+                report(stock_result(scored, ts, ("symbol", *ties)), batch_id)
         finally:
             scored.unpersist()
 
@@ -105,7 +105,7 @@ def training_handler(
                 return
             log.append(upsert.prediction_rows(scored, ts), batch_id)
             if report:
-                report(stock_result(scored, ts), batch_id)
+                report(stock_result(scored, ts, ("symbol", *ties)), batch_id)
         finally:
             table.unpersist()
 

@@ -35,7 +35,7 @@ def test_numbers(spark):
 
 
 def test_clean_text(spark):
-    assert one(spark, ["  A \n\t b  ", "", None], "string", C.clean_text) == ["a b", "", None]
+    assert one(spark, ["  A \n\t b  ", "", None, "\u00a0a\u2003\u00a0b\u0085"], "string", C.clean_text) == ["a b", "", None, "a b"]
 
 
 def test_percent_error(spark):

@@ -127,3 +127,13 @@ def test_read_lexicon(spark, tmp_path):
     path = tmp_path / "words.csv"
     path.write_text("word,polarity,subjectivity\ngood,0.5,0.5\nbad,-1,1\nGood,1,1\n")
     assert rows(sentiment.read_lexicon(spark, str(path))) == [("bad", -1.0, 1.0), ("good", 0.75, 0.75)]
+
+
+def test_both_scorers_take_any_lexicon_alike(spark, monkeypatch):
+    lexicon = spark.createDataFrame(
+        [("good", 0.5, 1.0), ("good", -0.25, None), ("bad", None, 0.5), ("odd", float("nan"), 0.1), ("fine", 1.0, 0.0)],
+        "word string, polarity double, subjectivity double")
+    news = spark.createDataFrame([("good bad fine", None), ("odd", "fine fine")], "title string, description string")
+    small = rows(sentiment.score_news(news, lexicon).select("title", "title_sentiment", "description_sentiment"))
+    monkeypatch.setattr(sentiment, "is_small", lambda df: False)
+    assert small == rows(sentiment.score_news(news, lexicon).select("title", "title_sentiment", "description_sentiment"))

@@ -52,6 +52,23 @@ def test_log_replay_and_versions(spark, tmp_path):
     assert rows(compacted.current(spark), "timestamp") == want and compacted.versions(spark).count() == 2
 
 
+def test_a_shorter_try_replaces_the_longer(spark, tmp_path):
+    table = log(tmp_path)
+    first = upsert.prediction_rows(scored(spark, ("A", 0, 1.0, 2.0, 3.0), ("A", 30, 1.0, 2.0, 5.0)))
+    table.append(first, 0)
+    table.append(first.filter(F.col("timestamp") == F.lit(T0)), 0)
+    assert table.versions(spark).count() == 1
+    table.append(first.limit(0), 0)
+    assert table.current(spark).count() == 0
+
+
+def test_days_do_not_bring_back_old_versions(spark, tmp_path):
+    table = upsert.VersionedLog(str(tmp_path / "log"), PREDICTION, ["symbol"])
+    table.append(upsert.prediction_rows(scored(spark, ("A", 0, 1.0, 2.0, 3.0), ("B", 0, 1.0, 2.0, 3.0))), 0)
+    table.append(upsert.prediction_rows(scored(spark, ("A", 30, 5.0, 2.0, 3.0))), 1)
+    assert [r.symbol for r in table.current(spark, days=("2024-01-01", "2024-01-01")).collect()] == ["B"]
+
+
 def test_partial_writes_keep_other_columns(spark, tmp_path):
     table = log(tmp_path)
     table.append(upsert.prediction_rows(scored(spark, ("A", 0, 1.0, 2.0, 3.0))), 0)
