@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens import schemas
+
 _FLAT = 1e-12
 
 
@@ -28,7 +30,8 @@ def fit_blend(
     One pass collects means, variances and covariances; the fit follows from
     them in closed form. Scaling is linear, so it is applied to the moments
     instead of the rows. When the regressors are collinear, a constant
-    sentiment included, the solution of smallest norm is returned. One row.
+    sentiment included, the solution of smallest norm is returned. One row,
+    with the bounds ``lo`` and ``hi`` that the sentiment was scaled by.
     """
     y, a, s = (F.col(c).cast("double") for c in (target, raw, sentiment))
     whole = y.isNotNull() & a.isNotNull() & s.isNotNull()
@@ -51,7 +54,7 @@ def fit_blend(
     varies = F.col("hi") > F.col("lo")
     width = F.when(varies, F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
     scaled = moments.select(
-        "rows", "my", "ma", "vaa", "vay",
+        "rows", "my", "ma", "vaa", "vay", "lo", "hi",
         F.when(varies, (F.col("ms") - F.col("lo")) / width).otherwise(F.col("ms")).alias("mb"),
         (F.col("vss") / width / width).alias("vbb"),
         (F.col("vas") / width).alias("vab"),
@@ -69,11 +72,23 @@ def fit_blend(
     beta = weight(F.col("vby") * F.col("vaa") - F.col("vay") * F.col("vab"), "vby")
     return (
         scaled.filter(F.col("rows") > 0)
-        .select("rows", "my", "ma", "mb", alpha.alias("alpha"), beta.alias("beta"))
+        .select("rows", "my", "ma", "mb", "lo", "hi", alpha.alias("alpha"), beta.alias("beta"))
         .select(
             "alpha",
             "beta",
             (F.col("my") - F.col("alpha") * F.col("ma") - F.col("beta") * F.col("mb")).alias("intercept"),
             "rows",
+            "lo",
+            "hi",
         )
     )
+
+
+def write_fit(fit: DataFrame, path: str) -> None:
+    """Store a fit as a table of one row, in place of an earlier one."""
+    fit.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_fit(spark: SparkSession, path: str) -> DataFrame:
+    """The fit that :func:`write_fit` stored, to the last digit."""
+    return spark.read.schema(schemas.BLEND_FIT).parquet(path)

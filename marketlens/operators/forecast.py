@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import columns as C
 from marketlens.operators.features import FEATURE_NAMES, has_enough_rows
+from marketlens.operators.lookup import hold
 from marketlens.operators.segments import ROWS_PER_SEGMENT, number_rows
 
 # Model size and share of training rows.
@@ -122,13 +123,11 @@ def train_and_score(
     """Train on the early rows of a feature table and score the rest.
 
     None when the table does not pass the training gate. Only the held-out
-    rows come back. The training reads its rows several times, so they are
-    persisted while it lasts; the caller may persist the features for longer.
+    rows come back. The training reads its rows several times and the held-out
+    ones are read later, so they stay persisted until ``release_measured``.
     """
     if not has_enough_rows(features):
         return None
-    marked = spread_evenly(split_by_time(features, ts, ties), ["symbol", ts, *ties]).persist()
+    marked = hold(spread_evenly(split_by_time(features, ts, ties), ["symbol", ts, *ties]))
     model = train_forest(marked.filter("is_train"), label, trees=trees, depth=depth, seed=seed)
-    scored = score(model, marked.filter("NOT is_train")).drop("is_train")
-    marked.unpersist()
-    return scored
+    return score(model, marked.filter("NOT is_train")).drop("is_train")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,19 +13,26 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
-_measured: list[DataFrame] = []
+_kept = threading.local()
+
+
+def _held() -> list[DataFrame]:
+    """The frames kept by this thread; the batches of a stream run in threads of their own."""
+    if not hasattr(_kept, "frames"):
+        _kept.frames = []
+    return _kept.frames
 
 
 def release_measured() -> None:
-    """Free the frames that :func:`lookup_join` and :func:`hold` keep."""
-    while _measured:
-        _measured.pop().unpersist()
+    """Free the frames that :func:`lookup_join` and :func:`hold` keep for the calling thread."""
+    while _held():
+        _held().pop().unpersist()
 
 
 def hold(df: DataFrame) -> DataFrame:
     """Persist a frame that a query reads more than once, until :func:`release_measured`."""
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _measured.append(held)
+    _held().append(held)
     return held
 
 

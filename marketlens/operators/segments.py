@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 
 ROWS_PER_SEGMENT = 4_000_000
 MAX_SEGMENTS = 200_000
-MAX_LEVELS = 8
 
 SEGMENT = "__segment"
 OWN = "__own"
@@ -128,7 +127,7 @@ def split_large_keys(
     full = _extent(df, keys, positions).filter(F.col("rows") > limit).collect()
 
     next_id, split, crowded = 1, False, False
-    for _ in range(MAX_LEVELS):
+    while full:  # a cut parts the lowest from the highest position, so this ends
         cuts, first_id = [], next_id
         for row in full:
             parts = math.ceil(2 * row["rows"] / limit)
@@ -146,8 +145,6 @@ def split_large_keys(
         split = True
         fresh = frame.filter(F.col(SEGMENT) >= first_id)
         full = _extent(fresh, [*keys, SEGMENT], positions).filter(F.col("rows") > limit).collect()
-        if not full:
-            break
     return Segmented(frame, keys, order, split, crowded)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from marketlens.operators.lookup import is_small, lookup_join
 # The terms of the article search.
 FINANCE_TERMS = ("stock", "shares", "market", "trading", "earnings", "investor", "financial")
 
-WORD_PATTERN = "[a-z]+"
+WORD_PATTERN = r"\p{L}+"
+_BETWEEN_WORDS = r"\P{L}+"
 _NO_WORD = ""
+_TEXTS_AT_ONCE = 256
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -29,8 +33,12 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def one_per_word(lexicon: DataFrame) -> DataFrame:
-    """One row per word with the means of its entries; a word without a polarity or subjectivity is none of the lexicon."""
-    means = lexicon.groupBy("word").agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in ("polarity", "subjectivity")])
+    """One row per word with the means of its entries.
+
+    A null or empty word, or one without a polarity or subjectivity, is none of
+    the lexicon.
+    """
+    means = lexicon.filter(F.col("word") != _NO_WORD).groupBy("word").agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in ("polarity", "subjectivity")])
     return means.dropna()
 
 
@@ -38,33 +46,101 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
 
 
-def score_articles(
-    articles: DataFrame,
-    lexicon: DataFrame,
-    key: Sequence[str],
-    fields: Sequence[str] = ("title", "description"),
-    carry: Sequence[str] = (),
+@dataclass(frozen=True)
+class Scorer:
+    """A lexicon that was looked at once; ``in_place`` scores a lowered text where it is, if the lexicon is small."""
+
+    words: DataFrame
+    in_place: Callable[[Column], Column] | None
+
+
+def scorer(lexicon: DataFrame | Scorer) -> Scorer:
+    """Reduce a lexicon to one row per word and take its size; what it gives can be used for many batches."""
+    if isinstance(lexicon, Scorer):
+        return lexicon
+    words = one_per_word(lexicon)
+    if not is_small(words):
+        return Scorer(words, None)
+    entries = sorted((r["word"], r["polarity"], r["subjectivity"]) for r in words.collect())
+    return Scorer(words, _in_place_scorer(entries))
+
+
+def _in_place_scorer(entries: list[tuple[str, float, float]]) -> Callable[[Column], Column]:
+    known = [e[0] for e in entries]
+    polarity, subjectivity = (np.array([e[i] for e in entries], "float64") for i in (1, 2))
+
+    def score_some(texts: pa.Array, words: pa.Array) -> pa.Array:
+        split = pc.split_pattern_regex(texts.fill_null(""), _BETWEEN_WORDS)
+        at = pc.index_in(pc.list_flatten(split), value_set=words)
+        hit = pc.is_valid(at)
+        of = pc.list_parent_indices(split).filter(hit).to_numpy(zero_copy_only=False)
+        at = at.filter(hit).to_numpy(zero_copy_only=False)
+        n = np.bincount(of, minlength=len(texts))
+        p, s = (np.bincount(of, weights=w[at], minlength=len(texts)) for w in (polarity, subjectivity))
+        some = np.maximum(n, 1)
+        scores = np.where(n > 0, p / some * (0.5 + 0.5 * s / some), 0.0)
+        return pa.array(scores, mask=pc.is_null(texts).to_numpy(zero_copy_only=False))
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        words = pa.array(known, texts.type)
+        # some texts at a time, so that the words in memory are few
+        parts = [score_some(texts.slice(i, _TEXTS_AT_ONCE), words) for i in range(0, len(texts), _TEXTS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.float64())
+
+    return score
+
+
+def score_texts(
+    articles: DataFrame, lexicon: DataFrame | Scorer, fields: Sequence[str] = ("title", "description"),
 ) -> DataFrame:
-    """One score ``<field>_sentiment`` per text field, one row per key.
+    """The articles with a score ``<field>_sentiment`` for each text field.
 
     A text's polarity and subjectivity are the means over its words found in
-    ``lexicon`` (word, polarity, subjectivity; one row per word); the score is the polarity
-    weighted by subjectivity. A text without such words scores 0, a null text
-    scores null. Rows with equal keys must hold equal texts. ``carry`` names
-    short columns that depend on the key.
-
-    Words meet the lexicon in a broadcast join. The aggregation that follows
-    combines an article's words within its own task, so only one short row per
-    article is shuffled; no text is.
+    ``lexicon`` (word, polarity, subjectivity); the score is the polarity
+    weighted by subjectivity. Words are runs of letters. A text without words
+    of the lexicon scores 0, a null text scores null. An entry that repeats
+    counts with its means.
+
+    The words of a text are all in its row, so the row is scored where it is, in
+    Arrow batches, and nothing is shuffled. A lexicon beyond the broadcast
+    bounds goes through :func:`score_by_join`.
+    """
+    known = scorer(lexicon)
+    if known.in_place:
+        return articles.withColumns({f"{name}_sentiment": known.in_place(F.lower(name)) for name in fields})
+    # articles with the same content share a key; each copy stays a row
+    keyed = articles.withColumn("__content", F.sha2(F.to_json(F.struct(*fields)), 256))
+    scores = score_by_join(keyed, known.words, ["__content"], fields)
+    return keyed.join(scores, "__content", "left").drop("__content")
+
+
+def score_articles(
+    articles: DataFrame, lexicon: DataFrame | Scorer, key: Sequence[str],
+    fields: Sequence[str] = ("title", "description"), carry: Sequence[str] = (),
+) -> DataFrame:
+    """The scores of :func:`score_texts` without the texts: a short row per article."""
+    columns = list(dict.fromkeys([*key, *carry]))
+    scored = score_texts(articles.select(*dict.fromkeys([*columns, *fields])), lexicon, fields)
+    return scored.select(*columns, *[f"{name}_sentiment" for name in fields])
+
+
+def score_by_join(
+    articles: DataFrame, lexicon: DataFrame, key: Sequence[str], fields: Sequence[str] = ("title", "description"),
+) -> DataFrame:
+    """Scores as :func:`score_texts` gives them, one row per key, for a lexicon of any size.
+
+    Rows with equal keys must hold equal texts. Words meet the lexicon in a
+    join. The aggregation that follows combines an article's words within its
+    own task where the lexicon is broadcast, so no text is shuffled.
     """
     stacked = [part for name in fields for part in (F.lit(name), F.col(name))]
     texts = articles.select(
-        *key, *carry, F.stack(F.lit(len(fields)), *stacked).alias("__field", "__text")
+        *key, F.stack(F.lit(len(fields)), *stacked).alias("__field", "__text")
     )
     # a blank word per text keeps texts without a match in an inner join
     words = texts.select(
         *key,
-        *carry,
         "__field",
         F.col("__text").isNull().alias("__missing"),
         F.explode(
@@ -83,10 +159,9 @@ def score_articles(
             F.avg(F.when(here, F.col("subjectivity"))).alias(f"__{name}_s"),
             F.bool_or(here & F.col("__missing")).alias(f"__{name}_null"),
         ]
-    grouped = found.groupBy(*key, *carry).agg(*means)
+    grouped = found.groupBy(*key).agg(*means)
     return grouped.select(
         *key,
-        *carry,
         *[
             F.when(
                 ~F.col(f"__{name}_null"),
@@ -105,45 +180,9 @@ def with_overall(scored: DataFrame) -> DataFrame:
     )
 
 
-def _in_place_scorer(entries: dict[str, tuple[float, float]]):
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        word = re.compile(WORD_PATTERN)
-
-        def one(text: str | None) -> float | None:
-            if text is None:
-                return None
-            found = [entries[w] for w in word.findall(text.lower()) if w in entries]
-            if not found:
-                return 0.0
-            polarity = sum(p for p, _ in found) / len(found)
-            subjectivity = sum(s for _, s in found) / len(found)
-            return polarity * (0.5 + 0.5 * subjectivity)
-
-        return texts.map(one, na_action=None)
-
-    return score
-
-
-def score_news(news: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """The articles, texts included, with both field scores, overall score and label.
-
-    Joining scores back to full articles would shuffle every text. The words of
-    a text are all in its row, so the row is scored where it is, in Arrow
-    batches, with the lexicon as a dictionary. A lexicon beyond the broadcast
-    bounds goes through :func:`score_articles` and that join.
-    """
-    lexicon = one_per_word(lexicon)
-    if is_small(lexicon):
-        entries = {r["word"]: (r["polarity"], r["subjectivity"]) for r in lexicon.collect()}
-        score = _in_place_scorer(entries)
-        return with_overall(
-            news.withColumns({f"{name}_sentiment": score(name) for name in ("title", "description")})
-        )
-    # articles with the same content share a key; each copy stays a row
-    keyed = news.withColumn("__content", F.md5(F.to_json(F.struct("title", "description"))))
-    scores = score_articles(keyed, lexicon, ["__content"])
-    return with_overall(keyed.join(scores, "__content", "left").drop("__content"))
+def score_news(news: DataFrame, lexicon: DataFrame | Scorer) -> DataFrame:
+    """The articles, texts included, with both field scores, overall score and label."""
+    return with_overall(score_texts(news, lexicon))
 
 
 def company_statistics(scored: DataFrame) -> DataFrame:
@@ -215,11 +254,11 @@ def relevant_articles(
 
     ``as_of`` is the last day (``yyyy-MM-dd``) of a window of ``days_back``
     days before it. Terms match whole words; a word is bounded by anything
-    but an ASCII letter, digit or underscore.
+    but a letter, digit or underscore.
     """
     last = F.to_date(F.lit(as_of))
     lowered = F.lower(text)
-    whole_word = "(^|[^a-z0-9_])(" + "|".join(terms) + ")([^a-z0-9_]|$)"
+    whole_word = r"(^|[^\p{L}\p{N}_])(" + "|".join(terms) + r")([^\p{L}\p{N}_]|$)"
     return articles.filter(
         # bounds on the plain column reach the scan
         (F.col(published) >= F.date_sub(last, days_back))

@@ -142,10 +142,13 @@ def market_data_for(
     return serving_records(joined.orderBy(ts, *ties), ts, **weights)
 
 
-def fitted_weights(fit: DataFrame) -> tuple[Column, Column]:
-    """Weights of a one-row fit as columns for :func:`serving_records`."""
-    weights = fit.select(F.struct("alpha", "beta")).scalar()
-    return weights["alpha"], weights["beta"]
+def blend_fitted(records: DataFrame, fit: DataFrame, name: str = "finalPrediction") -> DataFrame:
+    """Blend by a one-row fit: its weights and intercept, the sentiment scaled by the bounds it was fitted with."""
+    weights = fit.select(F.struct("alpha", "beta", "intercept", "lo", "hi")).scalar()
+    lo, hi, s = weights["lo"], weights["hi"], F.col("sentiment")
+    scaled = F.when(hi > lo, (s - lo) / (hi - lo)).otherwise(s)
+    blended = C.blend_linear("rawPrediction", scaled, weights["alpha"], weights["beta"])
+    return records.withColumn(name, blended + weights["intercept"])
 
 
 def blend_with_coefficients(records: DataFrame, coefficients: DataFrame, name: str = "finalPrediction") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 BATCH = "log_batch"
 DAY = "log_day"
+DELETED = "log_deleted"
 
 
 def _version(columns: Sequence[str]) -> Column:
@@ -123,19 +124,23 @@ class VersionedLog:
 
     ``keys`` identify a row of the table; the batch number is its version.
     Within a file rows are sorted by ``sort_by``, so that a scan for one symbol
-    skips most row groups; the day directories serve time ranges.
+    skips most row groups; the day directories serve time ranges. A log with
+    ``deletes`` takes rows with a boolean column ``log_deleted``; a key whose
+    latest version has it set is not in the table.
     """
 
     def __init__(
         self, path: str, schema: T.StructType, keys: Sequence[str], ts: str = "timestamp",
-        sort_by: Sequence[str] | None = None, ties: Sequence[str] = (),
+        sort_by: Sequence[str] | None = None, ties: Sequence[str] = (), deletes: bool = False,
     ):
         self.path = path
         self.keys = list(keys)
         self.ts = ts
         self.ties = list(ties)
         self.sort_by = list(sort_by or keys)
-        self.schema = T.StructType(list(schema.fields))
+        self.deletes = deletes
+        marks = [T.StructField(DELETED, T.BooleanType())] if deletes else []
+        self.schema = T.StructType([*schema.fields, *marks])
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
         """Write a batch from the executors, in place of an earlier try of it as a whole.
@@ -148,7 +153,7 @@ class VersionedLog:
         adaptive execution cut a large day and join small ones.
         """
         (
-            rows.select(*self.schema.fieldNames())
+            self._marked(rows).select(*self.schema.fieldNames())
             .withColumn(DAY, F.to_date(self.ts))
             .hint("rebalance", F.col(DAY))
             .sortWithinPartitions(DAY, *self.sort_by)
@@ -158,6 +163,10 @@ class VersionedLog:
             .parquet(f"{self.path}/{BATCH}={int(batch_id)}")
         )
 
+    def _marked(self, rows: DataFrame) -> DataFrame:
+        unmarked = self.deletes and DELETED not in rows.columns
+        return rows.withColumn(DELETED, F.lit(False)) if unmarked else rows
+
     def versions(self, spark: SparkSession) -> DataFrame:
         """All rows ever written, with their batch and day."""
         full = T.StructType(
@@ -183,14 +192,19 @@ class VersionedLog:
         if days and self.ts in self.keys:
             versions = versions.filter(inside(F.col(DAY)))
         versions = versions.drop(DAY)
+        if self.deletes and by_column:
+            raise ValueError("a deleted row has no latest value per column")
         if by_column:
             table = merge_partial_rows(versions, self.keys, order)
         else:
             table = latest_per_key(versions, self.keys, order).drop(BATCH)
+        if self.deletes:
+            table = table.filter(~F.coalesce(DELETED, F.lit(False))).drop(DELETED)
         return table.filter(inside(F.to_date(self.ts))) if days and self.ts not in self.keys else table
 
     def compact_to(self, spark: SparkSession, path: str) -> "VersionedLog":
         """Write the current table as the first batch of a log at a new path."""
-        target = VersionedLog(path, self.schema, self.keys, self.ts, self.sort_by, self.ties)
+        shape = T.StructType([f for f in self.schema.fields if f.name != DELETED])
+        target = VersionedLog(path, shape, self.keys, self.ts, self.sort_by, self.ties, self.deletes)
         target.append(self.current(spark), 0)
         return target

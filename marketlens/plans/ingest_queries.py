@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schemas
 from marketlens.plans.catalog import query
-from marketlens.plans.views import NEWS, TICKS, news, ticks
+from marketlens.plans.views import NEWS, TICKS, news, table, ticks
 from marketlens.sources import landed, topics
 
 FETCHED = "2024-02-01 00:00:00"
@@ -145,12 +145,14 @@ def reject_bad_pages(spark, sf_dir):
 
 @query(
     "articles_per_company",
-    f"""WITH {NEWS} SELECT concat('src', CAST(n AS VARCHAR)) AS company,
+    f"""WITH {NEWS} SELECT listed AS company,
       count(doc_id) FILTER (WHERE company NOT IN {FAILED}) AS articles
-    FROM range(25) AS r(n) LEFT JOIN news ON company = concat('src', CAST(n AS VARCHAR)) GROUP BY ALL""",
+    FROM (SELECT DISTINCT source AS listed FROM documents WHERE source IS NOT NULL) LEFT JOIN news ON company = listed
+    GROUP BY ALL""",
 )
 def articles_per_company(spark, sf_dir):
-    """Every listed company with its count, those without articles included."""
-    companies = spark.range(25).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("company"))
+    """Every company of the documents with its count, those of failed pages with none included."""
+    listed = table(spark, sf_dir, "documents").select(F.col("source").alias("company"))
+    companies = listed.filter(F.col("company").isNotNull()).distinct()
     flat = landed.flatten_articles(article_pages(spark, sf_dir))
     return landed.articles_by_company(companies, flat)

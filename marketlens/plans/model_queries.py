@@ -1,4 +1,9 @@
-"""Random forest over the whole feature table; no SQL twin exists."""
+"""Random forest over the whole feature table.
+
+SQL cannot predict, but it knows which rows are held out, and what holds for a
+mean of training prices: it lies between the least and the greatest of them.
+The predictions themselves are in ``forest_predictions``, which has no twin.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +12,47 @@ from pyspark.sql import functions as F
 from marketlens.operators import features, forecast, upsert
 from marketlens.operators.lookup import hold
 from marketlens.plans.catalog import query
-from marketlens.plans.tick_queries import TIES
-from marketlens.plans.views import ticks
+from marketlens.plans.tick_queries import COMPLETE, FEATURES_SQL, TIES
+from marketlens.plans.views import TICKS, ticks
 from marketlens.session import shared_path
 from marketlens.streaming import jobs
 
 
+_SPLIT_SQL = f"""WITH {TICKS}, {FEATURES_SQL}, complete AS (SELECT * FROM features WHERE {COMPLETE}),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "timestamp", event_id) AS rn,
+             count(*) OVER (PARTITION BY symbol) AS n FROM complete),
+held AS (SELECT * FROM r WHERE rn > n * 0.8::DOUBLE AND (SELECT count(*) FROM complete) > 10)"""
+_SLACK = 1e-9
+
+
 def held_out(spark, sf_dir):
     table = hold(features.feature_table(ticks(spark, sf_dir), ties=TIES))
     return forecast.train_and_score(table, ties=TIES)
 
 
-@query("train_forest")
+def _training_range(spark, sf_dir):
+    """The least and greatest price of the training rows, as one struct."""
+    table = features.feature_table(ticks(spark, sf_dir), ties=TIES)
+    train = forecast.split_by_time(table, ties=TIES).filter("is_train")
+    return train.agg(F.struct(F.min("price").alias("lo"), F.max("price").alias("hi"))).scalar()
+
+
+def _shown(scored, spark, sf_dir, slack, *names):
+    bounds = _training_range(spark, sf_dir)
+    p = F.col("prediction")
+    return scored.select(
+        *names,
+        p.isNotNull().alias("predicted"),
+        p.between(bounds["lo"] - slack, bounds["hi"] + slack).alias("in_range"),
+    )
+
+
+@query(
+    "train_forest",
+    f"SELECT CAST(i AS INTEGER) AS tree, true AS odd, true AS depth_kept, true AS grown FROM range({forecast.TREES}) AS t(i)",
+)
 def train_forest(spark, sf_dir):
-    """The trained model's trees: number, node count and depth of each."""
+    """The trained model's trees: a binary tree has an odd number of nodes, and is no deeper than asked for."""
     table = features.feature_table(ticks(spark, sf_dir), ties=TIES)
     marked = forecast.split_by_time(table, ties=TIES)
     train = hold(forecast.spread_evenly(marked.filter("is_train"), ["symbol", "timestamp", *TIES]))
@@ -28,23 +60,52 @@ def train_forest(spark, sf_dir):
     path = shared_path(spark, "model")
     forecast.save_model(model, path)
     forest = forecast.load_model(path).stages[-1]
-    trees = [(i, tree.numNodes, tree.depth) for i, tree in enumerate(forest.trees)]
-    return spark.createDataFrame(trees, "tree int, nodes int, depth int")
+    trees = [
+        (i, tree.numNodes % 2 == 1, tree.depth <= forecast.DEPTH, tree.depth > 0) for i, tree in enumerate(forest.trees)
+    ]
+    return spark.createDataFrame(trees, "tree int, odd boolean, depth_kept boolean, grown boolean")
 
 
-@query("score_forest")
+@query(
+    "score_forest",
+    f"""{_SPLIT_SQL} SELECT event_id, symbol, "timestamp", price, true AS predicted, true AS in_range FROM held""",
+)
 def score_forest(spark, sf_dir):
+    """Every held-out row has a prediction within the range of the training prices."""
+    return _shown(held_out(spark, sf_dir), spark, sf_dir, _SLACK, "event_id", "symbol", "timestamp", "price")
+
+
+@query("forest_predictions")
+def forest_predictions(spark, sf_dir):
     scored = held_out(spark, sf_dir)
     return scored.select("event_id", "symbol", "timestamp", "price", F.round("prediction", 6).alias("prediction"))
 
 
-@query("stock_job")
+@query(
+    "stock_job",
+    f"""{_SPLIT_SQL} SELECT symbol, "timestamp", CAST(CAST(price AS FLOAT) AS DOUBLE) AS price,
+    CAST(trunc(volume) AS INTEGER) AS volume, true AS predicted, true AS in_range FROM held""",
+)
 def stock_job(spark, sf_dir):
-    """Rows the stock job stores for one batch."""
-    return upsert.prediction_rows(jobs.stock_result(held_out(spark, sf_dir)).scored)
+    """Rows the stock job stores for one batch, of single precision."""
+    stored = upsert.prediction_rows(jobs.stock_result(held_out(spark, sf_dir)).scored)
+    as_double = stored.withColumn("price", F.col("price").cast("double"))
+    return _shown(as_double, spark, sf_dir, 1e-3, "symbol", "timestamp", "price", "volume")
 
 
-@query("forest_errors")
+@query(
+    "forest_errors",
+    f"{_SPLIT_SQL} SELECT symbol, count(*) AS held_rows, true AS ordered, true AS positive FROM held GROUP BY ROLLUP (symbol)",
+)
 def forest_errors(spark, sf_dir):
-    """Error statistics of the held-out rows, over all and per symbol."""
-    return forecast.error_statistics(held_out(spark, sf_dir), per_symbol=True)
+    """Error statistics of the held-out rows, over all and per symbol: groups, their sizes, and the order of the figures."""
+    scored = hold(held_out(spark, sf_dir))
+    stats = forecast.error_statistics(scored, per_symbol=True)
+    sizes = scored.rollup("symbol").agg(F.count(F.lit(1)).alias("held_rows"))
+    low, mean, high = (f"{n}_error_percentage" for n in ("min", "mean", "max"))
+    same = stats["symbol"].eqNullSafe(sizes["symbol"])
+    return stats.join(sizes, same).select(
+        sizes["symbol"], "held_rows",
+        ((F.col(low) <= F.col(mean) + _SLACK) & (F.col(mean) <= F.col(high) + _SLACK)).alias("ordered"),
+        (F.col(low) >= 0).alias("positive"),
+    )

@@ -9,13 +9,14 @@ from marketlens.operators import sentiment, upsert
 from marketlens.operators.lookup import lookup_join
 from marketlens.plans.catalog import query
 from marketlens.plans.tick_queries import rounded, settled
-from marketlens.plans.views import NEWS, SCORED, lexicon, news
+from marketlens.plans.views import NEWS, NEWS_START, SCORED, lexicon, news
 from marketlens.streaming import jobs, windows
 
 KEY = ("doc_id",)
 _SCORES = ("title_sentiment", "description_sentiment", "overall_sentiment")
 # articles of the fixture name invented words, so frequent ones stand in
 TERMS = ("the", "with", "from")
+_FORTNIGHT = 14 * 24 * 60
 PHRASES = ("and", "for", "that", "are", "this")
 
 
@@ -119,18 +120,22 @@ def topn_articles_per_company(spark, sf_dir):
 @query(
     "filter_relevant_articles",
     f"""WITH {NEWS}, phrased AS (SELECT *, list_extract({list(PHRASES)!r},
-        CAST(substr(company, 4) AS INTEGER) % {len(PHRASES)} + 1) AS phrase FROM news)
+        CAST(substr(company, 4) AS INTEGER) % {len(PHRASES)} + 1) AS phrase
+      FROM (SELECT * REPLACE (TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id * 37) % {_FORTNIGHT}) AS published_at)
+            FROM news))
     SELECT doc_id, company, published_at FROM phrased
-    WHERE published_at >= DATE '2024-01-02' - 7 AND published_at < DATE '2024-01-02' + 1 AND lang = 'en'
+    WHERE published_at >= DATE '2024-01-10' - 7 AND published_at < DATE '2024-01-10' + 1 AND lang = 'en'
       AND contains(lower(text), lower(phrase))
-      AND regexp_matches(lower(text), '(^|[^a-z0-9_])({"|".join(TERMS)})([^a-z0-9_]|$)')""",
+      AND regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])({"|".join(TERMS)})([^\\p{{L}}\\p{{N}}_]|$)')""",
 )
 def filter_relevant_articles(spark, sf_dir):
     number = F.substr("company", F.lit(4)).try_cast("int")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), number % len(PHRASES) + 1)
-    kept = sentiment.relevant_articles(
-        news(spark, sf_dir).withColumn("phrase", phrase), "2024-01-02", phrase="phrase", terms=TERMS
-    )
+    # over two weeks at any scale, so that both ends of the window cut
+    minutes = F.pmod(F.col("doc_id") * 37, F.lit(_FORTNIGHT)).cast("int")
+    at = F.lit(NEWS_START).cast("timestamp_ntz") + F.make_dt_interval(mins=minutes)
+    articles = news(spark, sf_dir).withColumns({"phrase": phrase, "published_at": at})
+    kept = sentiment.relevant_articles(articles, "2024-01-10", phrase="phrase", terms=TERMS)
     return kept.select("doc_id", "company", "published_at")
 
 

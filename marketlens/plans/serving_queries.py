@@ -283,11 +283,12 @@ def minmax_sentiment(spark, sf_dir):
     return rounded(scaled.select("doc_id", "company", "normalized_sentiment"), ("normalized_sentiment",))
 
 
-_FIT_SQL = """m AS (
+_FIT_PARTS = """m AS (
   SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS vaa, var_pop(b) AS vbb, covar_pop(a, b) AS vab,
          covar_pop(a, y) AS vay, covar_pop(b, y) AS vby, count(*) AS n FROM points),
 w AS (SELECT *, (vay * vbb - vby * vab) / (vaa * vbb - vab * vab) AS alpha,
-             (vby * vaa - vay * vab) / (vaa * vbb - vab * vab) AS beta FROM m)
+             (vby * vaa - vay * vab) / (vaa * vbb - vab * vab) AS beta FROM m)"""
+_FIT_SQL = f"""{_FIT_PARTS}
 SELECT round(alpha, 5) AS alpha, round(beta, 5) AS beta, round(my - alpha * ma - beta * mb, 4) AS intercept,
        n AS "rows" FROM w"""
 
@@ -321,22 +322,32 @@ def calibrate_events(spark, sf_dir):
     return _rounded_fit(calibrate.fit_blend(points, "value", "user_id", "hour"))
 
 
-@query(
-    "blend_calibrated",
-    f"""WITH {_SERVED_SQL}, points AS (SELECT price AS y, "rawPrediction" AS a,
-      (sentiment - (SELECT min(sentiment) FROM served)) / (SELECT max(sentiment) - min(sentiment) FROM served) AS b
-      FROM served), fit AS ({_FIT_SQL.replace('m AS (', 'WITH m AS (', 1)})
-    SELECT {_SERVED_COLUMNS}, round("rawPrediction" * (SELECT alpha FROM fit) + sentiment * (SELECT beta FROM fit) + 1e-10, 6)
-      AS "finalPrediction" FROM served""",
-)
+# the fit without its rounding, and three digits of the blend: its sums run over all rows
+_BLENDED_SQL = f"""WITH {_SERVED_SQL}, points AS (SELECT price AS y, "rawPrediction" AS a,
+      (sentiment - (SELECT min(sentiment) FROM served)) / (SELECT max(sentiment) - min(sentiment) FROM served) AS b,
+      {_SERVED_COLUMNS} FROM served), {_FIT_PARTS}
+    SELECT {_SERVED_COLUMNS.replace('round(sentiment + 1e-10, 6) AS ', '')},
+      round(alpha * a + beta * b + my - alpha * ma - beta * mb + 1e-7, 3) AS "finalPrediction" FROM points, w"""
+
+
+def _blended(records, fit):
+    blended = rounded(serving.blend_fitted(records, fit), ("sentiment",))
+    return rounded(blended, ("finalPrediction",), 3).drop("timestamp")
+
+
+@query("blend_calibrated", _BLENDED_SQL)
 def blend_calibrated(spark, sf_dir):
-    """Serving records blended with the weights fitted on them, the weights taken to five digits."""
+    """Serving records blended by the least-squares fit over them."""
     records = served(spark, sf_dir)
-    raw_weight, sentiment_weight = serving.fitted_weights(_rounded_fit(calibrate.fit_blend(records)))
-    blended = records.withColumn(
-        "finalPrediction", C.blend_linear("rawPrediction", "sentiment", raw_weight, sentiment_weight)
-    )
-    return rounded(blended, ("finalPrediction", "sentiment")).drop("timestamp")
+    return _blended(records, calibrate.fit_blend(records))
+
+
+@query("blend_stored_fit", _BLENDED_SQL)
+def blend_stored_fit(spark, sf_dir):
+    """As blend_calibrated, with the fit written as a table and read back."""
+    records, path = served(spark, sf_dir), shared_path(spark, "fit")
+    calibrate.write_fit(calibrate.fit_blend(records), path)
+    return _blended(records, calibrate.read_fit(spark, path))
 
 
 @query(

@@ -102,12 +102,17 @@ _FEATURES = T.StructType(
 )
 
 
+_CORRECTED_TICKS = """ticks AS (
+  SELECT event_id, symbol, "timestamp", CASE WHEN event_id % 29 = 7 THEN NULL ELSE price END AS price, volume
+  FROM raw_ticks)"""
+
+
 def _feature_stream(spark, out, lateness):
     keys = ["symbol", "timestamp", "event_id"]
     return incremental.FeatureStream(
         spark,
         f"{out}/state",
-        VersionedLog(f"{out}/features", _FEATURES, keys),
+        VersionedLog(f"{out}/features", _FEATURES, keys, deletes=True),
         VersionedLog(f"{out}/late", TICK, keys),
         TICK,
         ties=TIES,
@@ -153,6 +158,20 @@ def feature_table_late_bars(spark, sf_dir):
     )
 
 
+@query(
+    "feature_table_corrected",
+    FEATURE_TABLE_SQL.replace(TICKS, f"{TICKS.replace('ticks AS', 'raw_ticks AS')}, {_CORRECTED_TICKS}"),
+)
+def feature_table_corrected(spark, sf_dir):
+    """Every 29th bar comes again in the last batch without a price, which takes features back."""
+    handler = _feature_stream(spark, shared_path(spark, "corrected-features"), "60 days")
+    rows = ticks(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp")).select(*TICK.fieldNames())
+    wrong = rows.filter("event_id % 29 = 7").withColumn("price", F.lit(None).cast("double"))
+    handler(rows, 0)
+    handler(wrong, 1)
+    return rounded(plain(handler.output.current(spark), "timestamp"))
+
+
 @query("stream_features", FEATURE_TABLE_SQL)
 def stream_features(spark, sf_dir):
     """The feature table from a running stream."""

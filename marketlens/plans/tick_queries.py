@@ -17,7 +17,7 @@ BAR_TIES = ("l_orderkey", "l_linenumber", "l_partkey", "price")
 _W = 'WINDOW w AS (PARTITION BY symbol ORDER BY "timestamp", event_id)'
 _RECENT = '(PARTITION BY symbol ORDER BY "timestamp", event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)'
 
-_FEATURES_SQL = f"""features AS (
+FEATURES_SQL = f"""features AS (
   SELECT event_id, symbol, "timestamp", price, volume,
          lag(price, 1) OVER w AS price_lag1, lag(price, 2) OVER w AS price_lag2,
          lag(price, 3) OVER w AS price_lag3, lag(volume, 1) OVER w AS volume_lag1,
@@ -27,7 +27,7 @@ _FEATURES_SQL = f"""features AS (
          avg(price) OVER {_RECENT} AS rolling_mean_price, avg(volume) OVER {_RECENT} AS rolling_mean_volume
   FROM ticks WHERE symbol IS NOT NULL {_W})"""
 
-_COMPLETE = " AND ".join(
+COMPLETE = " AND ".join(
     [f"{c} IS NOT NULL AND NOT isnan({c})" for c in (
         "price", "volume", "price_lag1", "price_lag2", "price_lag3", "volume_lag1", "price_change",
         "volume_change", "rolling_mean_price", "rolling_mean_volume")]
@@ -35,12 +35,12 @@ _COMPLETE = " AND ".join(
 )
 _ROUNDED = ("price_change", "volume_change", "rolling_mean_price", "rolling_mean_volume")
 
-FEATURE_TABLE_SQL = f"""WITH {TICKS}, {_FEATURES_SQL}
+FEATURE_TABLE_SQL = f"""WITH {TICKS}, {FEATURES_SQL}
 SELECT event_id, symbol, "timestamp", price, volume, price_lag1, price_lag2, price_lag3, volume_lag1,
        round(price_change + 1e-10, 6) AS price_change, round(volume_change + 1e-10, 6) AS volume_change,
        "hour", "day", day_of_week, round(rolling_mean_price + 1e-10, 6) AS rolling_mean_price,
        round(rolling_mean_volume + 1e-10, 6) AS rolling_mean_volume
-FROM features WHERE {_COMPLETE}"""
+FROM features WHERE {COMPLETE}"""
 
 
 def settled(column, digits=6):
@@ -59,7 +59,7 @@ def rounded(df, names=_ROUNDED, digits=6):
 
 def _feature_sql(*names: str) -> str:
     shown = ", ".join(f'round("{n}" + 1e-10, 6) AS "{n}"' if n in _ROUNDED else f'"{n}"' for n in names)
-    return f"WITH {TICKS}, {_FEATURES_SQL} SELECT event_id, symbol, {shown} FROM features"
+    return f"WITH {TICKS}, {FEATURES_SQL} SELECT event_id, symbol, {shown} FROM features"
 
 
 def _feature_query(name: str, *names: str) -> None:

@@ -108,7 +108,7 @@ LEXICON_SQL = (
 _PART_SCORE = """SELECT n.doc_id,
        CASE WHEN any_value(n.{part}) IS NULL THEN NULL
             ELSE coalesce(avg(l.polarity) * (0.5 + 0.5 * avg(l.subjectivity)), 0.0) END AS score
-  FROM (SELECT doc_id, {part}, unnest(list_append(regexp_extract_all(lower({part}), '[a-z]+'), '')) AS word
+  FROM (SELECT doc_id, {part}, unnest(list_append(regexp_extract_all(lower({part}), '\\p{{L}}+'), '')) AS word
         FROM news) n
   LEFT JOIN lexicon l ON l.word = n.word
   GROUP BY n.doc_id"""

@@ -87,3 +87,11 @@ LEXICON = T.StructType(
         T.StructField("subjectivity", T.DoubleType()),
     ]
 )
+
+BLEND_FIT = T.StructType(
+    [
+        *[T.StructField(n, T.DoubleType()) for n in ("alpha", "beta", "intercept")],
+        T.StructField("rows", T.LongType()),
+        *[T.StructField(n, T.DoubleType()) for n in ("lo", "hi")],
+    ]
+)

@@ -21,7 +21,7 @@ class NewsResult:
 
 
 def news_result(
-    news: DataFrame, lexicon: DataFrame, ties: Sequence[str] = (), top: int = 3
+    news: DataFrame, lexicon: DataFrame | sentiment.Scorer, ties: Sequence[str] = (), top: int = 3
 ) -> NewsResult:
     """Scored articles, statistics per company, and the articles at both ends."""
     scored = sentiment.score_news(news, lexicon)
@@ -34,13 +34,14 @@ def news_result(
 
 
 def news_handler(
-    lexicon: DataFrame, log: VersionedLog, report: Callable[[NewsResult, int], None] | None = None,
+    lexicon: DataFrame | sentiment.Scorer, log: VersionedLog, report: Callable[[NewsResult, int], None] | None = None,
     extra: Sequence[str] = (),
 ) -> Callable[[DataFrame, int], None]:
-    """Score a batch of articles and append it to the sentiment log."""
+    """Score a batch of articles and append it to the sentiment log; the lexicon is read once, not per batch."""
+    known = sentiment.scorer(lexicon)
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        result = news_result(rows, lexicon)
+        result = news_result(rows, known)
         scored = result.scored.persist()
         try:
             log.append(upsert.sentiment_rows(scored, extra=extra), batch_id)

@@ -6,7 +6,6 @@ from marketlens.plans import check
 from marketlens.plans.registry import QUERIES, TWINS
 from tests.conftest import SMALL
 
-SLOW = {"score_forest", "stock_job", "forest_errors", "train_forest"}
 
 
 @pytest.fixture(scope="module")
@@ -14,14 +13,14 @@ def con():
     return check.duck(SMALL)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_twin(spark, con, name):
     ok, note = check.compare(spark, SMALL, name, con)
     assert ok, note
 
 
-def test_only_models_lack_a_twin():
-    assert set(QUERIES) - set(TWINS) == SLOW
+def test_only_raw_predictions_lack_a_twin():
+    assert set(QUERIES) - set(TWINS) == {"forest_predictions"}
 
 
 def test_names():

@@ -64,10 +64,20 @@ def test_in_place_equals_join_and_fallback(spark, lexicon, monkeypatch):
     assert in_place == joined and len(joined) == 10
 
 
+def test_words_are_runs_of_any_letters(spark, lexicon, monkeypatch):
+    made = [(1, "éfine fineñ", "¿GOOD? bad\u2003fine"), (2, "fine1good", "ФINE fine_good")]
+    texts = spark.createDataFrame(made, "id int, title string, description string")
+    shown = ["id", F.round("title_sentiment", 9).alias("t"), F.round("description_sentiment", 9).alias("d")]
+    got = rows(sentiment.score_texts(texts, lexicon).select(*shown), "id")
+    assert got == [(i, round(expected(t), 9), round(expected(d), 9)) for i, t, d in made] and got[0][1] == 0.0
+    monkeypatch.setattr(sentiment, "is_small", lambda df: False)
+    assert rows(sentiment.score_texts(texts, lexicon).select(*shown), "id") == got
+
+
 def test_in_place_equals_join_on_documents(spark):
     articles = views.news(spark, SMALL)
     words = views.lexicon(spark)
-    joined = sentiment.score_articles(articles, words, ["doc_id"])
+    joined = sentiment.score_by_join(articles, words, ["doc_id"])
     in_place = sentiment.score_news(articles, words)
     shown = ["doc_id", F.round("title_sentiment", 9), F.round("description_sentiment", 9)]
     assert rows(joined.select(*shown)) == rows(in_place.select(*shown))

@@ -31,7 +31,7 @@ def bars(spark, *made):
 def handler(spark, path, lateness="0 seconds"):
     keys = ["symbol", "timestamp"]
     return incremental.FeatureStream(
-        spark, str(path / "state"), upsert.VersionedLog(str(path / "out"), FEATURES, keys),
+        spark, str(path / "state"), upsert.VersionedLog(str(path / "out"), FEATURES, keys, deletes=True),
         upsert.VersionedLog(str(path / "late"), BARS, keys), BARS, lateness=lateness,
     )
 
@@ -82,6 +82,28 @@ def test_sent_again_bars_change_nothing(spark, tmp_path):
     assert shown(stream.output.current(spark)) == shown(features.feature_table(bars(spark, *[("A", m) for m in range(14)])))
 
 
+def test_a_correction_takes_features_back(spark, tmp_path):
+    stream = handler(spark, tmp_path, "1 hour")
+    made = bars(spark, *[("A", m) for m in range(10)])
+    stream(made, 0)
+    again = made.filter(F.minute("timestamp") == 7).withColumn("price", F.lit(None).cast("double"))
+    stream(again, 1)
+    corrected = made.filter(F.minute("timestamp") != 7).unionByName(again)
+    assert shown(stream.output.current(spark)) == shown(features.feature_table(corrected))
+    assert [r["timestamp"].minute for r in stream.output.current(spark).orderBy("timestamp").collect()] == [3, 4, 5, 6]
+    stream(made.filter(F.minute("timestamp") == 7), 2)  # and gives them back
+    assert shown(stream.output.current(spark)) == shown(features.feature_table(made))
+
+
+def test_bars_without_symbol_or_time_are_set_aside(spark, tmp_path):
+    stream = handler(spark, tmp_path)
+    good = bars(spark, *[("A", m) for m in range(6)])
+    bad = spark.createDataFrame([(T0, None, 1.0, 1.0), (None, "A", 2.0, 1.0), (None, None, 3.0, 1.0)], BARS)
+    stream(good.unionByName(bad), 0)
+    assert shown(stream.output.current(spark)) == shown(features.feature_table(good))
+    assert [r["price"] for r in stream.late.versions(spark).orderBy("price").collect()] == [1.0, 2.0, 3.0]
+
+
 def test_missing_context_is_an_error(spark, tmp_path):
     with pytest.raises(RuntimeError, match="no context"):
         handler(spark, tmp_path)(bars(spark, ("A", 1)), 3)

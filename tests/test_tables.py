@@ -212,6 +212,20 @@ def test_fit_equals_mllib(spark):
     assert (got["alpha"], got["beta"]) == pytest.approx(tuple(model.coefficients), rel=1e-6)
 
 
+@pytest.mark.parametrize("constant", [False, True])
+def test_blend_by_a_stored_fit_is_the_least_squares_prediction(spark, tmp_path, constant):
+    rng = np.random.default_rng(3)
+    a, s = rng.normal(100, 9, 40), np.full(40, 0.3) if constant else rng.uniform(-0.4, 0.2, 40)
+    y = 3 * a - 7 * s + rng.normal(0, 1, 40)
+    records = points(spark, y, a, s)
+    calibrate.write_fit(calibrate.fit_blend(records), str(tmp_path / "fit"))
+    blended = serving.blend_fitted(records, calibrate.read_fit(spark, str(tmp_path / "fit")))
+    x = np.column_stack([a, s, np.ones(40)])
+    want = x @ np.linalg.lstsq(x, y, rcond=1e-10)[0]
+    got = {r["price"]: r["finalPrediction"] for r in blended.collect()}
+    assert [got[v] for v in y] == pytest.approx(list(want), rel=1e-9)
+
+
 def test_fit_of_nothing(spark):
     assert calibrate.fit_blend(points(spark, [], [], [])).count() == 0
 
