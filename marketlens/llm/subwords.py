@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -21,8 +21,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 200_000
+_CACHED_LETTERS = 64
 _CACHED_PAIRS = 1_000_000
+_PAIR_BITS = 32
+
+
+def _word_pattern(pieces: Iterable[str]) -> str:
+    """What cuts a text into parts that no merge joins: blanks before a run of characters that meet in pieces.
+
+    Characters that stand side by side in a piece, also by way of others, are of
+    one kind; between two kinds no piece can stand. A character that meets
+    none, or that no piece has, is a part by itself.
+    """
+    kind: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while kind[c] != c:
+            kind[c] = c = kind[kind[c]]
+        return c
+
+    meets = set()
+    for piece in pieces:
+        letters = piece.lstrip(MARK)
+        for c in letters:
+            kind.setdefault(c, c)
+        for a, b in zip(letters, letters[1:]):
+            kind[root(a)] = root(b)
+            meets |= {a, b}
+    kinds: dict[str, list[str]] = {}
+    for c in sorted(kind):
+        kinds.setdefault(root(c) if c in meets else "", []).append(re.escape(c))
+    alone = kinds.pop("", [])
+    runs = [f"[{''.join(k)}]+" for k in sorted(kinds.values(), key=len, reverse=True)]
+    runs += [f"[{''.join(alone)}]"] if alone else []
+    return f"{MARK}*(?:{'|'.join(runs)})|{MARK}+|[^{MARK}]" if runs else f"{MARK}+|[^{MARK}]"
 
 
 class Codec:
@@ -47,17 +80,18 @@ class Codec:
         self.scores = {i: model.get_score(i) for i in own}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece spans words")
-        self.silent = {i for i in range(n) if model.is_control(i)}
+        # what stands for each id: its byte, nothing for a control, or the piece
+        self.raw = [bytes([self.bytes[i]]) if i in self.bytes else b"" if model.is_control(i) else p.encode()
+                    for i, p in enumerate(self.pieces)]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.floor = min(self.scores.values()) - 10
-        letters = "".join(re.escape(c) for c in sorted({c for p in self.ids for c in p} - {MARK}))
-        self.word = re.compile(f"{MARK}*[{letters}]+|{MARK}+|[^{letters}{MARK}]")
+        self.word = re.compile(_word_pattern(self.ids), re.DOTALL)
         self.known: dict[str, list[int]] = {}
-        self.fit: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.older: dict[str, list[int]] = {}
+        self.fit: dict[int, bool] = {}
 
     def merges(self, text: str) -> list[str]:
         """Byte-pair merges as defined: the best-scored neighbours first, the leftmost of equals."""
@@ -72,18 +106,13 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _follows(self, a: int, b: int) -> bool:
-        key = (a, b)
-        if key not in self.fit:
-            if len(self.fit) > _CACHED_PAIRS:
-                self.fit.clear()
-            self.fit[key] = self.merges(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
-        return self.fit[key]
-
-    def _stands(self, i: int) -> bool:
-        if i not in self.whole:
-            self.whole[i] = self.merges(self.pieces[i]) == [self.pieces[i]]
-        return self.whole[i]
+    def _fits(self, a: int, b: int) -> bool:
+        """Whether piece ``b`` stands behind ``a``, or alone at the beginning where ``a`` is -1."""
+        if len(self.fit) >= _CACHED_PAIRS:
+            self.fit.clear()
+        pair = [self.pieces[i] for i in (a, b) if i >= 0]
+        found = self.fit[a << _PAIR_BITS | b] = self.merges("".join(pair)) == pair
+        return found
 
     def _word(self, word: str) -> list[int]:
         """Ids of a run of known characters, or of one unknown character."""
@@ -92,11 +121,15 @@ class Codec:
             return [self.byte_ids[b] for b in data] if len(self.byte_ids) == 256 else [self.unknown]
         last: list[int | None] = [None] * (len(word) + 1)
         if self.kind == "bpe":
+            last[0], fit = -1, self.fit
             for end, (i, n) in self.automaton.iter(word):
-                if last[end + 1] is None:
-                    before = end + 1 - n
-                    if self._stands(i) if not before else last[before] is not None and self._follows(last[before], i):
-                        last[end + 1] = i
+                end += 1
+                if last[end] is None:
+                    before = last[end - n]
+                    if before is not None:
+                        found = fit.get(before << _PAIR_BITS | i)
+                        if self._fits(before, i) if found is None else found:
+                            last[end] = i
         else:
             best = [0.0] + [-np.inf] * len(word)
             for end, (i, n) in self.automaton.iter(word):
@@ -111,42 +144,30 @@ class Codec:
             at -= len(self.pieces[last[at]])
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> list[int]:
-        found = self.known.get(chunk)
-        if found is None:
-            if len(self.known) > _CACHED_WORDS:
-                self.known.clear()
-            found = self.known[chunk] = list(chain.from_iterable(map(self._word, self.word.findall(chunk))))
-        return found
+    def _kept(self, word: str) -> list[int]:
+        """Ids of a word by way of the cache; a full cache becomes the older one, so frequent words stay."""
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.older.get(word) or self._word(word)
+            if len(word) <= _CACHED_LETTERS:
+                if len(self.known) >= _CACHED_WORDS:
+                    self.older, self.known = self.known, {}
+                self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
+        """Ids of a text. Merges never cross from one match of ``word`` to the next, so each is looked up alone."""
         if not text:
             return []
-        if "  " in text or text[-1] == " " or text[0] == " " or MARK in text:
-            return list(chain.from_iterable(map(self._chunk, re.findall(
-                f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)))))
-        words = [MARK + w for w in text.split(" ")]
+        words, known = self.word.findall(MARK + text.replace(" ", MARK)), self.known
         try:
-            return list(chain.from_iterable([self.known[w] for w in words]))
+            return list(chain.from_iterable([known[w] for w in words]))
         except KeyError:
-            return list(chain.from_iterable(map(self._chunk, words)))
+            return list(chain.from_iterable([known.get(w) or self._kept(w) for w in words]))
 
     def decode(self, ids: list[int]) -> str:
         """The text; byte ids that are no UTF-8 become replacement characters."""
-        pieces, bytes_, out, run = self.pieces, self.bytes, [], bytearray()
-        for i in ids:
-            b = bytes_.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode(errors="replace"))
-                run = bytearray()
-            if i not in self.silent:
-                out.append(pieces[i])
-        if run:
-            out.append(run.decode(errors="replace"))
-        text = "".join(out).replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
