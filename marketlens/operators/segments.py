@@ -20,7 +20,7 @@ whatever the data size.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,6 +37,8 @@ COPY = "__copy"
 COPIES = "__copies"
 # bounds of positions; nulls take the lower one (they sort first), NaN the upper one
 _LOWEST, _HIGHEST = -1e300, 1e300
+#: Bytes of a text that one position holds.
+_PIECE = 6
 
 
 @dataclass(frozen=True)
@@ -53,11 +55,31 @@ class Segmented:
         return Window.partitionBy(*self.keys, SEGMENT).orderBy(*self.order)
 
 
-def _positions(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:
-    """The leading order columns as doubles that keep their order, as far as they have such a form."""
+#: A position of an order column, given how many pieces of a text the rows share.
+_Position = Callable[[Column], Column]
+
+
+def _text_piece(value: Column, skip: Column) -> Column:
+    """``_PIECE`` bytes of a text behind ``skip`` such pieces as a whole number below 2**51 that keeps their order.
+
+    Bytes past the end count as zero, and the number of bytes that are there
+    comes last, so a text sorts behind its own beginning.
+    """
+    part = value.cast("binary").substr(skip * _PIECE + 1, F.lit(_PIECE))
+    padded = F.conv(F.rpad(F.hex(part), 2 * _PIECE, "0"), 16, 10).cast("long")
+    return padded * 8 + F.octet_length(part)
+
+
+def _positions(df: DataFrame, order: Sequence[str]) -> dict[str, _Position]:
+    """The leading order columns as doubles that keep their order, as far as they have such a form.
+
+    Texts have one piece by piece: the rows of a range share the pieces that
+    are skipped.
+    """
     found = {}
     for name in order:
         kind = df.schema[name].dataType
+        piece = lambda skip, name=name: _text_piece(F.col(name), skip)
         if isinstance(kind, T.TimestampType):
             number = F.unix_micros(name)
         elif isinstance(kind, T.TimestampNTZType):
@@ -68,22 +90,49 @@ def _positions(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:
             number = F.unix_date(name)
         elif isinstance(kind, (T.NumericType, T.BooleanType)):
             number = F.col(name)
-        else:
+        elif not _is_text(kind):
             break
-        placed = F.coalesce(number.cast("double"), F.lit(_LOWEST))
-        found[name] = F.greatest(F.least(placed, F.lit(_HIGHEST)), F.lit(_LOWEST))
+        found[name] = _bounded(piece if _is_text(kind) else lambda skip, number=number: number)
     return found
 
 
-def _extent(df: DataFrame, groups: Sequence[str], positions: dict[str, Column]) -> DataFrame:
-    bounds = []
+def _is_text(kind: T.DataType) -> bool:
+    """Whether values are ordered by their bytes; other collations are not."""
+    return kind == T.StringType() or isinstance(kind, T.BinaryType)
+
+
+def _bounded(number: _Position) -> _Position:
+    def position(skip: Column) -> Column:
+        placed = F.coalesce(number(skip).cast("double"), F.lit(_LOWEST))
+        return F.greatest(F.least(placed, F.lit(_HIGHEST)), F.lit(_LOWEST))
+
+    return position
+
+
+def _shared_pieces(low: Column, high: Column) -> Column:
+    """Pieces that the lowest and the highest text, and so all between, have in common; 0 for equal ones."""
+    pieces = F.sequence(F.lit(0), F.floor(F.octet_length(high) / _PIECE).cast("int"))
+    differs = F.filter(pieces, lambda skip: _text_piece(low, skip) != _text_piece(high, skip))
+    return F.coalesce(F.get(differs, F.lit(0)), F.lit(0))
+
+
+def _extent(df: DataFrame, groups: Sequence[str], positions: dict[str, _Position]) -> DataFrame:
+    """Rows of each group, and per order column the lowest and highest position and the pieces before it."""
+    bounds, shown = [], []
     for i, (name, position) in enumerate(positions.items()):
-        bounds += [
-            F.min(position).alias(f"lo{i}"),
-            F.max(position).alias(f"hi{i}"),
-            F.min(name).eqNullSafe(F.max(name)).alias(f"same{i}"),
-        ]
-    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), *bounds)
+        low, high = F.col(f"min{i}"), F.col(f"max{i}")
+        bounds += [F.min(name).alias(f"min{i}"), F.max(name).alias(f"max{i}")]
+        if _is_text(df.schema[name].dataType):
+            bounds.append(F.count_if(F.col(name).isNull()).alias(f"nulls{i}"))
+            skip = F.when(F.col(f"nulls{i}") > 0, F.lit(0)).otherwise(_shared_pieces(low, high))
+            lowest = F.when(F.col(f"nulls{i}") > 0, F.lit(_LOWEST)).otherwise(_text_piece(low, skip).cast("double"))
+            highest = F.coalesce(_text_piece(high, skip).cast("double"), F.lit(_LOWEST))
+        else:
+            bounds += [F.min(position(F.lit(0))).alias(f"low{i}"), F.max(position(F.lit(0))).alias(f"high{i}")]
+            skip, lowest, highest = F.lit(0), F.col(f"low{i}"), F.col(f"high{i}")
+        shown += [lowest.alias(f"lo{i}"), highest.alias(f"hi{i}"), skip.alias(f"skip{i}"),
+                  low.eqNullSafe(high).alias(f"same{i}")]
+    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), *bounds).select(*groups, "rows", *shown)
 
 
 def _axis(row, parts: int, columns: int) -> tuple[int, float] | None:
@@ -137,7 +186,7 @@ def split_large_keys(
                 continue
             axis, width = found
             segment = row[SEGMENT] if split else 0
-            cuts.append((*(row[k] for k in keys), segment, axis, row[f"lo{axis}"], width, next_id))
+            cuts.append((*(row[k] for k in keys), segment, axis, row[f"skip{axis}"], row[f"lo{axis}"], width, next_id))
             next_id += parts + 1
         if not cuts:
             break
@@ -177,6 +226,7 @@ def _cut(frame: DataFrame, keys, positions, cuts, schema) -> DataFrame:
         + [
             T.StructField("__from", T.LongType()),
             T.StructField("__axis", T.IntegerType()),
+            T.StructField("__skip", T.IntegerType()),
             T.StructField("__low", T.DoubleType()),
             T.StructField("__width", T.DoubleType()),
             T.StructField("__base", T.LongType()),
@@ -185,7 +235,7 @@ def _cut(frame: DataFrame, keys, positions, cuts, schema) -> DataFrame:
     table = frame.sparkSession.createDataFrame(cuts, table_schema)
     same_key = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
     match = reduce(Column.__and__, [*same_key, F.col(SEGMENT) == F.col("__from")])
-    along = F.coalesce(*[F.when(F.col("__axis") == i, p) for i, p in enumerate(positions.values())])
+    along = F.coalesce(*[F.when(F.col("__axis") == i, p(F.col("__skip"))) for i, p in enumerate(positions.values())])
     # each row stands for more than total / MAX_SEGMENTS rows, so there are fewer than MAX_SEGMENTS
     joined = frame.join(F.broadcast(table), match, "left")
     steps = F.floor((along - F.col("__low")) / F.col("__width"))

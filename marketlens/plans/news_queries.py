@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import columns as C
 from marketlens.operators import sentiment, upsert
 from marketlens.operators.lookup import lookup_join
+from marketlens.operators.segments import number_rows
 from marketlens.plans.catalog import query
 from marketlens.plans.tick_queries import rounded, settled
 from marketlens.plans.views import NEWS, NEWS_START, SCORED, lexicon, news
@@ -189,3 +190,16 @@ def news_job(spark, sf_dir):
 def window_sentiment(spark, sf_dir):
     scored = scored_articles(spark, sf_dir, ("company", "published_at"))
     return rounded(windows.sentiment_windows(scored), ("avg_sentiment",))
+
+
+@query(
+    "rank_articles_by_text",
+    f"""WITH {NEWS} SELECT company, doc_id,
+      row_number() OVER (PARTITION BY company ORDER BY description NULLS FIRST, doc_id NULLS FIRST) AS "rank",
+      count(*) OVER (PARTITION BY company) AS articles
+    FROM news""",
+)
+def rank_articles_by_text(spark, sf_dir):
+    """Articles of a company in the order of their texts; companies with many are cut along the texts."""
+    texts = news(spark, sf_dir).select("company", "doc_id", "description")
+    return number_rows(texts, ["company"], ["description", "doc_id"], size="articles", rows_per_segment=50).drop("description")

@@ -181,3 +181,37 @@ def test_any_cut_gives_the_same_features(spark, places, limit):
     df = frame(spark, [(s, t, i) for i, (s, t) in enumerate(places)])
     cut = add_features(df, ["price_lag3", "rolling_mean_price"], ties=["id"], rows_per_segment=limit)
     assert shown(cut) == shown(plain_features(df))
+
+
+TEXTS = {
+    "long shared beginning": [("A", "https://example.org/news/" + f"{i:05d}") for i in range(150)],
+    "beginnings of each other": [("A", "ab" * i) for i in range(60)] + [("A", "abab\0" + "\0" * i) for i in range(40)],
+    "nulls, empty and copies": [("A", None)] * 8 + [("A", "")] * 5 + [("A", "x")] * 9 + [("A", f"é{i}") for i in range(90)],
+    "two keys": [("A", f"{i % 40}") for i in range(120)] + [(None, f"n{i}") for i in range(50)] + [("B", "b")],
+}
+
+
+def test_keys_are_cut_by_a_text(spark):
+    for name, made in TEXTS.items():
+        df = spark.createDataFrame([(s, t, i) for i, (s, t) in enumerate(made)], "symbol string, url string, id long")
+        w = Window.partitionBy("symbol")
+        want = df.select("symbol", "id", F.row_number().over(w.orderBy("url", "id")), F.count("*").over(w))
+        got = segments.number_rows(df, ["symbol"], ["url", "id"], rows_per_segment=10)
+        assert rows(got.select("symbol", "id", "rank", "size")) == rows(want), name
+        seg = segments.split_large_keys(df, ["symbol"], ["url", "id"], 10)
+        assert seg.split and not seg.crowded, name
+        assert seg.frame.groupBy("symbol", segments.SEGMENT).count().agg(F.max("count")).first()[0] <= 10, name
+
+
+def test_documents_in_the_default_order_cut_a_hot_symbol(spark):
+    from marketlens.sources import landed
+
+    made = [("A", f"2024-01-01 {i // 60:02d}:{i % 60:02d}", float(i)) for i in range(300)]
+    served = spark.createDataFrame(made, "symbol string, date string, price double").withColumns(
+        {c: F.lit(1).cast(t) for c, t in (("volume", "int"), ("rawPrediction", "double"), ("sentiment", "double"),
+                                          ("finalPrediction", "double"))})
+    seg = segments.split_large_keys(served, ["symbol"], ["date"], 40)
+    assert seg.split and not seg.crowded
+    paged = landed.market_documents(served, records=25, rows_per_segment=40).orderBy("page").collect()
+    assert [[r["price"] for r in p["d"]["data"]] for p in paged] == [
+        [float(i) for i in range(p * 25, p * 25 + 25)] for p in range(12)]
