@@ -1,8 +1,9 @@
 """Streaming runs over the given tables.
 
-Each run reads the table as a file stream, handles all of it, writes its
-result below the shared folder and reads that back; nothing passes through the
-driver.
+Most tables arrive in slices: each is landed as files and handled by a run that
+goes on from the checkpoint of the one before, so state, watermarks and logs
+carry over batches and restarts. Results are written below the shared folder
+and read back; nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from marketlens.streaming.runner import run_stream
 
 TICK = T.StructType([T.StructField("event_id", T.LongType()), *schemas.BAR.fields])
 TICK_SLICES = 4
+#: Runs in which a table arrives.
+RUNS = 3
 
 
 def stream_table(spark, sf_dir, name):
@@ -41,6 +44,34 @@ def stream_ticks(spark, sf_dir):
     )
 
 
+def sliced_ticks(spark, sf_dir, slices=RUNS):
+    """Ticks with the ``slice`` of the time that they belong to; those without a time come first."""
+    rows = ticks(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    bounds = rows.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+    lo, hi = (F.unix_micros(bounds.select(c).scalar()) for c in ("lo", "hi"))
+    position = (F.unix_micros("timestamp") - lo) / (hi - lo)
+    return rows.withColumn("slice", F.coalesce(F.least(F.floor(position * slices), F.lit(slices - 1)), F.lit(0)))
+
+
+def run_in_slices(rows, out, start, runs=RUNS):
+    """Land the rows of one ``slice`` after the other below ``out``, each followed by a run of the stream.
+
+    ``start(source)`` starts a query over all landed files that stops when it
+    has handled what is there, always with the same checkpoint.
+    """
+    spark, shape = rows.sparkSession, rows.drop("slice").schema
+    rows = rows.persist()
+    for k in range(runs):
+        rows.filter(F.col("slice") == k).drop("slice").write.parquet(f"{out}/landed/{k}")
+        start(spark.readStream.schema(shape).parquet(f"{out}/landed/*")).awaitTermination()
+    rows.unpersist()
+
+
+def later(slice_, runs=RUNS):
+    """The slice after, for rows that come late."""
+    return F.least(slice_ + 1, F.lit(runs - 1))
+
+
 def plain(df, *names):
     """Timestamps as they are stored, without a zone."""
     return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
@@ -48,19 +79,50 @@ def plain(df, *names):
 
 @query("stream_dedup", f'WITH {TICKS} SELECT event_id, symbol, "timestamp", price, volume FROM ticks')
 def stream_dedup(spark, sf_dir):
-    """Each bar arrives three times; copies are told apart by a copy number."""
+    """Each bar arrives three times, once with the bars of the next run; copies are told apart by a copy number."""
     out = shared_path(spark, "dedup")
-    copies = stream_ticks(spark, sf_dir).withColumn("copy", F.explode(F.array(*map(F.lit, range(3)))))
-    kept = windows.drop_repeats(copies, delay="1 hour", spread=F.col("copy")).drop("copy")
-    run = (
-        kept.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", f"{out}-checkpoint")
-        .trigger(availableNow=True)
-        .start()
+    copies = sliced_ticks(spark, sf_dir).withColumn("copy", F.explode(F.array(*map(F.lit, range(3)))))
+    copies = copies.withColumn("slice", F.when(F.col("copy") == 2, later(F.col("slice"))).otherwise(F.col("slice")))
+
+    def start(source):
+        kept = windows.drop_repeats(source, delay="40 days", spread=F.col("copy")).drop("copy")
+        return (
+            kept.writeStream.format("parquet")
+            .option("path", f"{out}/kept")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    run_in_slices(copies, out, start)
+    return plain(spark.read.schema(TICK).parquet(f"{out}/kept"), "timestamp")
+
+
+@query(
+    "stream_dedup_late",
+    f"""WITH {TICKS}, bounds AS (SELECT epoch_us(min("timestamp")) AS lo, epoch_us(max("timestamp")) AS hi FROM ticks),
+    placed AS (
+      SELECT ticks.*, least(floor((epoch_us("timestamp") - lo) / (hi - lo) * {RUNS}), {RUNS - 1}) AS slice FROM ticks, bounds),
+    tops AS (SELECT slice, max(max("timestamp")) OVER (ORDER BY slice) AS top FROM placed GROUP BY slice)
+    SELECT event_id, symbol, "timestamp", price, volume, false AS late FROM ticks
+    UNION ALL
+    SELECT event_id, symbol, "timestamp", price, volume, true AS late FROM placed JOIN tops USING (slice)
+    WHERE slice < {RUNS - 1} AND "timestamp" < top - INTERVAL '1 day'""",
+)
+def stream_dedup_late(spark, sf_dir):
+    """Each bar arrives again with the bars of the next run; a copy beyond the delay is set aside, not dropped."""
+    out = shared_path(spark, "dedup-late")
+    copies = sliced_ticks(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    copies = copies.withColumn("slice", F.when(F.col("copy") == 1, later(F.col("slice"))).otherwise(F.col("slice")))
+    keys = ["symbol", "timestamp"]
+    handler = windows.RepeatFilter(
+        spark, f"{out}/state", VersionedLog(f"{out}/first", TICK, keys), VersionedLog(f"{out}/late", TICK, keys), keys,
+        delay="1 day",
     )
-    run.awaitTermination()
-    return plain(spark.read.schema(kept.schema).parquet(out), "timestamp")
+    run_in_slices(copies.drop("copy"), out, lambda source: run_stream(source, handler, f"{out}/checkpoint", trigger=None))
+    first, late = (log.versions(spark).select(*TICK.fieldNames()) for log in (handler.output, handler.late))
+    both = first.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return plain(both, "timestamp")
 
 
 _OHLC = T.StructType(
@@ -74,23 +136,43 @@ _OHLC = T.StructType(
 )
 
 
-@query(
-    "stream_window_ohlc",
-    f"""WITH {TICKS} SELECT time_bucket(INTERVAL '1 hour', "timestamp") AS window_start,
+_OHLC_SQL = f"""WITH {TICKS} SELECT time_bucket(INTERVAL '1 hour', "timestamp") AS window_start,
       time_bucket(INTERVAL '1 hour', "timestamp") + INTERVAL '1 hour' AS window_end, symbol,
       arg_min(price, "timestamp") AS "open", max(price) AS high, min(price) AS low,
       arg_max(price, "timestamp") AS "close", round(sum(volume) + 1e-10, 6) AS volume, count(*) AS ticks
-    FROM ticks GROUP BY ALL""",
-)
+    FROM ticks GROUP BY ALL"""
+
+
+@query("stream_window_ohlc", _OHLC_SQL)
 def stream_window_ohlc(spark, sf_dir):
     """Changed windows of each batch go to a log; its latest versions are the table, open windows included."""
     out = shared_path(spark, "ohlc")
     log = VersionedLog(f"{out}/log", _OHLC, ["window_start", "symbol"], "window_start")
-    rolled = windows.ohlc_bars(stream_ticks(spark, sf_dir).withWatermark("timestamp", "1 hour"))
-    run_stream(rolled, log.append, f"{out}/checkpoint", trigger=None).awaitTermination()
+
+    def start(source):
+        rolled = windows.ohlc_bars(source.withWatermark("timestamp", "1 hour"))
+        return run_stream(rolled, log.append, f"{out}/checkpoint", trigger=None)
+
+    run_in_slices(sliced_ticks(spark, sf_dir), out, start)
     return plain(rounded(log.current(spark), ("volume",)), "window_start", "window_end")
 
 
+@query("stream_window_ohlc_late", _OHLC_SQL)
+def stream_window_ohlc_late(spark, sf_dir):
+    """Every tenth bar comes a run late, far behind any watermark; parts of windows take it in all the same."""
+    out = shared_path(spark, "ohlc-late")
+    log = VersionedLog(f"{out}/log", windows.PARTS, ["window_start", "symbol"], "window_start")
+    late = F.col("event_id") % 10 == 3
+    rows = sliced_ticks(spark, sf_dir)
+    rows = rows.withColumn("slice", F.when(late, later(F.col("slice"))).otherwise(F.col("slice")))
+
+    def handle(bars, batch_id):
+        log.append(windows.ohlc_parts(bars), batch_id)
+
+    run_in_slices(rows, out, lambda source: run_stream(source, handle, f"{out}/checkpoint", trigger=None))
+    return plain(rounded(windows.merged_ohlc(log, spark), ("volume",)), "window_start", "window_end")
+
+
 _FEATURES = T.StructType(
     [
         *TICK.fields,
@@ -177,7 +259,8 @@ def stream_features(spark, sf_dir):
     """The feature table from a running stream."""
     out = shared_path(spark, "stream-features")
     handler = _feature_stream(spark, out, "1 hour")
-    run_stream(stream_ticks(spark, sf_dir), handler, f"{out}/checkpoint", trigger=None).awaitTermination()
+    rows = sliced_ticks(spark, sf_dir)
+    run_in_slices(rows, out, lambda source: run_stream(source, handler, f"{out}/checkpoint", trigger=None))
     return rounded(plain(handler.output.current(spark), "timestamp"))
 
 
@@ -226,15 +309,19 @@ def stream_news(spark, sf_dir):
     text = F.col("text")
     title = F.split_part(text, F.lit("\n"), F.lit(1))
     at = F.lit(NEWS_START).cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
-    articles = stream_table(spark, sf_dir, "documents").select(
+    articles = table(spark, sf_dir, "documents").select(
         title.alias("title"), F.substr(text, F.length(title) + 2).alias("description"), "source",
         F.col("doc_id").cast("string").alias("url"), at.alias("published_at"), at.alias("fetch_timestamp"),
-        F.col("source").alias("company"),
+        F.col("source").alias("company"), F.coalesce(F.pmod("doc_id", F.lit(RUNS)), F.lit(0)).alias("slice"),
     )
-    decoded = topics.decode_news(topics.encode_news(articles))
     log = VersionedLog(f"{out}/log", _STORED_NEWS, ["company", "url"])
     handler = jobs.news_handler(lexicon(spark), log, extra=("url",))
-    run_stream(decoded, handler, f"{out}/checkpoint", trigger=None).awaitTermination()
+
+    def start(source):
+        decoded = topics.decode_news(topics.encode_news(source))
+        return run_stream(decoded, handler, f"{out}/checkpoint", trigger=None)
+
+    run_in_slices(articles, out, start)
     stored = log.current(spark).select(
         "company", "timestamp", "description", "title", "sentiment_label",
         F.round(F.col("overall_sentiment").cast("double"), 4).alias("overall_sentiment"), "url",

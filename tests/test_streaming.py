@@ -249,3 +249,63 @@ def test_partitions_follow_from_the_input():
     assert session.shuffle_partitions(1) == 8
     assert session.shuffle_partitions(10**12) == 3726
     assert session.shuffle_partitions(100 * 10**12) == 372530
+
+
+def repeat_filter(spark, path, delay="10 minutes"):
+    keys = ["symbol", "timestamp"]
+    logs = [upsert.VersionedLog(str(path / n), BARS, keys) for n in ("first", "late")]
+    return windows.RepeatFilter(spark, str(path / "state"), *logs, keys, delay=delay)
+
+
+def minutes(log, spark):
+    found = rows(log.versions(spark).select("symbol", "timestamp"))
+    return [(s, None if t is None else (t - T0).total_seconds() / 60) for s, t in found]
+
+
+def test_repeats_beyond_the_delay_are_set_aside(spark, tmp_path):
+    stream = repeat_filter(spark, tmp_path)
+    untimed = spark.createDataFrame([(None, "A", 1.0, 1.0)], BARS)
+    batches = [
+        bars(spark, ("A", 0), ("A", 0), ("A", 30), ("B", 1)).union(untimed),
+        bars(spark, ("A", 30), ("A", 21), ("A", 5), ("B", 1), ("A", 40)),  # 30 again; 5 and 1 are behind 20
+        bars(spark),
+        bars(spark, ("A", 40), ("A", 30), ("A", 29)),  # 30 is still known, both are behind 30 or at it
+    ]
+    for i, batch in enumerate(batches):
+        stream(batch, i)
+    first = [("A", 0.0), ("A", 21.0), ("A", 30.0), ("A", 40.0), ("B", 1.0)]
+    late = sorted([("A", 29.0), ("A", 5.0), ("A", None), ("B", 1.0)], key=repr)
+    assert sorted(minutes(stream.output, spark), key=repr) == sorted(first, key=repr)
+    assert sorted(minutes(stream.late, spark), key=repr) == late
+    stream(batches[3], 3)  # the last batch again
+    assert len(minutes(stream.output, spark)) == 5 and len(minutes(stream.late, spark)) == 4
+
+
+def test_repeats_without_the_keys_of_the_batch_before(spark, tmp_path):
+    with pytest.raises(RuntimeError):
+        repeat_filter(spark, tmp_path)(bars(spark, ("A", 0)), 4)
+
+
+def test_parts_of_windows_take_late_bars(spark, tmp_path):
+    made = [("A", m) for m in range(0, 200, 7)] + [("B", m) for m in range(3, 150, 11)]
+    log = upsert.VersionedLog(str(tmp_path / "log"), windows.PARTS, ["window_start", "symbol"], "window_start")
+    for i, batch in enumerate((made[20:], made[:20], made[:0])):
+        log.append(windows.ohlc_parts(bars(spark, *batch)), i)
+    log.append(windows.ohlc_parts(bars(spark, *made[:20])), 1)  # run again
+    whole = windows.ohlc_bars(bars(spark, *made))
+    assert rows(windows.merged_ohlc(log, spark).select(*whole.columns)) == rows(whole)
+
+
+def test_a_table_in_slices_goes_through_several_runs(spark, tmp_path):
+    from marketlens.plans.stream_queries import RUNS, run_in_slices, sliced_ticks
+    from tests.conftest import SMALL
+
+    sizes = {}
+
+    def handle(batch, batch_id):
+        sizes[batch_id] = batch.count()
+
+    table = sliced_ticks(spark, SMALL)
+    run_in_slices(table, str(tmp_path), lambda source: run_stream(source, handle, str(tmp_path / "checkpoint"), trigger=None))
+    assert sorted(sizes) == list(range(RUNS)) and all(sizes.values())
+    assert sum(sizes.values()) == table.count()
