@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,6 +128,11 @@ class VersionedLog:
     skips most row groups; the day directories serve time ranges. A log with
     ``deletes`` takes rows with a boolean column ``log_deleted``; a key whose
     latest version has it set is not in the table.
+
+    :meth:`compact` puts batches that will not run again together in place,
+    while others go on writing and reading: their table is written beside the
+    log, and a row in a small pointer table then makes it count. Batch numbers
+    stay as they are.
     """
 
     def __init__(
@@ -152,27 +158,91 @@ class VersionedLog:
         and days does not write tasks times days files. The rebalance hint lets
         adaptive execution cut a large day and join small ones.
         """
+        upto = self._compacted(rows.sparkSession)
+        if upto is not None and batch_id <= upto:
+            raise ValueError(f"batch {batch_id} of {self.path} is compacted; batches up to {upto} cannot run again")
+        self._write(rows, f"{self.path}/{BATCH}={int(batch_id)}")
+
+    def _write(self, rows: DataFrame, path: str, *more: str) -> None:
         (
-            self._marked(rows).select(*self.schema.fieldNames())
+            self._marked(rows).select(*self.schema.fieldNames(), *more)
             .withColumn(DAY, F.to_date(self.ts))
             .hint("rebalance", F.col(DAY))
             .sortWithinPartitions(DAY, *self.sort_by)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .partitionBy(DAY)
-            .parquet(f"{self.path}/{BATCH}={int(batch_id)}")
+            .parquet(path)
         )
 
     def _marked(self, rows: DataFrame) -> DataFrame:
         unmarked = self.deletes and DELETED not in rows.columns
         return rows.withColumn(DELETED, F.lit(False)) if unmarked else rows
 
+    def _compacted(self, spark: SparkSession) -> int | None:
+        """The last batch of those that are compacted."""
+        try:
+            return spark.read.schema("upto long").parquet(f"{self.path}-compacted").agg(F.max("upto")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None  # never compacted
+
+    def _base(self, upto: int) -> str:
+        return f"{self.path}-base/upto-{upto}"
+
     def versions(self, spark: SparkSession) -> DataFrame:
-        """All rows ever written, with their batch and day."""
-        full = T.StructType(
-            [*self.schema.fields, T.StructField(BATCH, T.LongType()), T.StructField(DAY, T.DateType())]
-        )
-        return spark.read.schema(full).parquet(self.path)
+        """All rows ever written, with their batch and day; of compacted batches those of their table."""
+        extra = [T.StructField(BATCH, T.LongType()), T.StructField(DAY, T.DateType())]
+        reader = spark.read.schema(T.StructType([*self.schema.fields, *extra]))
+        upto = self._compacted(spark)
+        if upto is None:
+            return reader.parquet(self.path)
+        base = reader.parquet(self._base(upto))
+        try:
+            later = reader.parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return base
+        return base.unionByName(later.filter(F.col(BATCH) > upto))
+
+    def compact(self, spark: SparkSession, upto: int, by_column: bool = False) -> None:
+        """Put the batches up to ``upto`` together; they must not run again, later ones may be under way.
+
+        A key keeps the batch of its latest version, deleted keys go. Logs that
+        are read ``by_column`` are compacted so too. A try that fails before
+        its end changes nothing. The folders of the batches stay for readers
+        that began before; :meth:`remove_compacted` takes them away.
+        """
+        known = self._compacted(spark)
+        if known is not None and upto <= known:
+            return
+        versions = self.versions(spark).filter(F.col(BATCH) <= upto).drop(DAY)
+        if by_column and (self.ties or self.deletes):
+            raise ValueError("values per column have neither ties nor delete marks")
+        if by_column:
+            table = merge_partial_rows(versions, self.keys, [BATCH]).withColumn(BATCH, F.lit(upto).cast("long"))
+        else:
+            table = latest_per_key(versions, self.keys, [BATCH, *self.ties])
+        if self.deletes:
+            table = table.filter(~F.coalesce(DELETED, F.lit(False)))
+        self._write(table, self._base(upto), BATCH)
+        spark.range(1).select(F.lit(upto).cast("long").alias("upto")).write.mode("append").parquet(f"{self.path}-compacted")
+
+    def remove_compacted(self, spark: SparkSession) -> None:
+        """Delete the folders of compacted batches and older tables, once no reader that began before is left."""
+        upto = self._compacted(spark)
+        if upto is None:
+            return
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for root, prefix, last in ((self.path, f"{BATCH}=", upto), (f"{self.path}-base", "upto-", upto - 1)):
+            place = jvm.org.apache.hadoop.fs.Path(root)
+            fs = place.getFileSystem(conf)
+            for entry in fs.listStatus(place) if fs.exists(place) else ():
+                name = entry.getPath().getName()
+                if name.startswith(prefix) and int(name.removeprefix(prefix)) <= last:
+                    fs.delete(entry.getPath(), True)
 
     def current(
         self, spark: SparkSession, by_column: bool = False, days: tuple[str, str] | None = None

@@ -9,6 +9,7 @@ from marketlens.operators import features, forecast, upsert
 from marketlens.operators.lookup import lookup_join
 from marketlens.plans.catalog import query
 from marketlens.plans.views import BARS, TICKS, VERSION, VERSION_DESC, bars, table, ticks
+from marketlens.session import shared_path
 from marketlens.sources import landed
 from marketlens.streaming import windows
 
@@ -164,6 +165,28 @@ def upsert_predictions(spark, sf_dir):
     return _widened(upsert.prediction_rows(newest), "prediction", "price")
 
 
+@query(
+    "upsert_retried_compacted",
+    f"""WITH {BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, "timestamp" ORDER BY {VERSION_DESC}) AS rn
+      FROM bars)
+    SELECT symbol, "timestamp", price, volume, l_orderkey, l_linenumber, l_partkey FROM r WHERE rn = 1""",
+)
+def upsert_retried_compacted(spark, sf_dir):
+    """Bars in four batches of orders: one is run again with fewer rows, two are put together while the others come."""
+    rows = bars(spark, sf_dir).drop("prediction").persist()
+    batch = F.least(F.floor(F.col("l_orderkey") * 4 / (rows.agg(F.max("l_orderkey")).scalar() + 1)), F.lit(3))
+    log = upsert.VersionedLog(
+        shared_path(spark, "retried"), rows.schema, ["symbol", "timestamp"], ties=VERSION)
+    log.append(rows, 1)  # a try with too much
+    for i in range(4):
+        log.append(rows.filter(batch == i), i)
+        if i == 2:
+            log.compact(spark, 1)
+            log.remove_compacted(spark)
+    rows.unpersist()
+    return log.current(spark)
+
+
 def _widened(df, *names):
     return df.select(*[F.col(c).cast("double").alias(c) if c in names else c for c in df.columns])
 

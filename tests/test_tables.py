@@ -239,3 +239,49 @@ def test_minmax_in_unit_range(spark, values):
         assert all(0 <= g <= 1 for g in got)
     else:
         assert got == values
+
+
+def test_compaction_in_place(spark, tmp_path):
+    table = log(tmp_path)
+
+    def batch(*made):
+        return upsert.prediction_rows(scored(spark, *made))
+
+    def held():
+        return rows(table.current(spark).select("symbol", "prediction"))
+
+    table.append(batch(("A", 0, 1.0, 2.0, 3.0), ("B", 0, 1.0, 2.0, 3.0)), 0)
+    table.append(batch(("A", 0, 2.0, 2.0, 3.0)), 1)
+    table.append(batch(("C", 0, 5.0, 2.0, 3.0)), 2)
+    before = table.current(spark)
+    table.compact(spark, 1)
+    assert held() == rows(before.select("symbol", "prediction")) == [("A", 2.0), ("B", 1.0), ("C", 5.0)]
+    table.append(batch(("B", 0, 9.0, 2.0, 3.0)), 3)  # others go on writing, and run a later batch again
+    table.append(batch(("C", 0, 6.0, 2.0, 3.0)), 2)
+    assert held() == [("A", 2.0), ("B", 9.0), ("C", 6.0)]
+    with pytest.raises(ValueError):
+        table.append(batch(("A", 0, 7.0, 2.0, 3.0)), 1)
+    table.remove_compacted(spark)
+    assert held() == [("A", 2.0), ("B", 9.0), ("C", 6.0)]
+    assert table.versions(spark).count() == 4
+    table.compact(spark, 3)
+    table.remove_compacted(spark)
+    table.compact(spark, 2)  # nothing left to do
+    assert held() == [("A", 2.0), ("B", 9.0), ("C", 6.0)]
+    assert sorted(p.name for p in (tmp_path / "log-base").iterdir()) == ["upto-3"]
+
+
+def test_compaction_by_column_and_of_deleted_keys(spark, tmp_path):
+    table = log(tmp_path)
+    table.append(upsert.prediction_rows(scored(spark, ("A", 0, 1.0, 2.0, 3.0))), 0)
+    table.append(upsert.prediction_rows(scored(spark, ("A", 0, 4.0, None, None))), 1)
+    table.compact(spark, 1, by_column=True)
+    table.append(upsert.prediction_rows(scored(spark, ("A", 0, None, 8.0, None))), 2)
+    assert rows(table.current(spark, by_column=True).select("prediction", "price", "volume")) == [(4.0, 8.0, 3)]
+    marked = upsert.VersionedLog(str(tmp_path / "marked"), PREDICTION, ["symbol", "timestamp"], deletes=True)
+    made = upsert.prediction_rows(scored(spark, ("A", 0, 1.0, 2.0, 3.0), ("B", 0, 1.0, 2.0, 3.0)))
+    marked.append(made, 0)
+    marked.append(made.filter("symbol = 'A'").withColumn(upsert.DELETED, F.lit(True)), 1)
+    marked.compact(spark, 1)
+    assert marked.versions(spark).count() == 1
+    assert rows(marked.current(spark).select("symbol")) == [("B",)]
