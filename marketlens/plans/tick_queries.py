@@ -167,19 +167,18 @@ def upsert_predictions(spark, sf_dir):
 
 @query(
     "upsert_retried_compacted",
-    f"""WITH {BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, "timestamp" ORDER BY {VERSION_DESC}) AS rn
-      FROM bars)
-    SELECT symbol, "timestamp", price, volume, l_orderkey, l_linenumber, l_partkey FROM r WHERE rn = 1""",
+    f"""WITH {TICKS} SELECT event_id, symbol, "timestamp",
+      CASE WHEN event_id % 7 = 3 THEN 3.0::DOUBLE WHEN event_id % 5 = 2 THEN 2.0::DOUBLE
+           WHEN event_id % 3 = 1 THEN 1.0::DOUBLE ELSE price END AS price, volume FROM ticks""",
 )
 def upsert_retried_compacted(spark, sf_dir):
-    """Bars in four batches of orders: one is run again with fewer rows, two are put together while the others come."""
-    rows = bars(spark, sf_dir).drop("prediction").persist()
-    batch = F.least(F.floor(F.col("l_orderkey") * 4 / (rows.agg(F.max("l_orderkey")).scalar() + 1)), F.lit(3))
-    log = upsert.VersionedLog(
-        shared_path(spark, "retried"), rows.schema, ["symbol", "timestamp"], ties=VERSION)
-    log.append(rows, 1)  # a try with too much
-    for i in range(4):
-        log.append(rows.filter(batch == i), i)
+    """Ticks and three batches of corrections: one is run again with fewer rows, two are put together in between."""
+    rows = ticks(spark, sf_dir).persist()
+    log = upsert.VersionedLog(shared_path(spark, "retried"), rows.schema, ["symbol", "timestamp", "event_id"])
+    log.append(rows, 0)
+    log.append(rows.withColumn("price", F.lit(-1.0)), 1)  # a try with too much
+    for i, divisor in enumerate((3, 5, 7), 1):
+        log.append(rows.filter(F.col("event_id") % divisor == i).withColumn("price", F.lit(float(i))), i)
         if i == 2:
             log.compact(spark, 1)
             log.remove_compacted(spark)
