@@ -62,12 +62,13 @@ _RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "title", "
 _NO_NAMES: frozenset[str] = frozenset()
 
 
-def leaf_blocks(html: str | None) -> list[Block]:
+def leaf_blocks(html: str | None, labelled: bool = False) -> list[Block]:
     """The page's runs of text in order, references decoded, white space in a block made one blank.
 
     End tags that stand for nothing are passed over, a block element ends the
     paragraph around it, and comments, scripts, styles, the head and what the
-    end of the page cuts off a tag are no text.
+    end of the page cuts off a tag are no text. In a ``labelled`` page
+    :data:`LABEL` marks main text, elsewhere it is a character like others.
     """
     html = html or ""
     stack: list[tuple[str, frozenset[str]]] = []
@@ -89,7 +90,7 @@ def leaf_blocks(html: str | None) -> list[Block]:
         text = "".join(parts)
         text = " ".join((unescape(text) if "&" in text else text).split())
         if text:
-            main = text[0] == LABEL
+            main = labelled and text[0] == LABEL
             outer = [t for t, _ in stack if t not in _INLINE]
             named = [n for _, n in stack if n]
             blocks.append(Block(
@@ -247,7 +248,7 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 5) -> Field:
     """The field for labelled pages (:data:`LABEL` before each block of main text), by gradient steps per page on the likelihood."""
     data = []
     for html in pages:
-        blocks = leaf_blocks(html)
+        blocks = leaf_blocks(html, labelled=True)
         # a window of a very long page says as much; this bounds the steps, not what is extracted
         for at in range(0, len(blocks), MAX_TRAIN_BLOCKS):
             part = blocks[at : at + MAX_TRAIN_BLOCKS]

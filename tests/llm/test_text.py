@@ -309,7 +309,7 @@ def test_other_layouts(spark, model):
     texts = [article_of(r.html).split("\n") for r in rows]
     for own in texts:
         page = mainpage.labelled_page([mainpage._escape(t) for t in own], [mainpage._escape(pick.choice(pick.choice(texts))) for _ in range(20)], pick)
-        blocks = mainpage.leaf_blocks(page)
+        blocks = mainpage.leaf_blocks(page, labelled=True)
         right += sum(a == b.main for a, b in zip(model.decode(blocks), blocks))
         total += len(blocks)
     assert right >= 0.98 * total
@@ -332,6 +332,9 @@ def test_blocks():
     html = "<p>a&amp;b  c<br>d<p>e<b>f</b>g<ul><li>h<li>i</ul><script>x<p></script><!-- n --><table><tr><td>1<td>2</table>z &copy &#233;&nbsp;q<p>cut &am"
     assert [b.text for b in mainpage.leaf_blocks(html)] == ["a&b c d", "efg", "h", "i", "1", "2", "z © é q", "cut &am"]
     assert mainpage.leaf_blocks(None) == [] == mainpage.leaf_blocks("  <p> <!--")
+    own = f"<p>{mainpage.LABEL}sign"  # a page may hold the character that marks labelled ones
+    assert [(b.text, b.main) for b in mainpage.leaf_blocks(own)] == [(f"{mainpage.LABEL}sign", False)]
+    assert [(b.text, b.main) for b in mainpage.leaf_blocks(own, labelled=True)] == [("sign", True)]
 
 
 def test_odd_pages(spark, model):
