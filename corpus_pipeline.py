@@ -23,9 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without letters or between languages go."""
-    found = langid.identify(docs, langid.train(docs), "__lang", "__score")
-    return found.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    """Documents in a language that was learned; those without letters, between languages or unlike all of them go."""
+    found = langid.identify(docs, langid.train(docs), "__lang", "__score", "__fits")
+    sure = (F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)
+    return found.filter(sure & F.col("__fits")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

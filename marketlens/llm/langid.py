@@ -3,7 +3,9 @@
 Linear support vector machines with squared hinge loss over hashed byte
 trigrams of the whole text. The family is voted among families, the language
 among those of the family. Trained on a bounded number of labelled texts per
-language; the weights are a small matrix that every task gets.
+language; the weights are a small matrix that every task gets. Duels always have
+a winner, so each language also has a profile of its trigrams and a floor of
+likelihood, below which a text is in none of the languages learned.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMS = 1 << 12
 #: Labelled texts per language that the machines are trained on at most.
@@ -26,6 +29,12 @@ SALTS = 64
 MIN_TEXTS = 5
 STEPS, PENALTY = 120, 1e-4
 UNKNOWN = "und"
+#: Share of the uniform distribution in a profile.
+SMOOTHING = 0.01
+#: Share of a language's own texts that the floor is measured from.
+LOW = 0.01
+#: How far below the floor a text may lie, times the root of its trigrams: short ones scatter.
+SHORT = 3.0
 
 # Families of related languages by ISO code.
 FAMILIES = {
@@ -74,12 +83,40 @@ def _machine(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> np.ndarray:
     return w
 
 
+def _profile(shares: np.ndarray) -> np.ndarray:
+    """Logarithms of the mean shares of trigrams, for rows of shares."""
+    return np.log((1 - SMOOTHING) * shares.mean(axis=0) + SMOOTHING / DIMS)
+
+
+def _floor(own: np.ndarray, others: np.ndarray | None) -> float:
+    """The mean log-likelihood halfway between a language's own texts, the lowest left out, and texts of other languages.
+
+    Own texts are held against the profile of the other half of them, so that
+    few texts do not look more alike than new ones. Without others, evenly
+    spread trigrams stand for them.
+    """
+    halves = [(own[::2], own[1::2]), (own[1::2], own[::2])]
+    low = np.quantile(np.concatenate([a @ _profile(b) for a, b in halves]), LOW)
+    far = np.median(np.concatenate([others @ _profile(b) for _, b in halves])) if others is not None else np.mean(_profile(own))
+    return float((low + min(far, low)) / 2)
+
+
 @dataclass(frozen=True)
 class Model:
-    """Machines by pair of classes, over families and over the languages of each."""
+    """Machines by pair of classes, over families and over the languages of each; profile and floor per language."""
 
     families: dict[str, tuple[str, ...]]
     machines: dict[tuple[str, str], np.ndarray]
+    profiles: dict[str, tuple[np.ndarray, float]]
+
+    def _fits(self, lang: str, x: np.ndarray) -> bool:
+        """Whether trigrams are as likely in the language as those of its own texts are."""
+        shares = x * x
+        some = shares[shares > 0]
+        if not len(some):
+            return False
+        profile, floor = self.profiles[lang]
+        return bool(shares @ profile >= floor - SHORT * np.sqrt(some.min()))  # the rarest stands once in a short text
 
     def _vote(self, classes: tuple[str, ...], prefix: str, margins: dict[tuple[str, str], float]) -> tuple[str, float]:
         """The class that wins most duels, margins deciding ties, and how sure its closest duel is."""
@@ -100,13 +137,14 @@ class Model:
         weights = np.stack([self.machines[k] for k in keys]) if keys else np.zeros((0, DIMS + 1), "f4")
         names = tuple(sorted(self.families))
 
-        def predict(text: str | None) -> tuple[str, float]:
+        def predict(text: str | None) -> tuple[str, float, bool]:
             if not names or not text or not any(map(str.isalpha, text)):
-                return UNKNOWN, 0.0
-            margins = dict(zip(keys, (weights[:, :-1] @ trigrams(text) + weights[:, -1]).tolist()))
+                return UNKNOWN, 0.0, False
+            x = trigrams(text)
+            margins = dict(zip(keys, (weights[:, :-1] @ x + weights[:, -1]).tolist()))
             family, sure = self._vote(names, "family ", margins)
             lang, sure_too = self._vote(self.families[family], "", margins)
-            return lang, sure * sure_too
+            return lang, sure * sure_too, self._fits(lang, x)
 
         return predict
 
@@ -155,23 +193,33 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for members in families.values():
         for a, b in combinations(members, 2):
             duel((a, b), rows[a], rows[b])
-    return Model(families, machines)
+    profiles = {}
+    shares = {lang: x * x for lang, x in rows.items()}
+    for lang in langs:
+        others = [shares[x] for x in langs if x != lang]
+        profiles[lang] = _profile(shares[lang]).astype("f4"), _floor(shares[lang], np.vstack(others) if others else None)
+    return Model(families, machines, profiles)
 
 
-def identify(documents: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+def identify(documents: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score", fits: str | None = None) -> DataFrame:
     """The documents with the predicted language and its score, 0 to 1, in place of columns of these names.
 
     ``und`` with score 0 if the text is null, empty or without a letter, or if
-    nothing was learned. Only the text decides.
+    nothing was learned. Only the text decides. The column ``fits``, if named,
+    says whether the text is as likely in that language as its own texts are;
+    it is false for texts of languages that were not learned.
     """
-    documents = documents.drop(lang, score)
+    documents = documents.drop(lang, score, *[fits] * bool(fits))
+    added = [(lang, T.StringType(), pa.string()), (score, T.DoubleType(), pa.float64()), (fits, T.BooleanType(), pa.bool_())]
+    added = added if fits else added[:2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = model.predictor()
         for batch in batches:
             found = [predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                [*batch.schema.names, lang, score])
+                [*batch.columns, *[pa.array([x[i] for x in found], t) for i, (_, _, t) in enumerate(added)]],
+                [*batch.schema.names, *[name for name, _, _ in added]])
 
-    return documents.mapInArrow(run, documents.withColumn(lang, F.lit("")).withColumn(score, F.lit(0.0)).schema)
+    schema = T.StructType([*documents.schema.fields, *[T.StructField(name, t) for name, t, _ in added]])
+    return documents.mapInArrow(run, schema)

@@ -256,6 +256,26 @@ def test_language_of_odd_rows(documents, odd, none, spark):
     assert {r.lang_pred for r in langid.identify(documents, langid.train(none)).collect()} == {"und"}
 
 
+def test_stage_rejects_what_was_not_learned(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = corpus_pipeline.quality_rules(spark, docs, "/root/testdata/sf0.01").select("doc_id", "text", "lang", "source").localCheckpoint()
+    pick = random.Random(8)
+    gibberish = " ".join("".join(pick.choice("bcdfghjklmnpqrstvwxz") for _ in range(pick.randint(2, 9))) for _ in range(80))
+    foreign = [
+        "В начале было слово и слово было у бога и никто не знал что делать дальше", "今天天气很好我们去公园散步吧然后吃饭",
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", gibberish]
+    planted = spark.createDataFrame([(-i, t, None, "x") for i, t in enumerate(foreign, 1)], "doc_id long, text string, lang string, source string")
+    before = {r.doc_id: r for r in docs.union(planted).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.union(planted), "").collect()}
+    assert not {-i for i in range(1, len(foreign) + 1)} & kept
+    gone = [r.text for i, r in before.items() if i >= 0 and i not in kept]
+    assert len(gone) <= 0.005 * len(before), gone
+
+
 # -- codes
 
 
