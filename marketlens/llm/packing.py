@@ -10,8 +10,10 @@ executors then deal the pieces of each length to the places of the patterns.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 from itertools import chain
 
@@ -41,19 +43,42 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the strings that a tokenizer's JSON file takes out of a text before words are looked for."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens that depend on what is around them: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class Tokens:
-    """Ids of whole texts, the same as of the tokenizer file, control strings taken as text.
+    """Ids of whole texts, the same as of the tokenizer file. Strings of ``added`` have the ids given there, wherever
+    they stand; without it they are taken as text.
 
     A single blank before a printing character always begins a new unit of the
     tokenizer, so texts are cut there and the ids of a cut are kept, up to a
     bound. Texts with runs of blanks are encoded as a whole.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: Mapping[str, int] | None = None):
         self.encode = _encoding(path, pattern).encode_ordinary
         self.known: dict[str, list[int]] = {}
+        self.added = dict(added or {})
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def __call__(self, text: str) -> list[int]:
+        if self.cut is None or not self.cut.search(text):
+            return self._ordinary(text)
+        out: list[int] = []
+        for i, part in enumerate(self.cut.split(text)):
+            if i % 2:
+                out.append(self.added[part])
+            elif part:
+                out += self._ordinary(part)
+        return out
+
+    def _ordinary(self, text: str) -> list[int]:
         if "  " in text or text[:1] == " " or text[-1:] == " ":
             return self.encode(text)
         known, encode = self.known, self.encode
@@ -81,18 +106,19 @@ def cut(length: int, capacity: int) -> list[int]:
 
 def pieces(
     documents: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False,
+    added: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of the documents: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked, ``ids``.
 
     ``path`` and ``pattern`` are a file of byte-pair ranks and its pattern of
-    words, present on all executors. A null text is empty: one piece with the
+    words, present on all executors, ``added`` the result of :func:`added_tokens`. A null text is empty: one piece with the
     end id alone.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path, pattern)
+        tokens = Tokens(path, pattern, added)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -247,7 +273,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(
     documents: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    with_ids: bool = False,
+    with_ids: bool = False, added: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Tokenize, cut and pack; the tokens are made once and the pieces stored."""
-    return pack(stored(pieces(documents, path, pattern, capacity, end_id, with_ids), "pieces"), capacity)
+    return pack(stored(pieces(documents, path, pattern, capacity, end_id, with_ids, added), "pieces"), capacity)

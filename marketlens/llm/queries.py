@@ -38,7 +38,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack_documents(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
     ).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

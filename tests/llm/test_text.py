@@ -132,6 +132,24 @@ def test_packed_documents(spark, documents, odd):
         assert len(places) <= -(-tokens // 1024) * 1.05 + 2
 
 
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from marketlens.llm.queries import QUERIES
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "two words <|endoftext|> and <|endoftext|><|endoftext|>  x ", "<|endoftext", "plain", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        ids = reference.encode(t or "", add_special_tokens=False).ids + [2]
+        want[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    for packed in (QUERIES["op3_packing"](spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, frame, "")):
+        assert {r.doc_id: (r.length, r.ids_crc32) for r in packed.collect()} == want
+
+
 def test_packing_no_rows(none):
     assert packing.pack_documents(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
