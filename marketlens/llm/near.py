@@ -1,11 +1,14 @@
-"""Near copies by MinHash LSH forest and exact Jaccard similarity of word 5-grams.
-
-A document is the set of its shingles. Documents of one set are one node. Each
-tree of the forest sorts the nodes by the values of its own hash functions; the
-prefix that two nodes must share is shortened from the full depth until pairs
-at the threshold meet in some tree with the target recall. Nodes that meet are
-brought together once, and all their pairs are compared exactly, in blocks.
-Pairs are counted where they are compared and never written out.
+"""Near copies by banded MinHash, a prefix filter for what it misses, and exact Jaccard similarity of word 5-grams.
+
+A document is the set of its shingles. Documents of one set are one node. 32
+bands of MinHash values bring most similar nodes together; the number of values
+in a band follows from the threshold and a target recall by a formula. Nodes
+that meet, directly or over others, are compared exactly, all pairs, in blocks;
+pairs are counted where they are compared and never written out.
+
+Nodes that no band brought together are found without loss by a prefix filter:
+in any one order of all shingles, two sets at the threshold share one of their
+first few. Pairs from it that were not compared yet are compared one by one.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ TARGET_RECALL = 0.999
 #: Shingles and nodes that one task compares at once; more are compared block by block.
 BLOCK_SHINGLES, BLOCK_NODES = 400_000, 1500
 BROADCAST_ROWS = 500_000
+#: Documents that frequent shingles are looked for in, and how many of those are ordered last, at most.
+SAMPLED, FREQUENT = 20_000, 500_000
 
 _CHUNK = 1 << 20
 _rng = np.random.default_rng(20240607)
@@ -224,6 +229,102 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rest: tupl
         yield last, held
 
 
+def _least_common(size: int, threshold: float) -> int:
+    """Shingles that a set of this size shares with any set at the threshold, at least."""
+    return max(1, int(np.ceil(threshold * size - 1e-6)))
+
+
+def frequent_shingles(documents: DataFrame, n_documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample hold, sorted, and their counts.
+
+    They only decide an order, so neither the sample nor the bound loses a pair.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view("i8"))], ["shingle"])
+
+    parts = max(1, -(-n_documents // SAMPLED))
+    sample = documents.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)) == 0).select("text")
+    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
+    values = found["shingle"].to_numpy("i8").view("u8")
+    order = np.argsort(values)
+    return values[order], found["n"].to_numpy("i8")[order]
+
+
+def prefix(sorted_shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """The first shingles, rare ones before frequent ones, of which every set at the threshold shares one."""
+    values, counts = frequent
+    n = len(sorted_shingles) - _least_common(len(sorted_shingles), threshold) + 1
+    if not len(values):
+        return sorted_shingles[:n]
+    at = np.minimum(np.searchsorted(values, sorted_shingles), len(values) - 1)
+    often = np.where(values[at] == sorted_shingles, counts[at], 0)
+    return sorted_shingles[np.argsort(often, kind="stable")[:n]]
+
+
+def missed(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """Links ``a``, ``b`` between ``nodes`` (n, node, least_id, root) of different roots, all of them, as numbers n."""
+    side = nodes.select("n", "node", F.col("least_id").alias("__id"), "root")
+    side = F.broadcast(side) if is_small(side, BROADCAST_ROWS) else side
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                s = shingles(text.as_py())
+                if not len(s):
+                    continue
+                p = prefix(s, frequent, threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc_id.as_py()], pa.int64()), pa.array([node_of(s)], pa.binary()), pa.array([len(s)], pa.int32()),
+                     pa.array([p.view("i8")], pa.list_(pa.int64()))], ["doc_id", "node", "size", "prefix"])
+
+    firsts = docs.mapInArrow(first, "doc_id long, node binary, size int, prefix array<long>").alias("f").join(
+        side.alias("s"), (F.col("f.node") == F.col("s.node")) & F.col("f.doc_id").eqNullSafe(F.col("s.__id")))
+    rows = stored(firsts.select("n", "root", "size", F.posexplode("prefix").alias("at", "shingle")), "prefixes")
+    met = stored(rows.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("shingle"), "met")
+    crossed = rows.join(F.broadcast(met) if is_small(met, BROADCAST_ROWS) else met, "shingle")
+    by_root = crossed.groupBy("shingle", "root").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    roots = by_root.alias("a").join(by_root.alias("b"), "shingle").filter(
+        (F.col("a.root") < F.col("b.root")) & (F.col("a.hi") + 1e-6 >= threshold * F.col("b.lo"))
+        & (F.col("b.hi") + 1e-6 >= threshold * F.col("a.lo"))).select("shingle", F.col("a.root").alias("ra"), F.col("b.root").alias("rb"))
+    own = crossed.select("shingle", F.col("root").alias("ra"), F.col("n").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
+    other = crossed.select("shingle", F.col("root").alias("rb"), F.col("n").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
+    # at the first shingle that two sets share, what stands behind it has to reach the common shingles they need
+    reach = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    pairs = stored(roots.join(own, ["shingle", "ra"]).join(other, ["shingle", "rb"]).filter(
+        reach * (1 + threshold) + 1e-5 >= threshold * (F.col("size_a") + F.col("size_b"))).select("a", "b").distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
+    wanted = stored(nodes.join(asked, "n").select("n", "node", F.col("least_id").alias("__id")), "asked")
+    side = F.broadcast(wanted) if is_small(wanted, BROADCAST_ROWS) else wanted
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, node, text in zip(batch.column("n"), batch.column("node"), batch.column("text")):
+                s = shingles(text.as_py())
+                if node_of(s) == node.as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array([n.as_py()], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["n", "set"])
+
+    held = stored(docs.join(side, docs["doc_id"].eqNullSafe(side["__id"])).select("n", "node", "text").mapInArrow(
+        sets, "n long, set binary").dropDuplicates(["n"]), "sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, x, y in zip(*[batch.column(c) for c in ("a", "b", "x", "y")]):
+                x, y = (np.frombuffer(v.as_buffer(), "u8") for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common >= threshold * (len(x) + len(y) - common) - 1e-6:
+                    out.append((a.as_py(), b.as_py()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    both = pairs.join(held.select(F.col("n").alias("a"), F.col("set").alias("x")), "a").join(
+        held.select(F.col("n").alias("b"), F.col("set").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "missed")
+
+
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id``, ``class_id``, ``n_links``, ``n_copies``, ``node``,
     ``class_root``.
@@ -241,11 +342,11 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     worded = signed.filter("node is not null")
     nodes = stored(worded.groupBy("node").agg(
         F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
-        F.first("keys").alias("keys")), "nodes")
+        F.first("keys").alias("keys")).withColumn("n", F.monotonically_increasing_id()), "nodes")
     leaves = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
     met = leaves.groupBy("tree", "key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").drop("z")
     edges = leaves.join(met, ["tree", "key"]).filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    placed = components(edges).join(nodes.drop("keys"), "node")
+    placed = components(edges).join(nodes.drop("keys", "n"), "node")
     totals = placed.groupBy("root").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).select(
         "root", F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_NODES)).cast("int").alias("blocks"))
     fetch = stored(placed.join(totals, "root").select(F.col("least_id").alias("__id"), "node", "root", "copies", "blocks"), "fetch")
@@ -284,6 +385,18 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         roots = components(compared.select(F.col("node").alias("a"), F.col("anchor").alias("b")))
         sums = compared.groupBy("node").agg(F.sum("links").alias("links"))
         linked = sums.join(roots, "node", "left").select("node", "links", F.coalesce("root", "node").alias("anchor"))
+    numbers = nodes.select(F.col("node").alias("root"), F.col("n").alias("root_n"))
+    rooted = nodes.select("n", "node", "least_id").join(fetch.select("node", "root"), "node", "left").join(numbers, "root", "left").select(
+        "n", "node", "least_id", F.coalesce("root_n", "n").alias("root"))
+    late = missed(docs, rooted, frequent_shingles(docs, signed.count()), threshold)
+    if not late.isEmpty():
+        each = late.union(late.select("b", "a")).join(nodes.select(F.col("n").alias("a"), "node"), "a").join(
+            nodes.select(F.col("n").alias("b"), F.col("node").alias("other"), "copies"), "b")
+        more = stored(each.select("node", "other", "copies"), "late")
+        linked = stored(linked, "linked")
+        joined = components(linked.select(F.col("node").alias("a"), F.col("anchor").alias("b")).union(more.select("node", "other")))
+        sums = linked.select("node", "links").union(more.select("node", "copies")).groupBy("node").agg(F.sum("links").alias("links"))
+        linked = sums.join(joined, "node", "left").select("node", "links", F.coalesce("root", "node").alias("anchor"))
     known = nodes.select("node", "least_id", "copies").join(linked, "node", "left").withColumn(
         "anchor", F.coalesce("anchor", "node"))
     ids = known.groupBy("anchor").agg(F.min("least_id").alias("class_id"))

@@ -186,6 +186,20 @@ def test_classes_equal_brute_force(spark, documents):
     assert near.classes(documents.limit(0)).count() == 0
 
 
+def test_no_link_is_lost_that_bands_miss(spark):
+    rows, length = [], near.prefix_length(0.8)
+    for seed in (593, 3398, 3535):  # found by search: similarity 12 / 15, no band in common
+        pick = random.Random(seed)
+        words = [f"w{pick.randint(0, 10**6)}" for _ in range(22)]
+        x, y = " ".join(words[:16]), " ".join(words[:19])
+        assert not (near.tree_keys(near.shingles(x), length) == near.tree_keys(near.shingles(y), length)).any()
+        rows += [(len(rows), x), (len(rows) + 1, y), (len(rows) + 2, y.replace(" ", "  "))]
+    rows += [(100 + i, " ".join([t, *f"one more word {i}".split()])) for i, (_, t) in enumerate(rows)]
+    check_classes(spark, rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near.one_of_each(frame).count() == len({c for c, _ in brute.classes(rows)})
+
+
 def test_large_groups_go_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK_NODES", 3)
     check_classes(spark, near_rows())
