@@ -3,8 +3,8 @@
 Every window of k words of a document is hashed and joined to the places of the
 templates where that hash stands. A hit lies on a diagonal, document place less
 template place; a copied passage puts its hits on one. Neighbouring diagonals,
-where a word was put in or left out, are merged, and the words along them are
-compared with the template one by one.
+where a word was put in or left out, are merged, and all words along them are
+compared with the template one by one, also where no window hit.
 """
 
 from __future__ import annotations
@@ -126,12 +126,11 @@ def scan(
                       F.posexplode("grams").alias("place", "gram"))
     at = F.broadcast(at) if len(grams) <= MAX_LISTED else at
     found = rows.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.gram").join(at, "gram")
-    votes = found.groupBy("row", "label", "length", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.collect_list("place").alias("starts"))  # a template's windows at most
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (k - 1)))))
-    verified = votes.withColumn("places_hit", covered).join(rows.select("row", "words"), "row").select(
+    votes = found.select("row", "label", "length", "template", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    every = F.sequence(F.lit(0), F.col("length") - 1)
+    verified = votes.join(rows.select("row", "words"), "row").select(
         "row", "label", "length", "diagonal",
-        F.filter("places_hit", lambda p: F.get("words", p + F.col("diagonal")) == F.get("template", p)).alias("same"))
+        F.filter(every, lambda p: F.get("words", p + F.col("diagonal")) == F.get("template", p)).alias("same"))
     order = Window.partitionBy("row", "label").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > slack, F.lit(True))
     copies = (

@@ -140,3 +140,15 @@ def test_a_copy_with_a_word_put_in_is_one_span(spark):
 
 def test_licenses_of_no_rows(none):
     assert licenses.report(none).count() == 0
+
+
+def test_words_between_hits_are_compared(spark):
+    rows = [(1, "x Licensed under the Apache Licence, Version 2.0 y"), (2, "Licensed under the Apache thing, edition 2.1"),
+            (3, "This program is free software: you can spread it and/or change it under all terms of any GNU General Public License "
+                "as printed by the Free Software Group, either version 3 of that License, or (at your choice) any later version")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found, spans = licenses.scan(frame)
+    got = {(r.doc_id, r.label): (r.share, r.first_word, r.end_word) for r in spans.join(found, "row").collect()}
+    assert got[1, "apache-2.0-notice"] == (7 / 8, 1, 9)
+    assert got[3, "gpl-3.0-header"][0] >= 0.75 and not any(d == 2 for d, _ in got)
+    assert {r.doc_id: "apache-2.0-notice" in r.labels for r in licenses.report(frame).collect()} == {1: True, 2: False, 3: False}
