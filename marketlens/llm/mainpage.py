@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Pages that lend their texts to the labelled pages at most, those with the least hash.
 MAX_LABELLED = 150
 VARIANTS = 6
+#: Pages of other layouts that few lending pages make at least.
+MIN_LAYOUTS = 300
 EPOCHS, RATE, PENALTY = 8, 0.8, 1e-5
 MAX_TRAIN_BLOCKS = 60
 
@@ -358,23 +360,51 @@ def labelled_page(texts: list[str], other: list[str], pick: random.Random) -> st
 
 
 _PLAIN = frozenset("nav aside footer form".split())
+#: Words of a block of prose at least.
+PROSE_WORDS = 15
+
+# Texts that are lent to layouts when a table has none.
+_TEXTS = (
+    ("How the harbour was built", "The first stones were laid in the spring, when the river was low and the ground was dry.",
+     "For nine years the work went on, and in the end ships of every size could land there.", "Old plans", "They hang in the town hall today."),
+    ("A walk through the hills", "Start at the mill and follow the stream until the path turns left behind the last farm, where the woods begin.",
+     "From the top you can see both valleys, the lake and, on clear days, the mountains far behind it."),
+    ("Bread at home", "Mix flour, water, salt and a little yeast the evening before, cover the bowl and leave it in a cool place until morning.",
+     "Heat the oven well.", "Bake the loaf for forty minutes, then let it rest on a rack so that the crust stays firm."),
+    ("What the survey found", "Of the two thousand people who were asked, more than half said that they read every day, most of them in the evening.",
+     "Younger readers chose stories; older ones chose history and travel.", "The survey will be repeated next year."),
+)
+
+
+def _is_prose(block: Block) -> bool:
+    return block.text.count(" ") + 1 >= PROSE_WORDS and block.link_share < 0.3 and not _PLAIN & set(block.tags)
 
 
 def labelled_pages(pages: DataFrame, max_labelled: int = MAX_LABELLED, variants: int = VARIANTS, seed: int = 11) -> list[str]:
-    """Labelled pages from the texts of at most ``max_labelled`` of the given pages.
+    """Labelled pages from the texts of at most ``max_labelled`` different ones of the given pages.
 
-    A page whose author marked the article lends its blocks twice: as the page
-    it is, the blocks of the article being main text, and in pages of other
-    layouts with parts of every kind, whose labels are known by construction.
+    A page whose author marked the article lends the article's blocks, another
+    one its long blocks of prose. They become pages of other layouts with parts
+    of every kind, whose labels are known by construction. If no page has
+    either, fixed texts are lent.
     """
-    rows = pages.select("html").filter("html is not null").orderBy(F.xxhash64("html"), "html").limit(max_labelled).collect()
+    pages = pages.select("html", F.xxhash64("html").alias("__h")).filter("html is not null")
+    chosen = pages.select("__h").distinct().orderBy("__h").limit(max_labelled)  # copies count once
+    rows = pages.join(F.broadcast(chosen), "__h").groupBy("__h").agg(F.min("html").alias("html")).orderBy("__h").collect()
     pick, out, own, other = random.Random(seed), [], [], []
     for row in rows:
-        blocks = leaf_blocks(row["html"])[:MAX_TRAIN_BLOCKS]
+        every = leaf_blocks(row["html"])
+        blocks = every[:MAX_TRAIN_BLOCKS]
         inside = [b.text for b in blocks if "article" in b.tags and not _PLAIN & set(b.tags)]
+        if not inside:
+            inside = [b.text for b in every if _is_prose(b)][:MAX_TRAIN_BLOCKS]
         if inside:
             own.append(inside)
             other += [b.text for b in blocks if len(b.text) < 300]
+    if not own:
+        own = [list(x) for x in _TEXTS]
+    other = other or [t for x in own for t in x]
+    variants = max(variants, -(-MIN_LAYOUTS // len(own)))
     for inside in own:
         plain = "".join(f"<p>{LABEL}{_escape(t)}</p>" for t in inside)
         menu = "".join(f'<li><a href="/a">{_escape(w)}</a></li>' for w in pick.choice(other).split()[:6])

@@ -396,3 +396,28 @@ def test_odd_pages(spark, model):
     assert len(got) == 5 and max(r.n_chars for r in got) == 5000 * 15 - 1
     assert mainpage.extract(frame.limit(0), model).count() == 0
     assert mainpage.learn(frame.limit(0)).extract("<p>x") in ("", "x")
+
+
+def test_pages_without_articles(spark):
+    pick = random.Random(21)
+    word = lambda: "".join(pick.choice("aeioulnrst") for _ in range(pick.randint(2, 8)))
+    prose = lambda: " ".join(word() for _ in range(pick.randint(18, 50))).capitalize() + "."
+    rows, want = [], {}
+    for i in range(60):
+        own = [prose() for _ in range(pick.randint(2, 6))]
+        menu = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in (word() for _ in range(6)))
+        rows.append((i, "u", f'<body><nav><ul>{menu}</ul></nav><div class="content">{"".join(f"<p>{t}</p>" for t in own)}</div>'
+                             f"<footer>&copy; {word()}</footer></body>"))
+        want[i] = "\n".join(own)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in mainpage.extract(frame, mainpage.learn(frame)).collect()}
+    assert sum(got[i] == t for i, t in want.items()) >= 0.95 * len(want)
+    few = frame.select("page_id", "url", F.lit('<nav><a href="/a">one</a></nav><main><p>Few words.</p></main><footer>&copy; x</footer>').alias("html"))
+    assert {r.text for r in mainpage.extract(few, mainpage.learn(few)).collect()} == {"Few words."}
+
+
+def test_copies_of_a_page_lend_once(spark):
+    texts = [f"Text {i} of a page that says little but has an article around it." for i in range(4)]
+    frame = spark.createDataFrame([(f"<article><p>{t}</p></article>",) for t in texts for _ in range(20)], "html string")
+    lent = "".join(mainpage.labelled_pages(frame, max_labelled=4))
+    assert all(t in lent for t in texts)
