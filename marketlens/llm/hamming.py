@@ -32,13 +32,14 @@ BLOCK_CODES, BLOCK_QUERIES = 20_000, 2_000
 def sign_code(vector: str = "embedding") -> Column:
     """A 64-bit code of the signs of a vector of at most 64 numbers: bit i is set if number i is above zero.
 
-    Null for a null or empty vector and for a longer one; a null or NaN number
-    leaves its bit unset.
+    Null for a null or empty vector; a null or NaN number leaves its bit unset.
+    A longer vector is an error, since a code could not hold it.
     """
     bits = F.transform(F.col(vector), lambda x, i: F.when(
         (x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     folded = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when(F.size(vector).between(1, BITS), folded)
+    return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a vector has more than {BITS} numbers")).cast("long")).when(
+        F.size(vector) > 0, folded)
 
 
 def segments_for(n_codes: int) -> int:

@@ -333,6 +333,14 @@ def test_codes_of_few_and_odd_vectors(spark):
     assert hamming.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_wider_vectors_are_an_error(spark):
+    frame = spark.createDataFrame([(0, [1.0] * 64), (1, [1.0] * 65)], "id long, embedding array<float>").select(
+        "id", hamming.sign_code().alias("code"))
+    assert frame.filter("id = 0").collect()[0].code == -1
+    with pytest.raises(Exception, match="more than 64 numbers"):
+        frame.collect()
+
+
 # -- pages
 
 
