@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, hamming, langid, licenses, mainpage, near, packing, quality, shards, subwords
+from marketlens.llm import (
+    chat, divergence, hamming, langid, licenses, mainpage, near, packing, periods, quality, secret_scan, shards, subwords,
+)
 from marketlens.llm.common import table
 
 QUERIES: dict = {}
@@ -91,6 +93,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpage.extract(pages, mainpage.learn(pages))
 
 
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(table(spark, sf_dir, "documents"), plant=True)
+
+
+@_query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 TWINS["op9_topk_search"] = """
 WITH codes AS (
   SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END), '')::BIT AS code
@@ -125,3 +142,36 @@ class AS (SELECT r.i, min(d.doc_id) AS class_id FROM reach r JOIN worded d ON r.
 SELECT d.doc_id, c.class_id, (SELECT count(*) FROM links l WHERE l.x = d.i) AS n_links
 FROM worded d JOIN class c ON c.i = d.i
 """
+
+TWINS["op13_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+words AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+sizes AS (SELECT d.lang, (SELECT count(*) FROM kept k WHERE k.lang = d.lang)::HUGEINT AS v FROM (SELECT DISTINCT lang FROM docs) d),
+used AS (SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS c FROM words w SEMI JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(sum(u.c), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.c, 0) AS c, 1 + 1000000000 * (coalesce(u.c, 0) + 2) // (g.n + 2 * s.v) AS p
+  FROM groups g JOIN sizes s ON s.lang = g.lang JOIN kept k ON k.lang = g.lang
+  LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+whole AS (
+  SELECT u.lang, u.term, 1 + 1000000000 * (sum(u.c)::HUGEINT + 2) // (any_value(t.n) + 2 * any_value(s.v)) AS q
+  FROM used u JOIN sizes s ON s.lang = u.lang JOIN (SELECT lang, sum(n)::HUGEINT AS n FROM groups GROUP BY lang) t ON t.lang = u.lang
+  GROUP BY u.lang, u.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) FROM shares x JOIN shares y ON x.term = y.term AND x.lang = y.lang
+                   WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+  FROM shares s JOIN whole w ON w.lang = s.lang AND w.term = s.term WHERE s.c > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 10
+"""

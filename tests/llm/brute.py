@@ -79,3 +79,77 @@ def turns_digest(rows):
     loss = "".join(text or "" for _, role, text in rows if role == "assistant")
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     return len(rows), sha(whole), len(loss), sha(loss)
+
+
+def periodic_runs(words, least=12):
+    """All runs as (start, length, period), from every period in turn."""
+    n, found = len(words), []
+    for q in range(1, n // 2 + 1):
+        at = 0
+        while at < n - q:
+            end = at
+            while end < n - q and words[end] == words[end + q]:
+                end += 1
+            s, e = at, end + q
+            if e - s >= max(least, 2 * q) and not any(words[s : e - p] == words[s + p : e] for p in range(1, q)):
+                found.append((s, e - s, q))
+            at = max(end, at + 1)
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def run_digest(doc_id, text):
+    import zlib
+
+    words = space_words(text)
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+    runs = periodic_runs(words)
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return (doc_id, len(runs), *((*best, 1000 * best[1] // best[2]) if best else (None,) * 4),
+            sha("".join("%d,%d,%d\n" % r for r in runs)), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+def base_secrets(text):
+    """(start, kind number, end) of the three base kinds, by expressions over the whole text."""
+    letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    names = "|".join(map(letters, ("password", "passwd", "secret", "token", "api_?key")))
+    kinds = (rf"({names})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "AKIA[A-Z0-9]+", "[0-9a-f]+")
+    good = (lambda m: len(m[2]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24)
+    return sorted((m.start(), i, m.end()) for i, k in enumerate(kinds) for m in re.finditer(k, text or "") if good[i](m))
+
+
+def divergence(docs, least=10, top=10):
+    """Rows (lang, source, part, item, value, rank) of (lang, source, text) documents."""
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    docs = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low(text or ""))) for lang, source, text in docs]
+    holders, uses, groups = defaultdict(Counter), defaultdict(Counter), set()
+    for lang, source, words in docs:
+        groups.add((lang, source))
+        holders[lang].update(set(words))
+        uses[lang, source].update(words)
+    out = []
+    for lang in sorted({g[0] for g in groups}):
+        kept = [t for t, n in holders[lang].items() if n >= least]
+        sources = sorted(s for g, s in groups if g == lang)
+        whole = sum((uses[lang, s] for s in sources), Counter())
+
+        def shares(counts):
+            total = sum(counts[t] for t in kept)
+            return {t: 1 + 10**9 * (counts[t] + 2) // (total + 2 * len(kept)) for t in kept}
+
+        p, q = {s: shares(uses[lang, s]) for s in sources}, shares(whole)
+        f = lambda x, y: (x - y) ** 2 // (x + y)
+        for s in sources:
+            pairs = [(o, sum(f(p[s][t], p[o][t]) for t in kept)) for o in sources if o != s]
+            terms = [(t, f(p[s][t], q[t])) for t in kept if uses[lang, s][t] and p[s][t] > q[t]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                found.sort(key=lambda r: (-r[1], r[0].encode()))
+                out += [(lang, s, part, item, v, i + 1) for i, (item, v) in enumerate(found[:most])]
+    return out
