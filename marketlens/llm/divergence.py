@@ -12,11 +12,11 @@ exactly where it goes, so the kept terms are exact.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,55 +30,90 @@ TOP_TERMS = 10
 BITMAP_BITS = 25
 CHUNK_TERMS = 2048
 BLOCK_SOURCES = 256
-_HELD = 200_000
-_HELD_BYTES = 32 << 20
+_PART_BYTES = 8 << 20
 
 #: Letters A to Z as a to z; a to z and bytes of other characters as they are; the rest parts words.
-_FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
+_FOLDS = np.array([i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256)], "u1")
 _END = b" "
-
-
-def terms_of(text: str | None) -> list[bytes]:
-    """Runs of letters A to Z, in lower case, and of all characters beyond ASCII."""
-    return (text or "").encode().translate(_FOLD).split()
+_MARK = pa.scalar(_END, pa.large_binary()), pa.scalar(b"", pa.large_binary())  # what is joined on, and between
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The terms of all texts in order, as codes into their different values, with the number of the text of each."""
+    texts = texts.cast(pa.large_string())
+    _, places, data = texts.buffers()
+    edges = np.frombuffer(places, "i8")[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, "u1")[edges[0] : edges[-1]] if data is not None else np.zeros(0, "u1")
+    edges = edges - edges[0]
+    folded = _FOLDS[data]
+    solid = folded != _END[0]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    border = edges[(edges > 0) & (edges < len(data))]  # a term ends with its text
+    first[border] = solid[border]
+    last[border - 1] = solid[border - 1]
+    starts = np.flatnonzero(first)
+    lengths = np.flatnonzero(last) + 1 - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("i8")
+    terms = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(folded[solid])])
+    return np.searchsorted(edges, starts, "right") - 1, terms.dictionary_encode()
+
+
+def _hashes(lang: str, terms: pa.Array, width: int) -> np.ndarray:
+    """A place of a bitmap of 2**width bits for each term (large binary) of a language."""
+    _, places, data = terms.buffers()
+    edges = np.frombuffer(places, "i8")[terms.offset : terms.offset + len(terms) + 1]
+    lengths = np.diff(edges)
+    if not len(lengths):
+        return np.zeros(0, "u8")
+    letters = np.frombuffer(data, "u1")[edges[0] : edges[-1]].astype("u8") + np.uint64(1)
+    power = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, "u8"))
+    at = np.arange(len(letters)) - np.repeat(edges[:-1] - edges[0], lengths)
+    sums = np.add.reduceat(letters * power[at], edges[:-1] - edges[0])
+    mixed = (sums + np.uint64(zlib.crc32(lang.encode()))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed >> np.uint64(64 - width)
 
 
 def _bitmap(kept: DataFrame, width: int) -> np.ndarray:
     """2**width bits, set for the (lang, term) rows; at most 2**width / 64 numbers pass the driver."""
-    place = F.shiftrightunsigned(F.crc32(F.concat(F.encode("lang", "utf-8"), F.lit(b"\0"), F.col("term"))), 32 - width)
-    bits = kept.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b"))
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (lang,), part in _groups(batch, ["lang"]):
+                place = np.sort(_hashes(lang, part.column("term").cast(pa.large_binary()), width))
+                word, inside = np.unique(place >> np.uint64(6), return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), inside)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype("i4")), pa.array(bits.view("i8"))], names=["w", "b"])
+
+    bits = kept.mapInArrow(places, "w int, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
     out = np.zeros(1 << width - 6, "i8")
     rows = bits.toArrow()
     out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return out.view("u8")
 
 
-def _has(bits: np.ndarray, lang: bytes, prefix: bytes) -> bool:
-    place = zlib.crc32(lang + b"\0" + prefix) >> 27 - len(bits).bit_length()
-    return bool(int(bits[place >> 6]) >> (place & 63) & 1)
-
-
-class _Held:
-    """Sums by key in bounded memory, given out as batches whenever the bound is met."""
-
-    def __init__(self, names: list[str]):
-        self.names, self.sums, self.bytes = names, Counter(), 0
-
-    def add(self, key: tuple, n: int) -> None:
-        if key not in self.sums:
-            self.bytes += len(key[-1])
-        self.sums[key] += n
+def _has(bits: np.ndarray, lang: str, terms: pa.Array) -> np.ndarray:
+    place = _hashes(lang, terms, len(bits).bit_length() + 5)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    def full(self) -> bool:
-        return len(self.sums) >= _HELD or self.bytes >= _HELD_BYTES
 
-    def batch(self) -> pa.RecordBatch:
-        *texts, terms = zip(*self.sums)
-        arrays = [pa.array(list(t), pa.string()) for t in texts] + [pa.array(list(terms), pa.binary()),
-                                                                    pa.array(list(self.sums.values()), pa.int64())]
-        self.sums, self.bytes = Counter(), 0
-        return pa.RecordBatch.from_arrays(arrays, names=self.names)
+def _groups(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The rows of a batch by equal values of some columns, in parts of bounded bytes (of one row at least)."""
+    if not batch.num_rows:
+        return
+    codes = [np.asarray(batch.column(c).dictionary_encode().indices) for c in names]
+    order = np.lexsort(codes)
+    batch = batch.take(pa.array(order))
+    new = np.zeros(len(order), bool)
+    for code in codes:
+        new[1:] |= np.diff(code[order]) != 0
+    sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype("i8")
+    new[1:] |= np.diff(np.cumsum(sizes) // _PART_BYTES) != 0
+    edges = np.concatenate([[0], np.flatnonzero(new), [len(order)]])
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        part = batch.slice(low, high - low)
+        yield tuple(part.column(c)[0].as_py() for c in names), part
 
 
 def _prefix_counts(docs: DataFrame, before: int, size: int, bits) -> DataFrame:
@@ -88,31 +123,26 @@ def _prefix_counts(docs: DataFrame, before: int, size: int, bits) -> DataFrame:
     others are looked at if their first ``before`` bytes are kept.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, memo = _Held(["lang", "term", "n"]), {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                raw, found = lang.encode(), set()
-                known = memo.setdefault(lang, {})
-                for term in set(terms_of(text)):
-                    prefix = known.get(term, 0)
-                    if prefix == 0:
-                        marked = term[:size] + _END if len(term) < size else term[:size]
-                        gone = len(term) < before or (before and not _has(bits.value, raw, term[:before]))
-                        prefix = None if gone else marked
-                        if len(term) <= 64:
-                            if len(known) >= _HELD:
-                                known.clear()
-                            known[term] = prefix
-                    if prefix is not None:
-                        found.add(prefix)
-                for prefix in found:
-                    held.add((lang, prefix), 1)
-                if held.full():
-                    yield held.batch()
-            if len(memo) > 64:  # many languages: keep no words of theirs
-                memo.clear()
-        if held.sums:
-            yield held.batch()
+            for (lang,), part in _groups(batch, ["lang"]):
+                owner, terms = _words(part.column("text"))
+                different = terms.dictionary
+                codes = terms.indices.to_numpy()
+                if before:
+                    open_ = pc.binary_length(different).to_numpy() >= before
+                    open_ &= _has(bits.value, lang, pc.binary_slice(different, 0, before))
+                    number = np.where(open_, np.cumsum(open_) - 1, -1)
+                    different = different.filter(pa.array(open_))
+                    codes = number[codes]
+                    owner, codes = owner[codes >= 0], codes[codes >= 0]
+                marked = pc.binary_slice(pc.binary_join_element_wise(different, *_MARK), 0, size).dictionary_encode()
+                n = len(marked.dictionary)
+                if n:
+                    pairs = np.sort(owner * n + marked.indices.to_numpy()[codes])
+                    counts = np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] % n, minlength=n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(lang, pa.string()), n), marked.dictionary.cast(pa.binary()), pa.array(counts, pa.int64())],
+                        names=["lang", "term", "n"])
 
     return docs.select("lang", "text").mapInArrow(work, "lang string, term binary, n long")
 
@@ -146,27 +176,16 @@ def term_uses(docs: DataFrame, kept: DataFrame, bitmap_bits: int = BITMAP_BITS)
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(kept, bitmap_bits))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, memo = _Held(["lang", "source", "term", "uses"]), {}
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")))
-            for lang, source, text in rows:
-                raw, known = lang.encode(), memo.setdefault(lang, {})
-                for term, n in Counter(terms_of(text)).items():
-                    good = known.get(term)
-                    if good is None:
-                        good = _has(bits.value, raw, term)
-                        if len(term) <= 64:
-                            if len(known) >= _HELD:
-                                known.clear()
-                            known[term] = good
-                    if good:
-                        held.add((lang, source, term), n)
-                if held.full():
-                    yield held.batch()
-            if len(memo) > 64:
-                memo.clear()
-        if held.sums:
-            yield held.batch()
+            for (lang, source), part in _groups(batch, ["lang", "source"]):
+                _, terms = _words(part.column("text"))
+                counts = np.bincount(terms.indices.to_numpy(), minlength=len(terms.dictionary))
+                good = _has(bits.value, lang, terms.dictionary)
+                n = int(good.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n),
+                     terms.dictionary.filter(pa.array(good)).cast(pa.binary()), pa.array(counts[good], pa.int64())],
+                    names=["lang", "source", "term", "uses"])
 
     counts = docs.mapInArrow(work, "lang string, source string, term binary, uses long")
     return counts.groupBy("lang", "source", "term").agg(F.sum("uses").alias("uses")).join(kept, ["lang", "term"], "left_semi")
