@@ -12,10 +12,11 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,47 +54,50 @@ def added_tokens(path: str) -> dict[str, int]:
 
 
 class Tokens:
-    """Ids of whole texts, the same as of the tokenizer file. Strings of ``added`` have the ids given there, wherever
-    they stand; without it they are taken as text.
+    """Ids of whole texts as little-endian 32-bit numbers, the same as of the tokenizer file. Strings of ``added`` have
+    the ids given there, wherever they stand; without it they are taken as text.
 
     A single blank before a printing character always begins a new unit of the
-    tokenizer, so texts are cut there and the ids of a cut are kept, up to a
-    bound. Texts with runs of blanks are encoded as a whole.
+    tokenizer, so texts are cut there and the bytes of a cut's ids are kept, up
+    to a bound. Texts with runs of blanks are encoded as a whole.
     """
 
     def __init__(self, path: str, pattern: str, added: Mapping[str, int] | None = None):
         self.encode = _encoding(path, pattern).encode_ordinary
-        self.known: dict[str, list[int]] = {}
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}  # words that a blank stands before
         self.added = dict(added or {})
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> bytes:
         if self.cut is None or not self.cut.search(text):
             return self._ordinary(text)
-        out: list[int] = []
-        for i, part in enumerate(self.cut.split(text)):
-            if i % 2:
-                out.append(self.added[part])
-            elif part:
-                out += self._ordinary(part)
-        return out
-
-    def _ordinary(self, text: str) -> list[int]:
+        return b"".join(_little([self.added[part]]) if i % 2 else self._ordinary(part)
+                        for i, part in enumerate(self.cut.split(text)))
+
+    def _ordinary(self, text: str) -> bytes:
         if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return self.encode(text)
-        known, encode = self.known, self.encode
-        words = text.split(" ")
-        words[1:] = [" " + w for w in words[1:]]
+            return _little(self.encode(text))
+        head, *words = text.split(" ")
+        first, later = self.first, self.later
+        if head not in first:
+            if len(first) > _CACHED_WORDS:
+                first.clear()
+            first[head] = _little(self.encode(head))
         try:
-            return list(chain.from_iterable([known[w] for w in words]))
+            return first[head] + b"".join([later[w] for w in words])
         except KeyError:
             pass
-        if len(known) > _CACHED_WORDS:
-            known.clear()
+        if len(later) > _CACHED_WORDS:
+            later.clear()
         for w in words:
-            if w not in known:
-                known[w] = encode(w)
-        return list(chain.from_iterable([known[w] for w in words]))
+            if w not in later:
+                later[w] = _little(self.encode(" " + w))
+        return first[head] + b"".join([later[w] for w in words])
+
+
+def _little(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -118,15 +122,15 @@ def pieces(
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path, pattern, added)
+        tokens, end = Tokens(path, pattern, added), _little([end_id])
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.array(tokens(text.as_py() or "") + [end_id], "<u4")
-                start = 0
-                for i, n in enumerate(cut(len(ids), capacity)):
-                    part = ids[start : start + n]
-                    out.append((doc_id, i, start, n, zlib.crc32(part.tobytes()), part.astype("i4"))[: len(names)])
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids, start = memoryview(tokens(text or "") + end), 0
+                for i, n in enumerate(cut(len(ids) // 4, capacity)):
+                    part = ids[4 * start : 4 * (start + n)]
+                    row = doc_id, i, start, n, zlib.crc32(part)
+                    out.append((*row, np.frombuffer(part, "<i4")) if with_ids else row)
                     start += n
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
