@@ -47,6 +47,7 @@ FAMILIES = {
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 
 _CHUNK = 1 << 20
+_ROWS = 256
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -70,34 +71,41 @@ def trigrams(text: str) -> np.ndarray:
     return (counts / norm if norm else counts).astype("f4")
 
 
-def _machine(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Weights and bias of a two-class machine, classes weighted equally, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), "f4")])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype("f4")
-    w = np.zeros(x.shape[1], "f4")
+def _machine(a: list[np.ndarray], b: list[np.ndarray], steps: int = STEPS) -> np.ndarray:
+    """Weights and bias of a two-class machine, classes weighted equally, by accelerated gradient steps.
+
+    A class is a list of blocks of rows whose last number is one; the blocks
+    are read in place.
+    """
+    sides = [(x, y, np.float32(0.5 / max(1, sum(map(len, blocks))))) for blocks, y in ((a, 1), (b, -1)) for x in blocks]
+    w = np.zeros(DIMS + 1, "f4")
     ahead, rate = w, 1 / (4 + PENALTY)  # rows have length root two at most
     for t in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        step = ahead + rate * (2 * x.T @ (weight * slack * y) - PENALTY * ahead)
+        pull = sum(x.T @ (weight * y * np.maximum(0, 1 - y * (x @ ahead))) for x, y, weight in sides)
+        step = ahead + rate * (2 * pull - PENALTY * ahead)
         ahead, w = step + t / (t + 3) * (step - w), step
     return w
 
 
-def _profile(shares: np.ndarray) -> np.ndarray:
-    """Logarithms of the mean shares of trigrams, for rows of shares."""
-    return np.log((1 - SMOOTHING) * shares.mean(axis=0) + SMOOTHING / DIMS)
+def _profile(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the mean shares of trigrams, for rows of roots of shares."""
+    return np.log((1 - SMOOTHING) * np.einsum("ij,ij->j", x, x) / len(x) + SMOOTHING / DIMS)
+
 
+def _likelihood(x: np.ndarray, profile: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.square(x[i : i + _ROWS]) @ profile for i in range(0, len(x), _ROWS)])
 
-def _floor(own: np.ndarray, others: np.ndarray | None) -> float:
+
+def _floor(own: np.ndarray, others: list[np.ndarray]) -> float:
     """The mean log-likelihood halfway between a language's own texts, the lowest left out, and texts of other languages.
 
     Own texts are held against the profile of the other half of them, so that
     few texts do not look more alike than new ones. Without others, evenly
     spread trigrams stand for them.
     """
-    halves = [(own[::2], own[1::2]), (own[1::2], own[::2])]
-    low = np.quantile(np.concatenate([a @ _profile(b) for a, b in halves]), LOW)
-    far = np.median(np.concatenate([others @ _profile(b) for _, b in halves])) if others is not None else np.mean(_profile(own))
+    halves = [(own[::2], _profile(own[1::2])), (own[1::2], _profile(own[::2]))]
+    low = np.quantile(np.concatenate([_likelihood(a, p) for a, p in halves]), LOW)
+    far = np.median(np.concatenate([_likelihood(x, p) for _, p in halves for x in others])) if others else np.mean(_profile(own))
     return float((low + min(far, low)) / 2)
 
 
@@ -157,16 +165,18 @@ def held_out(doc_id: str = "doc_id"):
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Machines from documents with an id, a text and a ``lang`` that are not held out.
 
-    Per language the ``per_language`` ids of the least hash are taken, so the
-    sample has a bound and does not depend on the order of rows.
+    Per language the ``per_language`` ids of the least hash are taken, of
+    repeated rows of an id the least text, so the sample has a bound in rows
+    and does not depend on their order.
     """
     usable = documents.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull())
-    rows = usable.select("doc_id", "lang").withColumn("__salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    rows = usable.select("doc_id", "lang").distinct().withColumn("__salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
     for keys in (("lang", "__salt"), ("lang",)):  # first within parts, so that a common language is no single task
         order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
         rows = rows.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per_language).drop("__n")
-    chosen = rows.select("doc_id", F.col("lang").alias("__lang")).distinct()
-    picked = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter("lang = __lang")
+    chosen = rows.select("doc_id", F.col("lang").alias("__lang"))
+    picked = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter("lang = __lang").groupBy(
+        "doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,29 +185,26 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "x"])
 
-    found = picked.select("lang", "text").mapInArrow(run, "lang string, x binary").toPandas()
-    counts = found["lang"].value_counts()
-    langs = sorted(counts.index[counts >= MIN_TEXTS])
+    found = picked.select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow().sort_by("lang")
+    langs, counts = np.unique(np.array(found.column("lang").to_pylist(), dtype=object), return_counts=True)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    matrix = np.ones((len(found), DIMS + 1), "f4")  # one copy of the sample; all below are views of it
+    for i, x in enumerate(found.column("x")):
+        matrix[i, :-1] = np.frombuffer(x.as_buffer(), "<f2")
+    del found
+    rows = {lang: matrix[low:high] for lang, low, high in zip(langs, edges, edges[1:]) if high - low >= MIN_TEXTS}
     families: dict[str, tuple[str, ...]] = {}
-    for lang in langs:
+    for lang in rows:
         families[family_of(lang)] = (*families.get(family_of(lang), ()), lang)
-    rows = {lang: np.stack([np.frombuffer(b, "<f2") for b in found["x"][found["lang"] == lang][:per_language]]).astype("f4")
-            for lang in langs}
     machines = {}
-
-    def duel(key: tuple[str, str], a: np.ndarray, b: np.ndarray) -> None:
-        machines[key] = _machine(np.vstack([a, b]), np.repeat(np.array([1, -1], "f4"), [len(a), len(b)]))
-
     for a, b in combinations(sorted(families), 2):
-        duel(("family " + a, "family " + b), *(np.vstack([rows[x] for x in families[f]]) for f in (a, b)))
+        machines["family " + a, "family " + b] = _machine(*([rows[x] for x in families[f]] for f in (a, b)))
     for members in families.values():
         for a, b in combinations(members, 2):
-            duel((a, b), rows[a], rows[b])
-    profiles = {}
-    shares = {lang: x * x for lang, x in rows.items()}
-    for lang in langs:
-        others = [shares[x] for x in langs if x != lang]
-        profiles[lang] = _profile(shares[lang]).astype("f4"), _floor(shares[lang], np.vstack(others) if others else None)
+            machines[a, b] = _machine([rows[a]], [rows[b]])
+    shares = {lang: x[:, :-1] for lang, x in rows.items()}
+    profiles = {lang: (_profile(x).astype("f4"), _floor(x, [y for other, y in shares.items() if other != lang]))
+                for lang, x in shares.items()}
     return Model(families, machines, profiles)
 
 

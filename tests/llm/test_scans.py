@@ -190,3 +190,19 @@ def test_cells_add_up(spark):
     docs = [("en", f"s{rnd.randrange(7)}", " ".join(rnd.choices([f"w{chr(97 + i)}" for i in range(20)], k=5))) for _ in range(90)]
     frame = spark.createDataFrame(docs, "lang string, source string, text string")
     assert rows(divergence.audit(frame, min_documents=3, chunk_terms=4, block_sources=2)) == sorted(brute.divergence(docs, least=3), key=repr)
+
+
+def test_repeated_ids_are_one_training_text(spark):
+    """One id on very many rows counts once and does not crowd other ids out."""
+    from pyspark.sql import functions as F
+
+    from marketlens.llm import langid
+
+    words = {"en": "the house and the tree with them", "de": "das haus und der baum bei ihnen"}
+    docs = spark.createDataFrame([(i, f"{words[lang]} {i}", lang) for i in range(200) for lang in [("en", "de")[i % 2]]],
+                                 "doc_id long, text string, lang string")
+    many = spark.range(5000).select(F.lit(0).cast("long").alias("doc_id"), F.lit(words["en"] + " 0").alias("text"), F.lit("en").alias("lang"))
+    once, often = langid.train(docs, per_language=40), langid.train(docs.union(many), per_language=40)
+    assert once.families == often.families == {"germanic": ("de", "en")}
+    for key, w in once.machines.items():
+        np.testing.assert_allclose(w, often.machines[key], atol=1e-4)
