@@ -95,3 +95,6 @@ BLEND_FIT = T.StructType(
         *[T.StructField(n, T.DoubleType()) for n in ("lo", "hi")],
     ]
 )
+
+CONTEXT_LEXICON = "phrase string, role string, polarity double, subjectivity double, factor double, reach int"
+VALENCE_LEXICON = "word string, role string, valence double"
