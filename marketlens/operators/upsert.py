@@ -44,15 +44,26 @@ def merge_partial_rows(df: DataFrame, keys: Sequence[str], version: Sequence[str
     """Per key, the latest value of each column that is not null.
 
     A write that leaves a column out does not erase what an earlier write put
-    there.
+    there. Of several values of one version the greatest counts.
     """
-    rest = [c for c in df.columns if c not in keys and c not in version]
-    order = _version(version)
+    rest = [f for f in df.schema.fields if f.name not in keys and f.name not in version]
+
+    def order(field: T.StructField) -> Column:
+        return F.struct(*version, field.name) if _orderable(field.dataType) else _version(version)
+
     return df.groupBy(*keys).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest]
+        *[F.max_by(F.col(f.name), F.when(F.col(f.name).isNotNull(), order(f))).alias(f.name) for f in rest]
     )
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def prediction_rows(scored: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Scored bars in the types of the prediction table.
 
@@ -124,6 +135,9 @@ class VersionedLog:
     """A parquet log of keyed rows, one directory per batch and day.
 
     ``keys`` identify a row of the table; the batch number is its version.
+    Rows of one key within a batch are ordered by ``ties``, then by all other
+    columns that have an order, so the one that counts does not depend on how
+    the batch is dealt out.
     Within a file rows are sorted by ``sort_by``, so that a scan for one symbol
     skips most row groups; the day directories serve time ranges. A log with
     ``deletes`` takes rows with a boolean column ``log_deleted``; a key whose
@@ -148,6 +162,10 @@ class VersionedLog:
         marks = [T.StructField(DELETED, T.BooleanType())] if deletes else []
         self.schema = T.StructType([*schema.fields, *marks])
 
+    def _order(self) -> list[str]:
+        known = {BATCH, *self.ties, *self.keys}
+        return [BATCH, *self.ties, *[f.name for f in self.schema if f.name not in known and _orderable(f.dataType)]]
+
     def append(self, rows: DataFrame, batch_id: int) -> None:
         """Write a batch from the executors, in place of an earlier try of it as a whole.
 
@@ -224,7 +242,7 @@ class VersionedLog:
         if by_column:
             table = merge_partial_rows(versions, self.keys, [BATCH]).withColumn(BATCH, F.lit(upto).cast("long"))
         else:
-            table = latest_per_key(versions, self.keys, [BATCH, *self.ties])
+            table = latest_per_key(versions, self.keys, self._order())
         if self.deletes:
             table = table.filter(~F.coalesce(DELETED, F.lit(False)))
         self._write(table, self._base(upto), BATCH)
@@ -254,7 +272,7 @@ class VersionedLog:
         both ends included. Only where the time is part of the key all versions
         of a row lie in one day, and other directories need not be read.
         """
-        versions, order = self.versions(spark), [BATCH, *self.ties]
+        versions = self.versions(spark)
 
         def inside(day: Column) -> Column:
             return day.between(*[F.lit(d).cast("date") for d in days])
@@ -265,9 +283,10 @@ class VersionedLog:
         if self.deletes and by_column:
             raise ValueError("a deleted row has no latest value per column")
         if by_column:
-            table = merge_partial_rows(versions, self.keys, order)
+            ties = {f"__tie_{t}": F.col(t) for t in self.ties}  # the columns themselves stay in the table
+            table = merge_partial_rows(versions.withColumns(ties) if ties else versions, self.keys, [BATCH, *ties])
         else:
-            table = latest_per_key(versions, self.keys, order).drop(BATCH)
+            table = latest_per_key(versions, self.keys, self._order()).drop(BATCH)
         if self.deletes:
             table = table.filter(~F.coalesce(DELETED, F.lit(False))).drop(DELETED)
         return table.filter(inside(F.to_date(self.ts))) if days and self.ts not in self.keys else table

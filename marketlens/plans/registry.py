@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from marketlens.plans import (  # noqa: F401
+    change_queries,
     context_queries,
     ingest_queries,
     model_queries,

@@ -98,3 +98,5 @@ BLEND_FIT = T.StructType(
 
 CONTEXT_LEXICON = "phrase string, role string, polarity double, subjectivity double, factor double, reach int"
 VALENCE_LEXICON = "word string, role string, valence double"
+MOMENTS = ("rows long, weight double, my double, ma double, ms double, caa double, css double, cas double, cay double, "
+           "csy double, lo double, hi double")
