@@ -16,10 +16,10 @@ from marketlens.operators import upsert
 from marketlens.operators.upsert import VersionedLog
 from marketlens.plans.catalog import query
 from marketlens.plans.tick_queries import FEATURE_TABLE_SQL, TIES, rounded
-from marketlens.plans.views import NEWS_START, SCORED, TICKS, lexicon, table, ticks
+from marketlens.plans.views import NEWS_START, SCORED, TICK_COMPANIES_SQL, TICKS, lexicon, table, tick_companies, ticks
 from marketlens.session import shared_path
 from marketlens.sources import landed, topics
-from marketlens.streaming import incremental, jobs, windows
+from marketlens.streaming import incremental, jobs, joined, windows
 from marketlens.streaming.runner import run_stream
 
 TICK = T.StructType([T.StructField("event_id", T.LongType()), *schemas.BAR.fields])
@@ -357,3 +357,54 @@ def stream_parquet_scores(spark, sf_dir):
     run_stream(source, handler, f"{out}/checkpoint", trigger=None).awaitTermination()
     merged = plain(log.current(spark, by_column=True), "timestamp")
     return merged.withColumns({c: F.col(c).cast("double") for c in ("prediction", "price", "volume")})
+
+
+_SERVED_TICK = "event_id long, symbol string, timestamp timestamp, price double"
+_SERVED_NEWS = "doc_id long, company string, published_at timestamp, overall_sentiment double"
+_MONTH = 30 * 24 * 60
+
+
+@query(
+    "stream_serving_join",
+    f"""WITH {SCORED}, {TICKS}, {TICK_COMPANIES_SQL},
+    articles AS (SELECT doc_id, company, overall_sentiment, TIMESTAMP '{NEWS_START}' + to_minutes((doc_id * 37) % {_MONTH}) AS told FROM scored),
+    mapped AS (SELECT event_id, coalesce(company, t.symbol) AS symbol, "timestamp", price FROM ticks t LEFT JOIN tick_companies c ON c.symbol = t.symbol),
+    newest AS (
+      SELECT event_id, overall_sentiment AS s FROM (
+        SELECT m.event_id, a.overall_sentiment, row_number() OVER (PARTITION BY m.event_id ORDER BY a.told DESC, a.doc_id DESC) AS n
+        FROM mapped m JOIN articles a ON a.company = m.symbol AND a.told <= m."timestamp" AND a.told > m."timestamp" - INTERVAL '2 days')
+      WHERE n = 1)
+    SELECT m.*, round(s + 1e-10, 6) AS sentiment FROM mapped m LEFT JOIN newest n ON n.event_id = m.event_id""",
+)
+def stream_serving_join(spark, sf_dir):
+    """Bars and scored articles as two streams in slices; each run goes on where the one before stopped.
+
+    Every eleventh article comes a slice late, but within the delay of the
+    staged stream; at the end a row far ahead on both sides closes what is open.
+    """
+    from marketlens.plans.news_queries import scored_articles
+
+    out = shared_path(spark, "serving")
+    bars = sliced_ticks(spark, sf_dir).join(F.broadcast(tick_companies(spark)), "symbol", "left").select(
+        "event_id", F.coalesce("company", "symbol").alias("symbol"), "timestamp", "price", F.col("slice").cast("int").alias("slice"))
+    minutes = F.pmod(F.col("doc_id") * 37, F.lit(_MONTH)).cast("int")
+    at = F.lit(NEWS_START).cast("timestamp") + F.make_dt_interval(mins=minutes)
+    slice_ = F.least(F.floor(minutes * RUNS / _MONTH), F.lit(RUNS - 1))
+    news = scored_articles(spark, sf_dir, ("company",)).select("doc_id", "company", at.alias("published_at"), "overall_sentiment", F.when(
+        F.col("doc_id") % 11 == 0, later(slice_)).otherwise(slice_).cast("int").alias("slice"))
+    far = "timestamp '2100-01-01 00:00:00'"
+    bars = bars.unionByName(spark.sql(f"SELECT -1L AS event_id, '' AS symbol, {far} AS timestamp, 0D AS price, {RUNS} AS slice"))
+    news = news.unionByName(spark.sql(f"SELECT -1L AS doc_id, '' AS company, {far} AS published_at, 0D AS overall_sentiment, {RUNS} AS slice"))
+    sides = []
+    for name, rows, ts in (("bars", bars, "timestamp"), ("news", news, "published_at")):
+        shape = rows.drop("slice").schema
+        late = VersionedLog(f"{out}/{name}-late", shape, [shape.fieldNames()[0]], ts)
+        split = joined.LateSplit(spark, f"{out}/{name}", late, ts, delay="15 days")
+        run_in_slices(rows, f"{out}/{name}-in", lambda source, s=split, n=name: run_stream(
+            source, s, f"{out}/{n}-in/checkpoint", trigger=None), runs=RUNS + 1)
+        sides.append(split)
+    log = VersionedLog(f"{out}/served", T.StructType.fromDDL(f"{_SERVED_TICK}, sentiment double"), ["event_id"])
+    for _ in range(2):  # the second run finds nothing new and changes nothing
+        served = joined.serve(sides[0].staged(_SERVED_TICK), sides[1].staged(_SERVED_NEWS), "2 days", "15 days", news_ties=["doc_id"])
+        run_stream(served, log.append, f"{out}/served-checkpoint", trigger=None, output_mode="append", keep=False).awaitTermination()
+    return rounded(plain(log.current(spark).filter("event_id >= 0"), "timestamp"), ("sentiment",))

@@ -20,6 +20,7 @@ def run_stream(
     trigger: str | None = TRIGGER,
     output_mode: str = "update",
     name: str | None = None,
+    keep: bool = True,
 ) -> StreamingQuery:
     """Start a query that calls ``handle(rows, batch_id)`` for each micro-batch.
 
@@ -27,15 +28,18 @@ def run_stream(
     stopped, and a batch that failed half-way is run again under its number,
     so handlers write under that number. Errors end the query; rows that do
     not parse belong in quarantine, not in an exception handler. Without a
-    ``trigger`` the query handles what is there and stops.
+    ``trigger`` the query handles what is there and stops. The rows of a batch
+    are kept while it is handled; without ``keep``, for handlers that read them
+    once, they are not.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.persist()
+        rows = rows.persist() if keep else rows
         try:
             handle(rows, batch_id)
         finally:
-            rows.unpersist()
+            if keep:
+                rows.unpersist()
             release_measured()
 
     writer = (
