@@ -1,14 +1,14 @@
-"""Near copies by banded MinHash, a prefix filter for what it misses, and exact Jaccard similarity of word 5-grams.
+"""Near copies by a MinHash LSH forest and exact Jaccard similarity of word 5-grams.
 
-A document is the set of its shingles. Documents of one set are one node. 32
-bands of MinHash values bring most similar nodes together; the number of values
-in a band follows from the threshold and a target recall by a formula. Nodes
-that meet, directly or over others, are compared exactly, all pairs, in blocks;
-pairs are counted where they are compared and never written out.
+A document is the set of its shingles. Documents of one set are one node. A node
+has a path of MinHash values in each of 32 trees; the paths of a tree, sorted,
+are its prefix trie. Nodes meet where their paths share a prefix. Prefixes
+begin at the whole path and are shortened, a value at a time, until the recall
+is met: the chance of a pair at the threshold to meet, and the share of links
+that a sample of documents, compared exactly with all others, would find.
 
-Nodes that no band brought together are found without loss by a prefix filter:
-in any one order of all shingles, two sets at the threshold share one of their
-first few. Pairs from it that were not compared yet are compared one by one.
+Nodes that meet, directly or over others, are compared exactly, all pairs, in
+blocks; pairs are counted where they are compared and never written out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,11 +29,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 32, 8
 TARGET_RECALL = 0.999
+#: Share of the links that the forest has to find, of any similarity from the threshold on.
+FOREST_RECALL = 0.99999
+#: Documents whose links the recall is measured on, and their shingles, at most; longer documents are not among them.
+SAMPLED, SAMPLED_SHINGLES = 256, 200_000
 #: Shingles and nodes that one task compares at once; more are compared block by block.
 BLOCK_SHINGLES, BLOCK_NODES = 400_000, 1500
 BROADCAST_ROWS = 500_000
-#: Documents that frequent shingles are looked for in, and how many of those are ordered last, at most.
-SAMPLED, FREQUENT = 20_000, 500_000
 
 _CHUNK = 1 << 20
 _rng = np.random.default_rng(20240607)
@@ -107,37 +109,139 @@ def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, targ
     return length
 
 
-def tree_keys(sorted_shingles: np.ndarray, length: int) -> np.ndarray:
-    """Per tree the node's prefix of ``length`` minima, as one number."""
+def _minima(sorted_shingles: np.ndarray, length: int = DEPTH) -> np.ndarray:
+    """The least values of the node under the first ``length`` functions of each tree."""
     x = (sorted_shingles >> np.uint64(32)).astype("u4")
-    least = np.full(TREES * DEPTH, 0xFFFFFFFF, "u4").reshape(TREES, DEPTH)[:, :length].ravel()
+    least = np.full(TREES * length, 0xFFFFFFFF, "u4")
     multiply, add = (v.reshape(TREES, DEPTH)[:, :length].ravel() for v in (_MULTIPLY, _ADD))
     for i in range(0, len(x), 128):
         block = x[i : i + 128, None] * multiply
         block += add
         np.minimum(least, block.min(axis=0), out=least)
-    minima = least.reshape(TREES, length).astype("u8")
+    return least.reshape(TREES, length).astype("u8")
+
+
+def tree_keys(sorted_shingles: np.ndarray, length: int) -> np.ndarray:
+    """Per tree the node's prefix of ``length`` minima, as one number."""
+    minima = _minima(sorted_shingles, length)
     return _mix((minima * _KEY[:, :length]).sum(axis=1, dtype="u8") + np.arange(TREES, dtype="u8")).view("i8")
 
 
-def signatures(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``node`` (null without words), ``size`` in shingles and the tree ``keys``."""
-    length = prefix_length(threshold)
+def paths_of(sorted_shingles: np.ndarray) -> np.ndarray:
+    """The node's path in each tree, a row of 16 bits a value; equal minima have equal bits."""
+    return (_mix(_minima(sorted_shingles) * _KEY) >> np.uint64(48)).astype("u2")
+
 
+class _Sample:
+    """Shingles and paths of some documents, to be compared with every document."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], "i8")
+        self.nodes = [node_of(s) for s in sets]
+        self.paths = [paths_of(s) for s in sets]
+        values = np.concatenate([np.empty(0, "u8"), *sets])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def depths(self, s: np.ndarray, node: bytes, paths: np.ndarray, threshold: float) -> list[int]:
+        """For each other node of the sample at the threshold, the longest prefix that a tree has in common."""
+        low, high = np.searchsorted(self.values, s, "left"), np.searchsorted(self.values, s, "right")
+        held = np.flatnonzero(high > low)
+        if not len(held):
+            return []
+        owners = np.concatenate([self.owner[a:b] for a, b in zip(low[held].tolist(), high[held].tolist())])
+        common = np.bincount(owners, minlength=len(self.sizes))
+        linked = np.flatnonzero((common > 0) & (common >= threshold * (len(s) + self.sizes - common) - 1e-6))
+        return [int(np.cumprod(paths == self.paths[i], axis=1).sum(axis=1).max()) for i in linked if self.nodes[i] != node]
+
+
+def _sample(docs: DataFrame) -> _Sample:
+    """About ``SAMPLED`` different texts, chosen by hash, as far as their shingles have room."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py())
-                nodes.append(node_of(s) if len(s) else None)
+                if 0 < len(s) <= SAMPLED_SHINGLES:
+                    yield pa.RecordBatch.from_arrays([pa.array([len(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["size", "set"])
+
+    parts = max(1, docs.count() // SAMPLED)
+    texts = docs.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(parts)) == 0).select("text").distinct()
+    sets = stored(texts.mapInArrow(run, "size long, set binary"), "sample").withColumn("h", F.xxhash64("set"))
+    taken = F.sum("size").over(Window.orderBy("h", "set").rowsBetween(Window.unboundedPreceding, 0))
+    first = sets.orderBy("h", "set").limit(2 * SAMPLED)
+    rows = first.withColumn("taken", taken).filter(F.col("taken") <= SAMPLED_SHINGLES).select("set").collect()
+    return _Sample([np.frombuffer(r["set"], "u8") for r in rows])
+
+
+def signatures(documents: DataFrame, threshold: float = THRESHOLD, sample: _Sample | None = None) -> DataFrame:
+    """``doc_id``, ``node`` (null without words), ``size`` in shingles, ``paths`` (of all trees, one behind the other) and
+    ``depths``, the longest prefix in common with each linked node of the sample."""
+    known = documents.sparkSession.sparkContext.broadcast(sample if sample is not None else _Sample([]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, paths, depths = [], [], [], []
+            for text in batch.column("text"):
+                s = shingles(text.as_py())
+                node, path = (node_of(s), paths_of(s)) if len(s) else (None, None)
+                nodes.append(node)
                 sizes.append(len(s))
-                keys.append(tree_keys(s, length) if len(s) else [])
+                paths.append(path.astype(">u2").tobytes() if len(s) else None)
+                depths.append(known.value.depths(s, node, path, threshold) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "size", "keys"])
+                [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary()),
+                 pa.array(depths, pa.list_(pa.int32()))], ["doc_id", "node", "size", "paths", "depths"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, node binary, size long, keys array<long>")
+        run, "doc_id long, node binary, size long, paths binary, depths array<int>")
+
+
+def shortened(depths: dict[int, int], threshold: float = THRESHOLD, target: float = FOREST_RECALL) -> int:
+    """The longest prefix that meets the target: for a pair at the threshold by chance, and for the sample's links,
+    of which ``depths`` tells how many have so many values in common."""
+    length, links = DEPTH, sum(depths.values())
+    while length > 1:
+        found = sum(n for depth, n in depths.items() if depth >= length)
+        if 1 - (1 - threshold**length) ** TREES >= target and found >= target * links:
+            break
+        length -= 1
+    return length
+
+
+def met(nodes: DataFrame, length: int) -> DataFrame:
+    """Edges ``a``, ``b`` between nodes (``node``, ``paths``) that share a prefix of ``length`` values in a tree.
+
+    The paths of a tree are sorted; nodes of one prefix follow one another, and
+    each is joined to the first of them.
+    """
+    step, width = 2 * DEPTH, 2 * length
+    leaves = nodes.select("node", "paths", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
+        "tree", F.expr(f"substring(paths, tree * {step} + 1, {step})").alias("path"), "node")
+    leaves = leaves.withColumn("prefix", F.expr(f"substring(path, 1, {width})"))
+    tries = leaves.repartitionByRange("tree", "prefix").sortWithinPartitions("tree", "path", "node").select("tree", "prefix", "node")
+
+    def fixed(column: pa.Array, size: int) -> np.ndarray:
+        at = np.frombuffer(column.buffers()[1], "i4")[column.offset]
+        return np.frombuffer(column.buffers()[2], "u1")[at : at + size * len(column)].reshape(-1, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.hstack([batch.column("tree").to_numpy().astype(">u4").view("u1").reshape(-1, 4), fixed(batch.column("prefix"), width)])
+            node = fixed(batch.column("node"), 16)
+            if last is not None:
+                key, node = np.vstack([last, key]), np.vstack([hub, node])
+            new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            a, b = node[first[~new]], node[~new]
+            last, hub = key[-1:], node[first[-1:]]
+            offsets = pa.py_buffer(np.arange(0, 16 * len(a) + 1, 16, dtype="i4"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.Array.from_buffers(pa.binary(), len(a), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))]) for x in (a, b)], ["a", "b"])
+
+    return tries.mapInArrow(run, "a binary, b binary").filter("a != b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,102 +333,6 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rest: tupl
         yield last, held
 
 
-def _least_common(size: int, threshold: float) -> int:
-    """Shingles that a set of this size shares with any set at the threshold, at least."""
-    return max(1, int(np.ceil(threshold * size - 1e-6)))
-
-
-def frequent_shingles(documents: DataFrame, n_documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a sample hold, sorted, and their counts.
-
-    They only decide an order, so neither the sample nor the bound loses a pair.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view("i8"))], ["shingle"])
-
-    parts = max(1, -(-n_documents // SAMPLED))
-    sample = documents.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)) == 0).select("text")
-    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
-    values = found["shingle"].to_numpy("i8").view("u8")
-    order = np.argsort(values)
-    return values[order], found["n"].to_numpy("i8")[order]
-
-
-def prefix(sorted_shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
-    """The first shingles, rare ones before frequent ones, of which every set at the threshold shares one."""
-    values, counts = frequent
-    n = len(sorted_shingles) - _least_common(len(sorted_shingles), threshold) + 1
-    if not len(values):
-        return sorted_shingles[:n]
-    at = np.minimum(np.searchsorted(values, sorted_shingles), len(values) - 1)
-    often = np.where(values[at] == sorted_shingles, counts[at], 0)
-    return sorted_shingles[np.argsort(often, kind="stable")[:n]]
-
-
-def missed(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
-    """Links ``a``, ``b`` between ``nodes`` (n, node, least_id, root) of different roots, all of them, as numbers n."""
-    side = nodes.select("n", "node", F.col("least_id").alias("__id"), "root")
-    side = F.broadcast(side) if is_small(side, BROADCAST_ROWS) else side
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                s = shingles(text.as_py())
-                if not len(s):
-                    continue
-                p = prefix(s, frequent, threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()], pa.int64()), pa.array([node_of(s)], pa.binary()), pa.array([len(s)], pa.int32()),
-                     pa.array([p.view("i8")], pa.list_(pa.int64()))], ["doc_id", "node", "size", "prefix"])
-
-    firsts = docs.mapInArrow(first, "doc_id long, node binary, size int, prefix array<long>").alias("f").join(
-        side.alias("s"), (F.col("f.node") == F.col("s.node")) & F.col("f.doc_id").eqNullSafe(F.col("s.__id")))
-    rows = stored(firsts.select("n", "root", "size", F.posexplode("prefix").alias("at", "shingle")), "prefixes")
-    met = stored(rows.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("shingle"), "met")
-    crossed = rows.join(F.broadcast(met) if is_small(met, BROADCAST_ROWS) else met, "shingle")
-    by_root = crossed.groupBy("shingle", "root").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    roots = by_root.alias("a").join(by_root.alias("b"), "shingle").filter(
-        (F.col("a.root") < F.col("b.root")) & (F.col("a.hi") + 1e-6 >= threshold * F.col("b.lo"))
-        & (F.col("b.hi") + 1e-6 >= threshold * F.col("a.lo"))).select("shingle", F.col("a.root").alias("ra"), F.col("b.root").alias("rb"))
-    own = crossed.select("shingle", F.col("root").alias("ra"), F.col("n").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
-    other = crossed.select("shingle", F.col("root").alias("rb"), F.col("n").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
-    # at the first shingle that two sets share, what stands behind it has to reach the common shingles they need
-    reach = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    pairs = stored(roots.join(own, ["shingle", "ra"]).join(other, ["shingle", "rb"]).filter(
-        reach * (1 + threshold) + 1e-5 >= threshold * (F.col("size_a") + F.col("size_b"))).select("a", "b").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
-    wanted = stored(nodes.join(asked, "n").select("n", "node", F.col("least_id").alias("__id")), "asked")
-    side = F.broadcast(wanted) if is_small(wanted, BROADCAST_ROWS) else wanted
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, node, text in zip(batch.column("n"), batch.column("node"), batch.column("text")):
-                s = shingles(text.as_py())
-                if node_of(s) == node.as_py():
-                    yield pa.RecordBatch.from_arrays([pa.array([n.as_py()], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["n", "set"])
-
-    held = stored(docs.join(side, docs["doc_id"].eqNullSafe(side["__id"])).select("n", "node", "text").mapInArrow(
-        sets, "n long, set binary").dropDuplicates(["n"]), "sets")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b, x, y in zip(*[batch.column(c) for c in ("a", "b", "x", "y")]):
-                x, y = (np.frombuffer(v.as_buffer(), "u8") for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common >= threshold * (len(x) + len(y) - common) - 1e-6:
-                    out.append((a.as_py(), b.as_py()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-
-    both = pairs.join(held.select(F.col("n").alias("a"), F.col("set").alias("x")), "a").join(
-        held.select(F.col("n").alias("b"), F.col("set").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "missed")
-
-
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id``, ``class_id``, ``n_links``, ``n_copies``, ``node``,
     ``class_root``.
@@ -338,15 +346,14 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(signatures(docs, threshold), "signatures")
+    signed = stored(signatures(docs, threshold, _sample(docs)), "signatures")
     worded = signed.filter("node is not null")
     nodes = stored(worded.groupBy("node").agg(
         F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
-        F.first("keys").alias("keys")).withColumn("n", F.monotonically_increasing_id()), "nodes")
-    leaves = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    met = leaves.groupBy("tree", "key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").drop("z")
-    edges = leaves.join(met, ["tree", "key"]).filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    placed = components(edges).join(nodes.drop("keys", "n"), "node")
+        F.first("paths").alias("paths")), "nodes")
+    depths = worded.select(F.explode("depths").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    length = shortened({r["d"]: r["n"] for r in depths.collect()}, threshold)  # as many rows as a path has values
+    placed = components(met(nodes, length)).join(nodes.drop("paths"), "node")
     totals = placed.groupBy("root").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).select(
         "root", F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_NODES)).cast("int").alias("blocks"))
     fetch = stored(placed.join(totals, "root").select(F.col("least_id").alias("__id"), "node", "root", "copies", "blocks"), "fetch")
@@ -385,18 +392,6 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         roots = components(compared.select(F.col("node").alias("a"), F.col("anchor").alias("b")))
         sums = compared.groupBy("node").agg(F.sum("links").alias("links"))
         linked = sums.join(roots, "node", "left").select("node", "links", F.coalesce("root", "node").alias("anchor"))
-    numbers = nodes.select(F.col("node").alias("root"), F.col("n").alias("root_n"))
-    rooted = nodes.select("n", "node", "least_id").join(fetch.select("node", "root"), "node", "left").join(numbers, "root", "left").select(
-        "n", "node", "least_id", F.coalesce("root_n", "n").alias("root"))
-    late = missed(docs, rooted, frequent_shingles(docs, signed.count()), threshold)
-    if not late.isEmpty():
-        each = late.union(late.select("b", "a")).join(nodes.select(F.col("n").alias("a"), "node"), "a").join(
-            nodes.select(F.col("n").alias("b"), F.col("node").alias("other"), "copies"), "b")
-        more = stored(each.select("node", "other", "copies"), "late")
-        linked = stored(linked, "linked")
-        joined = components(linked.select(F.col("node").alias("a"), F.col("anchor").alias("b")).union(more.select("node", "other")))
-        sums = linked.select("node", "links").union(more.select("node", "copies")).groupBy("node").agg(F.sum("links").alias("links"))
-        linked = sums.join(joined, "node", "left").select("node", "links", F.coalesce("root", "node").alias("anchor"))
     known = nodes.select("node", "least_id", "copies").join(linked, "node", "left").withColumn(
         "anchor", F.coalesce("anchor", "node"))
     ids = known.groupBy("anchor").agg(F.min("least_id").alias("class_id"))

@@ -206,3 +206,53 @@ def test_repeated_ids_are_one_training_text(spark):
     assert once.families == often.families == {"germanic": ("de", "en")}
     for key, w in once.machines.items():
         np.testing.assert_allclose(w, often.machines[key], atol=1e-4)
+
+
+def test_prefixes_shrink_to_the_measured_recall():
+    from marketlens.llm import near
+
+    assert near.shortened({}) == 5  # what a pair at the threshold needs
+    assert near.shortened({8: 90_000, 6: 5, 3: 2}) == 3 and near.shortened({8: 300_000, 3: 2}) == 5
+    assert near.shortened({8: 10, 0: 1}) == 1 and near.shortened({8: 4}, threshold=0.95) == 8
+
+
+def test_forest_meets_where_prefixes_are_shared(spark, documents):
+    """Edges connect exactly the nodes that share a prefix in some tree, over any length."""
+    from marketlens.llm import near
+
+    signed = near.signatures(documents).filter("node is not null").select("node", "paths").distinct().cache()
+    known = {bytes(r.node): np.frombuffer(r.paths, ">u2").reshape(near.TREES, near.DEPTH) for r in signed.collect()}
+    for length in (1, 5, 8):
+        groups = {}
+        for node, paths in known.items():
+            for tree in range(near.TREES):
+                groups.setdefault((tree, paths[tree, :length].tobytes()), set()).add(node)
+        joined = {n: n for n in known}
+
+        def root(n):
+            while joined[n] != n:
+                n = joined[n]
+            return n
+
+        for held in groups.values():
+            first, *others = held
+            for n in others:
+                joined[root(n)] = root(first)
+        got = {n: n for n in known}
+        want, joined = {n: root(n) for n in known}, got
+        for r in near.met(signed, length).collect():
+            joined[root(bytes(r.a))] = root(bytes(r.b))
+        pairs = {(want[n], root(n)) for n in known}
+        assert len(pairs) == len(set(want.values())) == len({root(n) for n in known})
+    signed.unpersist()
+
+
+def test_sample_measures_depths():
+    from marketlens.llm import near
+
+    words = [f"w{i}" for i in range(60)]
+    sets = [near.shingles(" ".join(words)), near.shingles(" ".join(words[:-2])), near.shingles("something else altogether said here now")]
+    sample = near._Sample(sets)
+    for s, want in zip(sets, (1, 1, 0)):
+        found = sample.depths(s, near.node_of(s), near.paths_of(s), 0.8)
+        assert len(found) == want and all(0 < d <= near.DEPTH for d in found)
