@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -37,11 +38,19 @@ def hold(df: DataFrame) -> DataFrame:
 
 
 def _width(df: DataFrame) -> Column:
-    """An upper estimate of a row's size in bytes."""
-    parts = [
-        F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(0)
-        for f in df.schema.fields
-    ]
+    """An upper estimate of a row's size in bytes; nested values count as four times their JSON text."""
+    def bytes_of(field: T.StructField) -> Column:
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(field.name)
+        if isinstance(kind, T.VariantType):
+            return F.octet_length(F.col(field.name).cast("string"))
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            # an element of eight bytes has two letters at least, a digit and a comma
+            return F.octet_length(F.to_json(F.struct(field.name))) * 4
+        return F.lit(0)
+
+    parts = [F.coalesce(bytes_of(f), F.lit(0)) for f in df.schema.fields]
     return reduce(Column.__add__, parts, F.lit(16 * len(df.columns) + 32)).cast("long")
 
 

@@ -35,6 +35,7 @@ SEGMENT = "__segment"
 OWN = "__own"
 COPY = "__copy"
 COPIES = "__copies"
+MARK = "__mark"
 # bounds of positions; nulls take the lower one (they sort first), NaN the upper one
 _LOWEST, _HIGHEST = -1e300, 1e300
 #: Bytes of a text that one position holds.
@@ -70,6 +71,12 @@ def _text_piece(value: Column, skip: Column) -> Column:
     return padded * 8 + F.octet_length(part)
 
 
+def _long_piece(value: Column, skip: Column) -> Column:
+    """A long as a double, or, where that cannot tell longs apart, its upper (``skip`` 1) or lower (2) 32 bits."""
+    whole, upper, lower = value.cast("double"), F.shiftright(value, 32), value.bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(skip == 0, whole).when(skip == 1, upper.cast("double")).otherwise(lower.cast("double"))
+
+
 def _positions(df: DataFrame, order: Sequence[str]) -> dict[str, _Position]:
     """The leading order columns as doubles that keep their order, as far as they have such a form.
 
@@ -88,6 +95,9 @@ def _positions(df: DataFrame, order: Sequence[str]) -> dict[str, _Position]:
             number = since.cast("interval second").cast("decimal(20,6)")
         elif isinstance(kind, T.DateType):
             number = F.unix_date(name)
+        elif isinstance(kind, T.LongType):
+            found[name] = _bounded(lambda skip, name=name: _long_piece(F.col(name), skip))
+            continue
         elif isinstance(kind, (T.NumericType, T.BooleanType)):
             number = F.col(name)
         elif not _is_text(kind):
@@ -130,6 +140,11 @@ def _extent(df: DataFrame, groups: Sequence[str], positions: dict[str, _Position
         else:
             bounds += [F.min(position(F.lit(0))).alias(f"low{i}"), F.max(position(F.lit(0))).alias(f"high{i}")]
             skip, lowest, highest = F.lit(0), F.col(f"low{i}"), F.col(f"high{i}")
+            if isinstance(df.schema[name].dataType, T.LongType):
+                blurred = (low != high) & (lowest == highest)
+                skip = F.when(~blurred | blurred.isNull(), F.lit(0)).when(F.shiftright(low, 32) != F.shiftright(high, 32), F.lit(1)).otherwise(F.lit(2))
+                lowest = F.when(skip == 0, lowest).otherwise(_long_piece(low, skip))
+                highest = F.when(skip == 0, highest).otherwise(_long_piece(high, skip))
         shown += [lowest.alias(f"lo{i}"), highest.alias(f"hi{i}"), skip.alias(f"skip{i}"),
                   low.eqNullSafe(high).alias(f"same{i}")]
     return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), *bounds).select(*groups, "rows", *shown)
@@ -138,7 +153,7 @@ def _extent(df: DataFrame, groups: Sequence[str], positions: dict[str, _Position
 def _axis(row, parts: int, columns: int) -> tuple[int, float] | None:
     """The first order column that varies and the width of one of ``parts`` equal ranges of it.
 
-    A later column orders rows only where the earlier ones are equal. Values
+    A later column orders rows only where the earlier ones are equal. Decimals
     that differ, but not as doubles, are therefore not cut at all.
     """
     for i in range(columns):
@@ -202,7 +217,11 @@ def collapse_copies(df: DataFrame, kept: int = 1, rest_on_first: bool = False) -
 
     The last of them, or the first, stands for the copies beyond ``kept``.
     """
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    bits = _needs_mark(df)
+    marked = df.withColumn(MARK, _mark(bits)) if bits else df
+    alike = [c for c in marked.columns if c not in [f.name for f in bits]]
+    values = [F.first(f.name).alias(f.name) for f in bits]
+    counted = marked.groupBy(*alike).agg(F.count(F.lit(1)).alias("__n"), *values).select(*marked.columns, "__n")
     shown = F.least(F.col("__n"), F.lit(kept).cast("long"))
     numbered = counted.withColumn("__shown", shown).withColumn(COPY, F.explode(F.sequence(F.lit(1).cast("long"), shown)))
     taker = F.lit(1) if rest_on_first else F.col("__shown")
@@ -210,14 +229,43 @@ def collapse_copies(df: DataFrame, kept: int = 1, rest_on_first: bool = False) -
     return numbered.withColumn(COPIES, copies.cast("long")).drop("__n", "__shown")
 
 
+def _holds(kind: T.DataType, *kinds: type) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds(kind.elementType, *kinds)
+    if isinstance(kind, T.MapType):
+        return T.MapType in kinds or _holds(kind.keyType, *kinds) or _holds(kind.valueType, *kinds)
+    if isinstance(kind, T.StructType):
+        return any(_holds(f.dataType, *kinds) for f in kind)
+    return isinstance(kind, kinds)
+
+
+def _needs_mark(df: DataFrame) -> list[T.StructField]:
+    """Columns that grouping would change (0.0 and -0.0 are one group) or refuse (maps)."""
+    return [f for f in df.schema if _holds(f.dataType, T.FloatType, T.DoubleType, T.MapType)]
+
+
+def _mark(fields: Sequence[T.StructField]) -> Column:
+    """A text that is equal where the values are, to the bit; keys of a map count in their order."""
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    options = {"ignoreNullFields": "false", "timestampFormat": f"{micros}XXX", "timestampNTZFormat": micros}
+
+    def text(field: T.StructField) -> Column:
+        if isinstance(field.dataType, T.FractionalType):
+            return F.col(field.name).cast("string")
+        return F.to_json(F.struct(field.name), options)
+
+    return F.concat_ws("\x1f", *[F.coalesce(text(f), F.lit("\x1e")) for f in fields])
+
+
 def copy_order(df: DataFrame, order: Sequence[str]) -> list[str]:
     """An order that keeps copies next to each other."""
-    return [*order, *[c for c in df.columns if c not in order], COPY]
+    rest = [f.name for f in df.schema if f.name not in order and not _holds(f.dataType, T.MapType)]
+    return [*order, *rest, *[MARK] * bool(_needs_mark(df)), COPY]
 
 
 def expand_copies(df: DataFrame) -> DataFrame:
     repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col(COPIES)))
-    return df.withColumn("__repeat", repeat).drop("__repeat", COPY, COPIES)
+    return df.withColumn("__repeat", repeat).drop("__repeat", COPY, COPIES, MARK)
 
 
 def _cut(frame: DataFrame, keys, positions, cuts, schema) -> DataFrame:
@@ -256,10 +304,19 @@ def _ends(seg: Segmented, count: int) -> DataFrame:
         .withColumn("__rank", F.row_number().over(latest_first))
         .filter(F.col("__rank") <= count)
         .groupBy(*seg.keys, SEGMENT)
-        .agg(F.array_sort(F.collect_list(row)).alias("__end"))
+        .agg(_sorted_rows(row, seg).alias("__end"))
     )
 
 
+def _sorted_rows(row: Column, seg: Segmented) -> Column:
+    """The rows of a group as an array in the order of the segments; rows with maps have none of their own."""
+    if not any(_holds(f.dataType, T.MapType) for f in seg.frame.schema):
+        return F.array_sort(F.collect_list(row))
+    keyed = F.collect_list(F.struct(F.struct(*seg.order).alias("by"), row.alias("row")))
+    in_order = F.array_sort(keyed, lambda a, b: F.when(a["by"] < b["by"], -1).when(a["by"] > b["by"], 1).otherwise(0))
+    return F.transform(in_order, lambda x: x["row"])
+
+
 def with_preceding_rows(seg: Segmented, count: int) -> DataFrame:
     """Add to each segment the ``count`` rows before its first row, marked not ``OWN``."""
     own = seg.frame.withColumn(OWN, F.lit(True))
@@ -267,7 +324,7 @@ def with_preceding_rows(seg: Segmented, count: int) -> DataFrame:
         return own
     # one row per segment, so this window is bounded by MAX_SEGMENTS; every
     # segment holds a row, so `count` segments back hold enough rows
-    before = Window.partitionBy(*seg.keys).orderBy(F.col("__end")[0]).rowsBetween(-count, -1)
+    before = Window.partitionBy(*seg.keys).orderBy(F.struct(*[F.col("__end")[0][c].alias(c) for c in seg.order])).rowsBetween(-count, -1)
     earlier = F.flatten(F.collect_list("__end").over(before))
     ends = _ends(seg, count).select(*seg.keys, SEGMENT, earlier.alias("__earlier"))
     start = F.greatest(F.size("__earlier") - count + 1, F.lit(1))

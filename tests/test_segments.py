@@ -215,3 +215,47 @@ def test_documents_in_the_default_order_cut_a_hot_symbol(spark):
     paged = landed.market_documents(served, records=25, rows_per_segment=40).orderBy("page").collect()
     assert [[r["price"] for r in p["d"]["data"]] for p in paged] == [
         [float(i) for i in range(p * 25, p * 25 + 25)] for p in range(12)]
+
+
+def test_longs_beyond_doubles_are_cut(spark):
+    made = [(2**60 + i * step, i) for step in (1, 3) for i in range(50)] + [(None, -1), (2**32 * 7 - 2, -2), (2**32 * 7 + 2, -3), (-(2**62) - 1, -4), (-(2**62), -5)]
+    df = spark.createDataFrame([("A", *m) for m in made], "k string, at long, id int")
+    seg = segments.split_large_keys(df, ["k"], ["at", "id"], 10)
+    assert seg.split and not seg.crowded
+    assert seg.frame.groupBy(segments.SEGMENT).count().agg(F.max("count")).first()[0] <= 10
+    got = segments.number_rows(df, ["k"], ["at", "id"], rows_per_segment=5)
+    w = Window.partitionBy("k").orderBy("at", "id")
+    want = df.select("*", F.row_number().over(w).cast("long").alias("rank"), F.count("*").over(Window.partitionBy("k")).alias("size"))
+    assert sorted(map(repr, map(tuple, got.select("at", "id", "rank").collect()))) == sorted(
+        map(repr, map(tuple, want.select("at", "id", "rank").collect())))
+
+
+def test_copies_keep_their_bits_and_maps(spark):
+    """Above the limit a crowd of copies is the same, to the bit, as below it, and columns of maps do no harm."""
+    odd = [-0.0, 0.0, float("nan"), None, 1.5]
+    made = [("A", START, odd[i % 5], {"x": odd[i % 3], "y": None}, [odd[i % 2]]) for i in range(60)]
+    df = spark.createDataFrame(made, "symbol string, timestamp timestamp, price double, data map<string,double>, more array<double>")
+    def text(frame):
+        return sorted(repr(tuple(r)) for r in frame.collect())
+
+    shown = ["price", "data", "more"]
+    assert text(segments.expand_copies(segments.collapse_copies(df, kept=2)).select(*shown)) == text(df.select(*shown))
+    for limit in (10, 1000):
+        ranked = segments.number_rows(df, ["symbol"], ["timestamp"], rows_per_segment=limit)
+        assert text(ranked.select(*shown)) == text(df.select(*shown))
+        assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 61))
+        carried = segments.carry_forward(df, ["symbol"], ["timestamp"], F.lit(1), F.lit(True), "v", limit)
+        assert text(carried.select(*shown)) == text(df.select(*shown))
+        wide = add_features(df.withColumn("volume", F.lit(1.0)), ["price_lag1"], rows_per_segment=limit)
+        assert text(wide.select(*shown)) == text(df.select(*shown))
+
+
+def test_nested_and_binary_columns_count_in_size(spark):
+    from marketlens.operators import lookup
+
+    wide = spark.range(2000).select("id", F.sequence(F.lit(1), F.lit(500)).alias("a"))
+    assert not lookup.is_small(wide, max_bytes=2_000_000) and lookup.is_small(wide.select("id"), max_bytes=2_000_000)
+    blobs = spark.range(2000).select("id", F.repeat(F.lit("x"), 2000).cast("binary").alias("a"))
+    assert not lookup.is_small(blobs, max_bytes=2_000_000)
+    maps = spark.range(2000).select("id", F.create_map(F.lit("k"), F.repeat(F.lit("x"), 2000)).alias("a"), F.struct(F.col("id")).alias("s"))
+    assert not lookup.is_small(maps, max_bytes=2_000_000)
