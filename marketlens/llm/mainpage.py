@@ -80,7 +80,7 @@ def leaf_blocks(html: str | None, labelled: bool = False) -> list[Block]:
 
     def say(data: str) -> None:
         nonlocal links, chars
-        parts.append(data)
+        parts.append(unescape(data) if "&" in data else data)  # no reference goes on behind a tag
         n = len(data.strip())
         chars += n
         links += n * bool(in_link)
@@ -89,8 +89,7 @@ def leaf_blocks(html: str | None, labelled: bool = False) -> list[Block]:
         nonlocal links, chars
         if not parts:
             return
-        text = "".join(parts)
-        text = " ".join((unescape(text) if "&" in text else text).split())
+        text = " ".join("".join(parts).split())
         if text:
             main = labelled and text[0] == LABEL
             outer = [t for t, _ in stack if t not in _INLINE]

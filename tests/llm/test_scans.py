@@ -256,3 +256,10 @@ def test_sample_measures_depths():
     for s, want in zip(sets, (1, 1, 0)):
         found = sample.depths(s, near.node_of(s), near.paths_of(s), 0.8)
         assert len(found) == want and all(0 < d <= near.DEPTH for d in found)
+
+
+def test_references_end_with_their_run_of_text():
+    from marketlens.llm import mainpage
+
+    page = "<p>&<b>amp;</b> x&l<i>t;</i>y a&am<!-- -->p;b &amp;lt; &eacute;<b>&#233;</b> &nbsp; z</p>"
+    assert [b.text for b in mainpage.leaf_blocks(page)] == ["&amp; x&lt;y a&amp;b &lt; éé z"]
