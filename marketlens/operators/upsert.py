@@ -64,8 +64,8 @@ def _orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def prediction_rows(scored: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Scored bars in the types of the prediction table.
+def prediction_rows(scored: DataFrame, ts: str = "timestamp", extra: Sequence[str] = ()) -> DataFrame:
+    """Scored bars in the types of the prediction table, and ``extra`` columns.
 
     Volume is cut to a whole number, null when it exceeds the column's range.
     """
@@ -75,6 +75,7 @@ def prediction_rows(scored: DataFrame, ts: str = "timestamp") -> DataFrame:
         F.col("prediction").cast("float").alias("prediction"),
         F.col("price").cast("float").alias("price"),
         F.col("volume").try_cast("int").alias("volume"),
+        *extra,
     )
 
 

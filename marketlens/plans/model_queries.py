@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketlens.operators import features, forecast, upsert
+from marketlens.operators import evaluate, features, forecast, upsert
 from marketlens.operators.lookup import hold
 from marketlens.plans.catalog import query
-from marketlens.plans.tick_queries import COMPLETE, FEATURES_SQL, TIES
+from marketlens.plans.tick_queries import COMPLETE, FEATURES_SQL, TIES, rounded
 from marketlens.plans.views import TICKS, ticks
 from marketlens.session import shared_path
 from marketlens.streaming import jobs
@@ -109,3 +109,50 @@ def forest_errors(spark, sf_dir):
         ((F.col(low) <= F.col(mean) + _SLACK) & (F.col(mean) <= F.col(high) + _SLACK)).alias("ordered"),
         (F.col(low) >= 0).alias("positive"),
     )
+
+
+_HORIZONS, _FOLDS = (1, 5), 3
+_FOLDS_SQL = f"""WITH {TICKS}, {FEATURES_SQL}, complete AS (SELECT * FROM features WHERE {COMPLETE}),
+examples AS (
+  SELECT event_id, symbol, "timestamp", price, horizon, lead(price, horizon) OVER later AS target,
+         lead("timestamp", horizon) OVER later AS target_time
+  FROM complete, (VALUES {", ".join(f"({h})" for h in _HORIZONS)}) AS hs(horizon)
+  WINDOW later AS (PARTITION BY symbol, horizon ORDER BY "timestamp", event_id)),
+reached AS (SELECT * FROM examples WHERE target_time IS NOT NULL),
+ends AS (SELECT min(epoch_us("timestamp")) AS lo, max(epoch_us("timestamp")) AS hi FROM reached),
+origins AS (
+  SELECT CAST(k - 1 AS INTEGER) AS fold, lo + (hi - lo) * k // {_FOLDS + 1} AS origin,
+         CASE WHEN k < {_FOLDS} THEN lo + (hi - lo) * (k + 1) // {_FOLDS + 1} END AS until
+  FROM ends, range(1, {_FOLDS + 1}) AS ks(k)),
+sides AS (
+  SELECT *, epoch_us(target_time) < origin AS is_train,
+         epoch_us("timestamp") >= origin AND (until IS NULL OR epoch_us("timestamp") < until) AS is_test
+  FROM reached, origins)"""
+
+
+@query(
+    "rolling_folds",
+    f"""{_FOLDS_SQL} SELECT event_id, symbol, "timestamp", horizon, target, target_time, fold, is_train
+    FROM sides WHERE is_train OR is_test""",
+)
+def rolling_folds(spark, sf_dir):
+    """The training and test rows of every fold and horizon; rows that reach across an origin are in neither."""
+    complete = features.feature_table(ticks(spark, sf_dir), ties=TIES)
+    examples = hold(evaluate.horizon_examples(complete, _HORIZONS, ties=TIES))
+    folds = evaluate.fold_rows(examples, evaluate.fold_origins(examples, _FOLDS))
+    return folds.select("event_id", "symbol", "timestamp", "horizon", "target", "target_time", "fold", "is_train")
+
+
+@query(
+    "rolling_errors",
+    f"""{_FOLDS_SQL} SELECT fold, horizon, count(*) AS examples, count(*) AS scored,
+      round(avg(CASE WHEN target <> 0 THEN abs(price - target) / target * 100 END) + 1e-10, 6) AS naive_error_percentage,
+      round(sqrt(avg((price - target) * (price - target))) + 1e-10, 6) AS naive_rmse
+    FROM sides WHERE is_test GROUP BY fold, horizon""",
+)
+def rolling_errors(spark, sf_dir):
+    """Every test row is scored; the errors of the forecast that repeats the known price, which SQL can tell."""
+    complete = features.feature_table(ticks(spark, sf_dir), ties=TIES)
+    forecasts = evaluate.rolling_forecasts(complete, _HORIZONS, _FOLDS, ties=TIES, trees=10, depth=5)
+    naive = ("naive_error_percentage", "naive_rmse")
+    return rounded(evaluate.forecast_errors(forecasts).select("fold", "horizon", "examples", "scored", *naive), naive)

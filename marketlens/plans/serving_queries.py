@@ -269,6 +269,21 @@ def blend_nonlinear(spark, sf_dir):
     return rounded(records, _SERVED_ROUNDED).drop("timestamp")
 
 
+@query(
+    "blend_stored_coefficients",
+    f"""WITH {_SERVED_SQL}, stored AS (SELECT round(avg(l_discount) + 1e-10, 6) AS x, round(avg(l_tax) + 1e-10, 6) AS y FROM lineitem)
+    SELECT {_SERVED_COLUMNS}, round(x * "rawPrediction" + y * sentiment + 0.2::DOUBLE * ("rawPrediction" * sentiment) + 1e-10, 6)
+      AS "finalPrediction" FROM served, stored""",
+)
+def blend_stored_coefficients(spark, sf_dir):
+    """Coefficients from a JSON file that lacks the third, for which the default stands in."""
+    path = shared_path(spark, "coefficients")
+    shares = table(spark, sf_dir, "lineitem").agg(F.avg("l_discount").alias("x"), F.avg("l_tax").alias("y"))
+    rounded(shares, ("x", "y")).coalesce(1).write.json(path)
+    records = serving.blend_with_coefficients(served(spark, sf_dir), landed.read_coefficients(spark, path))
+    return rounded(records, (*_SERVED_ROUNDED, "finalPrediction")).drop("timestamp")
+
+
 @query(
     "minmax_sentiment",
     f"""WITH {_COMPANY_SCORES} SELECT doc_id, company,

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens import schemas
-from marketlens.operators import upsert
+from marketlens.operators import features, forecast, upsert
 from marketlens.operators.upsert import VersionedLog
 from marketlens.plans.catalog import query
-from marketlens.plans.tick_queries import FEATURE_TABLE_SQL, TIES, rounded
+from marketlens.plans.tick_queries import COMPLETE, FEATURE_TABLE_SQL, FEATURES_SQL, TIES, rounded
 from marketlens.plans.views import NEWS_START, SCORED, TICK_COMPANIES_SQL, TICKS, lexicon, table, tick_companies, ticks
 from marketlens.session import shared_path
 from marketlens.sources import landed, topics
-from marketlens.streaming import incremental, jobs, joined, windows
+from marketlens.streaming import incremental, jobs, joined, versions, windows
 from marketlens.streaming.runner import run_stream
 
 TICK = T.StructType([T.StructField("event_id", T.LongType()), *schemas.BAR.fields])
@@ -46,7 +46,11 @@ def stream_ticks(spark, sf_dir):
 
 def sliced_ticks(spark, sf_dir, slices=RUNS):
     """Ticks with the ``slice`` of the time that they belong to; those without a time come first."""
-    rows = ticks(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return placed(ticks(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp")), slices)
+
+
+def placed(rows, slices=RUNS):
+    """Rows with the ``slice`` of the time that they belong to; those without a time come first."""
     bounds = rows.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
     lo, hi = (F.unix_micros(bounds.select(c).scalar()) for c in ("lo", "hi"))
     position = (F.unix_micros("timestamp") - lo) / (hi - lo)
@@ -283,21 +287,6 @@ def stream_bars(spark, sf_dir):
     return plain(spark.read.schema(schemas.BAR).parquet(out), "timestamp")
 
 
-_STORED_NEWS = T.StructType(
-    [
-        T.StructField("company", T.StringType()),
-        T.StructField("timestamp", T.TimestampType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("description_sentiment", T.FloatType()),
-        T.StructField("overall_sentiment", T.FloatType()),
-        T.StructField("sentiment_label", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("title_sentiment", T.FloatType()),
-        T.StructField("url", T.StringType()),
-    ]
-)
-
-
 @query(
     "stream_news",
     f"""WITH {SCORED} SELECT company, published_at AS "timestamp", description, title, sentiment_label,
@@ -314,7 +303,7 @@ def stream_news(spark, sf_dir):
         F.col("doc_id").cast("string").alias("url"), at.alias("published_at"), at.alias("fetch_timestamp"),
         F.col("source").alias("company"), F.coalesce(F.pmod("doc_id", F.lit(RUNS)), F.lit(0)).alias("slice"),
     )
-    log = VersionedLog(f"{out}/log", _STORED_NEWS, ["company", "url"])
+    log = VersionedLog(f"{out}/log", schemas.STORED_NEWS, ["company", "url"])
     handler = jobs.news_handler(lexicon(spark), log, extra=("url",))
 
     def start(source):
@@ -329,17 +318,6 @@ def stream_news(spark, sf_dir):
     return plain(stored, "timestamp")
 
 
-_PREDICTIONS = T.StructType(
-    [
-        T.StructField("symbol", T.StringType()),
-        T.StructField("timestamp", T.TimestampType()),
-        T.StructField("prediction", T.FloatType()),
-        T.StructField("price", T.FloatType()),
-        T.StructField("volume", T.IntegerType()),
-    ]
-)
-
-
 @query(
     "stream_parquet_scores",
     f"""WITH {TICKS} SELECT symbol, "timestamp", CAST(CAST(price * 1.01::DOUBLE AS FLOAT) AS DOUBLE) AS prediction,
@@ -349,7 +327,7 @@ def stream_parquet_scores(spark, sf_dir):
     """Prediction files without volumes streamed into a log that has them from an earlier writer."""
     out = shared_path(spark, "scores")
     rows = ticks(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    log = VersionedLog(f"{out}/log", _PREDICTIONS, ["symbol", "timestamp"])
+    log = VersionedLog(f"{out}/log", schemas.PREDICTION, ["symbol", "timestamp"])
     log.append(upsert.prediction_rows(rows.withColumn("prediction", F.col("price"))), 0)
     rows.select("timestamp", "symbol", "price", (F.col("price") * 1.01).alias("prediction")).write.parquet(f"{out}/files")
     source = landed.stream_scored_files(spark, f"{out}/files")
@@ -408,3 +386,55 @@ def stream_serving_join(spark, sf_dir):
         served = joined.serve(sides[0].staged(_SERVED_TICK), sides[1].staged(_SERVED_NEWS), "2 days", "15 days", news_ties=["doc_id"])
         run_stream(served, log.append, f"{out}/served-checkpoint", trigger=None, output_mode="append", keep=False).awaitTermination()
     return rounded(plain(log.current(spark).filter("event_id >= 0"), "timestamp"), ("sentiment",))
+
+
+_VERSIONED = T.StructType([
+    *schemas.PREDICTION.fields, T.StructField("event_id", T.LongType()), T.StructField(versions.VERSION, T.LongType())])
+
+
+@query(
+    "stream_model_versions",
+    f"""WITH {TICKS}, {FEATURES_SQL}, complete AS (SELECT * FROM features WHERE {COMPLETE}),
+    bounds AS (SELECT epoch_us(min("timestamp")) AS lo, epoch_us(max("timestamp")) AS hi FROM complete),
+    placed AS (
+      SELECT complete.*, least(floor((epoch_us("timestamp") - lo) / (hi - lo) * {RUNS}), {RUNS - 1}) AS slice
+      FROM complete, bounds)
+    SELECT event_id, symbol, "timestamp", CASE WHEN slice > 0 THEN CAST(slice AS BIGINT) END AS model_version,
+      slice > 0 AS predicted, CASE WHEN slice > 0 THEN true END AS in_range FROM placed""",
+)
+def stream_model_versions(spark, sf_dir):
+    """Rows are scored by the model trained on the slices before theirs; none is there for the first slice.
+
+    A forest's prediction is a mean of training prices, so those of a version
+    lie within the prices of the slices it was trained on.
+    """
+    out = shared_path(spark, "versions")
+    shelf = versions.ModelShelf(spark, f"{out}/models")
+    log = VersionedLog(f"{out}/log", _VERSIONED, ["event_id"])
+    scoring = versions.VersionedScoring(shelf, log, f"{out}/uses", extra=("event_id",))
+    complete = features.feature_table(ticks(spark, sf_dir), ties=TIES).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    sliced = placed(complete).persist()
+    runs = iter(range(RUNS))
+
+    def start(source):
+        run = next(runs)
+        if run:
+            known = forecast.spread_evenly(sliced.filter(F.col("slice") < run), ["event_id"]).persist()
+            shelf.publish(forecast.train_forest(known, trees=10, depth=5), run)
+            known.unpersist()
+        return run_stream(source, scoring, f"{out}/checkpoint", trigger=None)
+
+    run_in_slices(sliced, out, start)
+    ranges = [
+        landed_prices.agg(F.min("price").alias("lo"), F.max("price").alias("hi")).withColumn("of", F.lit(run).cast("long"))
+        for run in range(1, RUNS)
+        for landed_prices in [spark.read.parquet(*[f"{out}/landed/{k}" for k in range(run)])]
+    ]
+    bounds = ranges[0]
+    for more in ranges[1:]:
+        bounds = bounds.unionByName(more)
+    p = F.col("prediction")
+    scored = log.current(spark).join(F.broadcast(bounds), F.col(versions.VERSION) == F.col("of"), "left")
+    return plain(scored.select(
+        "event_id", "symbol", "timestamp", versions.VERSION, p.isNotNull().alias("predicted"),
+        p.between(F.col("lo") - 1e-3, F.col("hi") + 1e-3).alias("in_range")), "timestamp")

@@ -53,6 +53,31 @@ PREDICTION_FILE = T.StructType(
     ]
 )
 
+# fixed shapes of the two result tables
+PREDICTION = T.StructType(
+    [
+        T.StructField("symbol", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("prediction", T.FloatType()),
+        T.StructField("price", T.FloatType()),
+        T.StructField("volume", T.IntegerType()),
+    ]
+)
+
+STORED_NEWS = T.StructType(
+    [
+        T.StructField("company", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("description", T.StringType()),
+        T.StructField("description_sentiment", T.FloatType()),
+        T.StructField("overall_sentiment", T.FloatType()),
+        T.StructField("sentiment_label", T.StringType()),
+        T.StructField("title", T.StringType()),
+        T.StructField("title_sentiment", T.FloatType()),
+        T.StructField("url", T.StringType()),
+    ]
+)
+
 SERVING_RECORD = T.StructType(
     [
         T.StructField("date", T.StringType()),
