@@ -27,6 +27,8 @@ BITS = 64
 K = 10
 #: Codes and queries that one task compares; both are dealt by hash, so blocks are even.
 BLOCK_CODES, BLOCK_QUERIES = 20_000, 2_000
+#: Tasks that the pairs of a block and a list of queries are dealt to.
+MAX_TASKS = 20_000
 
 
 def sign_code(vector: str = "embedding") -> Column:
@@ -54,7 +56,7 @@ def _flips(width: int, radius: int) -> np.ndarray:
 
 
 class Index:
-    """The segments' tables over one block of codes."""
+    """The segments' tables over one block of codes: the distinct values of each and the codes that have them."""
 
     def __init__(self, codes: np.ndarray, segments: int):
         self.codes = codes
@@ -64,31 +66,46 @@ class Index:
             mask = np.uint64((1 << (high - low)) - 1)
             values = (codes >> np.uint64(low)) & mask
             order = np.argsort(values, kind="stable")
-            self.parts.append((np.uint64(low), mask, high - low, values[order], order))
+            distinct, begins = np.unique(values[order], return_index=True)
+            self.parts.append((np.uint64(low), mask, high - low, distinct, np.append(begins, len(codes)), order))
 
-    def search(self, query: np.uint64, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of codes among which are all of the ``k`` nearest rows' codes.
+    def _at_radius(self, part: tuple, query: np.uint64, radius: int) -> np.ndarray:
+        """Places of the codes whose segment differs from the query's in ``radius`` bits.
+
+        The values that differ so are looked up, or the distinct values there
+        are compared, whichever are fewer.
+        """
+        low, mask, width, distinct, begins, order = part
+        if radius > width:
+            return np.empty(0, "i8")
+        value = (query >> low) & mask
+        if math.comb(width, radius) < len(distinct):
+            probes = value ^ _flips(width, radius)
+            found = np.minimum(np.searchsorted(distinct, probes), len(distinct) - 1)
+            found = found[distinct[found] == probes]
+        else:
+            found = np.flatnonzero(np.bitwise_count(distinct ^ value) == radius)
+        sizes = begins[found + 1] - begins[found]
+        shift = np.repeat(begins[found] - np.cumsum(sizes) + sizes, sizes)
+        return order[shift + np.arange(sizes.sum())]
+
+    def search(self, query: np.uint64, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places and distances of codes among which are all of the ``k`` nearest rows' codes, and the last radius.
 
         ``wanted`` has the rows of each code. The radius grows while fewer than
-        ``k`` rows lie within the distance that is covered; when the next radius
-        would probe more values than there are codes, all codes are compared.
+        ``k`` rows lie within the distance that is covered, at most to the width
+        of a segment, when all codes have been met.
         """
-        met: list[np.ndarray] = []
-        for radius in range(BITS):
-            flips = [_flips(width, radius) if radius <= width else np.empty(0, "u8") for _, _, width, _, _ in self.parts]
-            if sum(map(len, flips)) > len(self.codes):
-                break
-            for (low, mask, _, values, order), flip in zip(self.parts, flips):
-                probes = ((query >> low) & mask) ^ flip
-                lo, hi = np.searchsorted(values, probes, "left"), np.searchsorted(values, probes, "right")
-                met += [order[x:y] for x, y in zip(lo[hi > lo], hi[hi > lo])]
-            at = np.unique(np.concatenate(met)) if met else np.empty(0, "i8")
-            distance = np.bitwise_count(self.codes[at] ^ query).astype("i4")
+        at, distance, radius = np.empty(0, "i8"), np.empty(0, "i4"), 0
+        for radius in range(max(width for _, _, width, *_ in self.parts) + 1):
+            met = np.unique(np.concatenate([self._at_radius(part, query, radius) for part in self.parts]))
+            new = np.setdiff1d(met, at, assume_unique=True)
+            at = np.concatenate([at, new])
+            distance = np.concatenate([distance, np.bitwise_count(self.codes[new] ^ query).astype("i4")])
             covered = len(self.parts) * (radius + 1) - 1
             if wanted[at[distance <= covered]].sum() >= k:
-                return at, distance
-            met = [at]
-        return np.arange(len(self.codes)), np.bitwise_count(self.codes ^ query).astype("i4")
+                break
+        return at, distance, radius
 
 
 def nearest(codes: DataFrame, queries: DataFrame, k: int = K, segments: int | None = None) -> DataFrame:
@@ -117,7 +134,7 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, segments: int | No
         F.collect_list("e.code").alias("codes"), F.collect_list("e.first").alias("firsts"), F.collect_list("e.n").alias("ns"))
     lists = asked.groupBy(F.pmod(F.xxhash64("q", F.lit(1)), F.lit(query_blocks)).alias("part")).agg(
         F.collect_list("q").alias("qs")).select(
-        "qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+        "part", "qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +144,7 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, segments: int | No
                 table = Index(codes_.view("u8"), segments or segments_for(len(codes_)))
                 out: list[list[np.ndarray]] = [[], [], [], []]
                 for q in qs.view("u8"):
-                    at, distance = table.search(q, ns, k + 1)
+                    at, distance, _ = table.search(q, ns, k + 1)
                     order = np.lexsort((codes_[at], firsts[at], distance))[: k + 1]
                     for column, x in zip(out, (np.full(len(order), q), codes_[at[order]], distance[order], firsts[at[order]])):
                         column.append(x)
@@ -138,7 +155,9 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, segments: int | No
 
     # Codes are ranked by distance and least id: a row among the k + 1 best has a code among the k + 1 best, and
     # k + 1 rows leave k for a query that is one of them.
-    best = index.join(lists.hint("merge"), "block").select("codes", "firsts", "ns", "qs").mapInArrow(
+    # Adaptive execution would put small blocks together into one task, so the number of partitions is given.
+    pairs = index.join(lists.hint("merge"), "block").repartition(min(blocks * query_blocks, MAX_TASKS), "block", "part")
+    best = pairs.select("codes", "firsts", "ns", "qs").mapInArrow(
         run, "q long, code long, distance int, first long")
     order = Window.partitionBy("q").orderBy("distance", "first", "code")
     found = best.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= k + 1)

@@ -175,3 +175,25 @@ SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DES
 FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
 QUALIFY part = 'pair' OR rank <= 10
 """
+
+TWINS["op2_chat_formatting"] = r"""
+WITH own(said) AS (VALUES ('</s>[INST] ok [/INST]')),
+turns AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', said FROM own
+  UNION ALL SELECT -1, 1, 'assistant', said FROM own),
+messages AS (SELECT *, coalesce(r, '') AS role, coalesce(t, '') AS text FROM turns),
+sized AS (
+  SELECT *, list_sum(list_transform(
+      [text, role], lambda s: length(s) + (length(s) - length(replace(s, '\', ''))) + 3 * list_sum(list_transform(
+        ['<|im_start|>', '<|im_end|>', '<|endoftext|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+        lambda c: (length(s) - length(replace(s, c, ''))) // length(c)))))
+    + 3 * (length(role) - length(replace(role, chr(10), ''))) + length('<|im_start|>' || '<|im_end|>') + 2 AS chars
+  FROM messages)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

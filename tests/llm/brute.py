@@ -153,3 +153,46 @@ def divergence(docs, least=10, top=10):
                 found.sort(key=lambda r: (-r[1], r[0].encode()))
                 out += [(lang, s, part, item, v, i + 1) for i, (item, v) in enumerate(found[:most])]
     return out
+
+
+# -- shards
+
+
+def column_hash(*values):
+    """Spark's xxhash64 over (kind, value) pairs of longs ``q`` and ints ``i``; nulls leave the hash as it is."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for kind, value in values:
+        if value is not None:
+            h = xxhash.xxh64_intdigest(struct.pack(f"<{kind}", value), seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def place_of(number, n, seed=7, rounds=6):
+    """Where the shuffle puts a row number: halves of a by b places, walked until inside."""
+    a = next(x for x in range(n + 1) if x * x >= n)
+    b = -(-n // a)
+    while True:
+        left, right = divmod(number, b)
+        for i in range(rounds):
+            width = b if i % 2 else a
+            left, right = right, (left + column_hash(("q", right), ("i", seed), ("i", i)) % width) % width
+        number = left * b + right
+        if number < n:
+            return number
+
+
+def shard_table(keys, shards, buckets, seed=7):
+    """Shard and slot of rows of longs, one after the other."""
+    def order(row):
+        values = [("q", v) for v in row]
+        return (column_hash(*values) % buckets, column_hash(("i", 1), *values), [(v is not None, v or 0) for v in row])
+
+    out = []
+    for number, row in enumerate(sorted(keys, key=order)):
+        place = place_of(number, len(keys), seed)
+        out.append((*row, place % shards, place // shards))
+    return out

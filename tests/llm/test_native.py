@@ -43,6 +43,14 @@ def test_shards_do_not_depend_on_files_or_order(documents):
     assert sorted(map(tuple, one)) != sorted(map(tuple, shards.shard_rows(keys, 5, seed=8).collect()))
 
 
+def test_shards_equal_the_plain_ones(documents, odd):
+    for docs in (documents, odd.select("doc_id", "text")):
+        keys = shards.text_keys(docs)
+        got = sorted((tuple(r) for r in shards.shard_rows(keys, 24).collect()), key=repr)
+        want = brute.shard_table([tuple(r) for r in keys.collect()], 24, shards.MIN_BUCKETS)
+        assert got == sorted(want, key=repr)
+
+
 def test_shards_of_odd_rows(odd, none):
     got = shards.shard_rows(shards.text_keys(odd), 3).collect()
     assert len(got) == odd.count() and sorted(r.slot * 3 + r.shard for r in got) == list(range(len(got)))

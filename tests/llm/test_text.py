@@ -324,6 +324,41 @@ def test_neighbours_are_exact(spark):
     assert {q: [d * 10**6 + i for d, i in x] for q, x in got.items()} == want
 
 
+def _close_codes(seed, count):
+    pick = random.Random(seed)
+    base = [pick.getrandbits(64) for _ in range(40)]
+    return np.array([pick.choice(base) ^ sum(1 << b for b in pick.sample(range(64), pick.randint(0, 9))) for _ in range(count)], "u8")
+
+
+@pytest.mark.parametrize("count", [1, 2, 30, 3000])
+@pytest.mark.parametrize("k", [1, 10])
+def test_radius_grows_as_far_as_needed(count, k):
+    """The k nearest are met, and a radius less would not have covered the last of them."""
+    codes = np.unique(_close_codes(8, count))
+    index, wanted, radii = hamming.Index(codes, hamming.segments_for(len(codes))), np.ones(len(codes), "i8"), []
+    for query in [*codes[:40], *_close_codes(9, 40)]:
+        at, distance, radius = index.search(query, wanted, k)
+        every = np.sort(np.bitwise_count(codes ^ query).astype("i4"))
+        assert len(set(at)) == len(at) and (np.sort(distance)[:k] == every[:k]).all()
+        if len(codes) >= k and radius:
+            assert every[k - 1] > len(index.parts) * radius - 1
+        radii.append((radius, len(at)))
+    if count == 3000 and k == 10:
+        assert sum(r == 1 for r, _ in radii) > 5 and sum(r > 1 for r, _ in radii) > 5
+        assert sum(n for _, n in radii) < 0.5 * len(radii) * len(codes)
+
+
+def test_blocks_of_codes_and_queries_are_tasks_of_their_own(spark, monkeypatch):
+    codes = spark.createDataFrame([(i, int(c) - 2**63) for i, c in enumerate(_close_codes(2, 600))], "id long, code long")
+    queries = codes.filter("id % 5 = 0")
+    whole = sorted(tuple(r) for r in hamming.nearest(codes, queries).collect())
+    monkeypatch.setattr(hamming, "BLOCK_CODES", 70)
+    monkeypatch.setattr(hamming, "BLOCK_QUERIES", 50)
+    cut = hamming.nearest(codes, queries)
+    assert sorted(tuple(r) for r in cut.collect()) == whole and len(whole) == 1200
+    assert "REPARTITION_BY_NUM" in cut._jdf.queryExecution().toString()
+
+
 def test_codes_of_few_and_odd_vectors(spark):
     rows = [(0, [1.0, -1.0]), (1, [1.0, float("nan")]), (2, None), (3, []), (50, [-1.0, None])]
     frame = spark.createDataFrame(rows, "id long, embedding array<float>").select("id", hamming.sign_code().alias("code"))
