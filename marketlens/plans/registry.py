@@ -6,6 +6,7 @@ from marketlens.plans import (  # noqa: F401
     ingest_queries,
     model_queries,
     news_queries,
+    raw_queries,
     serving_queries,
     stream_queries,
     tick_queries,
