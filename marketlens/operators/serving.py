@@ -43,7 +43,7 @@ def join_latest_sentiment(
 ) -> DataFrame:
     """Predictions with their company's newest score, 0 for a company without news."""
     newest = latest_sentiment(news, ts, ties, score).withColumnRenamed("company", "symbol")
-    return _or_zero(lookup_join(predictions, newest, ["symbol"]), predictions)
+    return or_zero(lookup_join(predictions, newest, ["symbol"]), predictions)
 
 
 def join_daily_sentiment(
@@ -55,7 +55,7 @@ def join_daily_sentiment(
         F.avg(score).alias("sentiment")
     )
     dated = predictions.withColumn("date", C.utc_day(ts))
-    return _or_zero(lookup_join(dated, daily, ["symbol", "date"]), dated)
+    return or_zero(lookup_join(dated, daily, ["symbol", "date"]), dated)
 
 
 def join_sentiment_asof(
@@ -95,7 +95,8 @@ def join_sentiment_asof(
     return carried.filter(F.col("__side") == 1).select("__bar.*", F.col("__latest").alias("sentiment"))
 
 
-def _or_zero(joined: DataFrame, left: DataFrame) -> DataFrame:
+def or_zero(joined: DataFrame, left: DataFrame) -> DataFrame:
+    """The columns of ``left`` and the sentiment, 0 where there is none."""
     return joined.select(*left.columns, C.number_or_zero("sentiment").alias("sentiment"))
 
 

@@ -24,7 +24,7 @@ from marketlens.plans.views import (
     ticks,
 )
 from marketlens.session import shared_path
-from marketlens.sources import landed
+from marketlens.sources import landed, layout
 
 KEY = ("doc_id",)
 _ROW = "l_orderkey, l_linenumber, l_partkey"
@@ -249,6 +249,37 @@ def serve_market_data(spark, sf_dir):
     return rounded(served(spark, sf_dir), _SERVED_ROUNDED).drop("timestamp")
 
 
+def _layout(spark, sf_dir):
+    """Bars and newest scores in the serving layout, two parts a symbol."""
+    path = shared_path(spark, "layout")
+    tables = layout.ServingLayout(spark, path, path.rsplit("/", 1)[1].replace("-", "_"), buckets=8, parts=2)
+    tables.write_predictions(bars(spark, sf_dir), ties=BAR_TIES)
+    tables.write_sentiment(company_scores(spark, sf_dir), "published_at", KEY)
+    return tables
+
+
+@query(
+    "serve_market_data_bucketed",
+    f"""WITH {_SERVED_SQL} SELECT {_SERVED_COLUMNS},
+    "rawPrediction" * 1 + sentiment * 0.0 AS "finalPrediction" FROM served""",
+)
+def serve_market_data_bucketed(spark, sf_dir):
+    """As serve_market_data, from tables that join without an exchange."""
+    keep = ("l_orderkey", "l_linenumber", "l_partkey")
+    return rounded(serving.serving_records(_layout(spark, sf_dir).joined(), keep=keep), _SERVED_ROUNDED)
+
+
+@query(
+    "serve_symbol_bucketed",
+    f"""WITH {_SERVED_SQL} SELECT {_SERVED_COLUMNS},
+    "rawPrediction" * 1 + sentiment * 0.0 AS "finalPrediction" FROM served WHERE symbol = 'S7'""",
+)
+def serve_symbol_bucketed(spark, sf_dir):
+    """The serving records of one symbol, from the buckets of its parts."""
+    keep = ("l_orderkey", "l_linenumber", "l_partkey")
+    return rounded(serving.serving_records(_layout(spark, sf_dir).joined_of("S7"), keep=keep), _SERVED_ROUNDED)
+
+
 @query(
     "blend_linear",
     f"""WITH {_SERVED_SQL} SELECT {_SERVED_COLUMNS},
