@@ -116,18 +116,32 @@ def latest_predictions(
     )
 
 
+def train_on_early(
+    features: DataFrame, ts: str = "timestamp", ties: Sequence[str] = (), label: str = "price",
+    trees: int = TREES, depth: int = DEPTH, seed: int = 17,
+) -> tuple[PipelineModel, DataFrame] | None:
+    """A model of the early rows of a feature table, and all its rows with ``is_train``.
+
+    None when the table does not pass the training gate. The training reads
+    its rows several times and others are read later, so they stay persisted
+    until ``release_measured``.
+    """
+    if not has_enough_rows(features):
+        return None
+    marked = hold(spread_evenly(split_by_time(features, ts, ties), ["symbol", ts, *ties]))
+    return train_forest(marked.filter("is_train"), label, trees=trees, depth=depth, seed=seed), marked
+
+
 def train_and_score(
     features: DataFrame, ts: str = "timestamp", ties: Sequence[str] = (), label: str = "price",
     trees: int = TREES, depth: int = DEPTH, seed: int = 17,
 ) -> DataFrame | None:
     """Train on the early rows of a feature table and score the rest.
 
-    None when the table does not pass the training gate. Only the held-out
-    rows come back. The training reads its rows several times and the held-out
-    ones are read later, so they stay persisted until ``release_measured``.
+    As :func:`train_on_early`; only the held-out rows come back.
     """
-    if not has_enough_rows(features):
+    trained = train_on_early(features, ts, ties, label, trees, depth, seed)
+    if trained is None:
         return None
-    marked = hold(spread_evenly(split_by_time(features, ts, ties), ["symbol", ts, *ties]))
-    model = train_forest(marked.filter("is_train"), label, trees=trees, depth=depth, seed=seed)
+    model, marked = trained
     return score(model, marked.filter("NOT is_train")).drop("is_train")

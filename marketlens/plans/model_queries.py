@@ -26,19 +26,18 @@ _SLACK = 1e-9
 
 
 def held_out(spark, sf_dir):
-    table = hold(features.feature_table(ticks(spark, sf_dir), ties=TIES))
-    return forecast.train_and_score(table, ties=TIES)
+    return _scored_with_range(spark, sf_dir)[0]
 
 
-def _training_range(spark, sf_dir):
-    """The least and greatest price of the training rows, as one struct."""
-    table = features.feature_table(ticks(spark, sf_dir), ties=TIES)
-    train = forecast.split_by_time(table, ties=TIES).filter("is_train")
-    return train.agg(F.struct(F.min("price").alias("lo"), F.max("price").alias("hi"))).scalar()
+def _scored_with_range(spark, sf_dir):
+    """The scored held-out rows, and the least and greatest price of the training rows as one struct."""
+    table = hold(features.feature_table(ticks(spark, sf_dir), ties=TIES))
+    model, marked = forecast.train_on_early(table, ties=TIES)
+    scored = forecast.score(model, marked.filter("NOT is_train")).drop("is_train")
+    return scored, marked.filter("is_train").agg(F.struct(F.min("price").alias("lo"), F.max("price").alias("hi"))).scalar()
 
 
-def _shown(scored, spark, sf_dir, slack, *names):
-    bounds = _training_range(spark, sf_dir)
+def _shown(scored, bounds, slack, *names):
     p = F.col("prediction")
     return scored.select(
         *names,
@@ -72,7 +71,8 @@ def train_forest(spark, sf_dir):
 )
 def score_forest(spark, sf_dir):
     """Every held-out row has a prediction within the range of the training prices."""
-    return _shown(held_out(spark, sf_dir), spark, sf_dir, _SLACK, "event_id", "symbol", "timestamp", "price")
+    scored, bounds = _scored_with_range(spark, sf_dir)
+    return _shown(scored, bounds, _SLACK, "event_id", "symbol", "timestamp", "price")
 
 
 @query("forest_predictions")
@@ -88,9 +88,10 @@ def forest_predictions(spark, sf_dir):
 )
 def stock_job(spark, sf_dir):
     """Rows the stock job stores for one batch, of single precision."""
-    stored = upsert.prediction_rows(jobs.stock_result(held_out(spark, sf_dir)).scored)
+    scored, bounds = _scored_with_range(spark, sf_dir)
+    stored = upsert.prediction_rows(jobs.stock_result(scored).scored)
     as_double = stored.withColumn("price", F.col("price").cast("double"))
-    return _shown(as_double, spark, sf_dir, 1e-3, "symbol", "timestamp", "price", "volume")
+    return _shown(as_double, bounds, 1e-3, "symbol", "timestamp", "price", "volume")
 
 
 @query(
