@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from marketlens import schemas, session
 from marketlens.operators import features, forecast, upsert
-from marketlens.plans.stream_queries import _FEATURES, _STORED_NEWS
+from marketlens.plans.stream_queries import _FEATURES
 from marketlens.sources import landed, topics
 from marketlens.streaming import incremental, jobs, windows
 from marketlens.streaming.runner import run_stream
@@ -172,7 +172,7 @@ def test_prediction_files(spark, tmp_path):
 
 def test_news_handler(spark, tmp_path):
     lexicon = spark.createDataFrame([("good", 0.5, 0.6)], schemas.LEXICON)
-    log = upsert.VersionedLog(str(tmp_path / "log"), _STORED_NEWS, ["company", "url"])
+    log = upsert.VersionedLog(str(tmp_path / "log"), schemas.STORED_NEWS, ["company", "url"])
     seen = []
     handle = jobs.news_handler(
         lexicon, log, lambda r, i: seen.append((rows(r.companies), r.positive.count(), r.negative.count())), ("url",)
@@ -225,7 +225,7 @@ def test_handlers_accept_empty_batches(spark, tmp_path):
     log = upsert.VersionedLog(str(tmp_path / "log"), PREDICTION, ["symbol", "timestamp"])
     jobs.training_handler(log)(bars(spark, ("A", 0)).limit(0), 0)
     lexicon = spark.createDataFrame([("good", 0.5, 0.6)], schemas.LEXICON)
-    stored = upsert.VersionedLog(str(tmp_path / "news"), _STORED_NEWS, ["company", "url"])
+    stored = upsert.VersionedLog(str(tmp_path / "news"), schemas.STORED_NEWS, ["company", "url"])
     empty = spark.createDataFrame([], schemas.NEWS)
     jobs.news_handler(lexicon, stored, extra=("url",))(empty, 0)
     stream = handler(spark, tmp_path)
