@@ -46,6 +46,16 @@ def test_tables(spark, spread):
     assert rows(joined.serve(bars, news.limit(0), "1 hour").select("sentiment").distinct()) == [(None,)]
 
 
+def test_many_articles_in_the_interval_make_no_pairs(spark):
+    """Times across 1970, on the interval's and the slots' borders, and copies; no plan that pairs bars with all articles before them."""
+    bars = [(i, "AB"[i % 2], dt.datetime(1969, 12, 30) + dt.timedelta(minutes=i * 15 % 6000), float(i)) for i in range(500)]
+    news = [(i, "A" if i % 3 else "B", dt.datetime(1969, 12, 31) + dt.timedelta(minutes=i * 45 % 2000), i / 7) for i in range(200)]
+    for spread in (1, 4):
+        got = joined.serve(*frames(spark, bars + bars[:9], news), "9 hours", news_ties=["n"], spread=spread)
+        assert rows(got) == plain(bars, news, 9)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_restarted_streams_equal_the_tables_and_drop_their_state(spark, tmp_path):
     bars = [(i, "AB"[i % 2], hours(i), float(i)) for i in range(48)]
     news = [(i, "AB"[i // 2 % 2], hours(1.5 * i), i / 100) for i in range(32)]
