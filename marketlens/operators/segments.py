@@ -11,6 +11,9 @@ Rows that the order columns do not tell apart cannot be cut. Where such copies
 exceed the limit, they are first counted (map tasks combine them), a few stand
 for all in the window, and the result is repeated by the count.
 
+Where only positions are asked for, large keys are not cut but sorted in ranges
+over all tasks, which takes one sort whatever the values (:func:`number_rows`).
+
 Looking for large keys costs one count per key; only if there are any, a second
 pass takes the ranges of their order columns. What reaches the driver is one
 row per over-full key or segment, and ``MAX_SEGMENTS`` bounds their number
@@ -28,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketlens.operators.lookup import hold
+
 ROWS_PER_SEGMENT = 4_000_000
 MAX_SEGMENTS = 200_000
 
@@ -40,6 +45,8 @@ MARK = "__mark"
 _LOWEST, _HIGHEST = -1e300, 1e300
 #: Bytes of a text that one position holds.
 _PIECE = 6
+#: Rows of one range of :func:`number_rows`.
+_ROWS_PER_RANGE = 100_000
 
 
 @dataclass(frozen=True)
@@ -341,53 +348,76 @@ def with_preceding_rows(seg: Segmented, count: int) -> DataFrame:
 
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str = "rank", size: str = "size",
-    rows_per_segment: int = ROWS_PER_SEGMENT,
+    rows_per_segment: int = ROWS_PER_SEGMENT, without: Sequence[str] = (),
 ) -> DataFrame:
-    """Add the position of each row within its key (from 1) and the key's row count."""
-    columns = df.columns
-    seg = split_large_keys(df, keys, order, rows_per_segment)
-    if seg.crowded:
-        df = collapse_copies(df)
-        seg = split_large_keys(df, keys, copy_order(df.select(*columns), order), rows_per_segment)
-    # a row's rank is that of the last copy it stands for
-    weight = F.col(COPIES) if COPIES in df.columns else F.lit(1).cast("long")
-    upto = seg.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = seg.frame.select(
-        "*",
-        F.sum(weight).over(upto).alias(rank),
-        F.sum(weight).over(Window.partitionBy(*seg.keys, SEGMENT)).alias(size),
-    )
-    if seg.split:
-        numbered = _with_offsets(seg, numbered, weight, rank, size)
-    if COPIES not in df.columns:
-        return numbered.select(*columns, rank, size)
-    each = F.sequence(F.col(rank) - F.col(COPIES) + 1, F.col(rank))
-    return numbered.withColumn(rank, F.explode(each)).select(*columns, rank, size)
+    """Add the position of each row within its key (from 1) and the key's row count.
 
-
-def _with_offsets(seg: Segmented, numbered: DataFrame, weight: Column, rank: str, size: str) -> DataFrame:
-    """Ranks and sizes within segments as ranks and sizes within keys."""
-    # one row per segment of a split key, bounded by MAX_SEGMENTS
-    start = F.struct(*seg.order)
-    pieces = (
-        seg.frame.filter(F.col(SEGMENT) > 0)
-        .groupBy(*seg.keys, SEGMENT)
-        .agg(F.sum(weight).alias("__rows"), F.min(start).alias("__start"))
-    )
-    earlier = Window.partitionBy(*seg.keys).orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    Rows of keys above the limit are sorted once over all tasks, in ranges of
+    key and order; a position is that in its range plus the key's rows in the
+    ranges before. ``without`` are columns that the result does not need, long
+    texts of the order for instance; they are not kept.
+    """
+    columns = [c for c in df.columns if c not in without]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    total, largest, least = sizes.agg(F.sum("__rows"), F.max("__rows"), F.min("__rows")).first()
+    limit = max(rows_per_segment, math.ceil((total or 0) / MAX_SEGMENTS))
+    if (largest or 0) <= limit:
+        return _number_within(df, keys, order, columns, rank, size)
+    # each stands for more than total / MAX_SEGMENTS rows, so there are fewer than MAX_SEGMENTS
+    over = hold(sizes.filter(F.col("__rows") > limit).select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]))
+    numbered = _number_across(df.join(F.broadcast(over), _same_key(keys), "left_semi"), keys, order, columns, rank, size, limit)
+    if least > limit:
+        return numbered
+    small = df.join(F.broadcast(over), _same_key(keys), "left_anti")
+    return numbered.unionByName(_number_within(small, keys, order, columns, rank, size))
+
+
+def _same_key(keys: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)])
+
+
+def _number_within(df: DataFrame, keys, order, columns, rank: str, size: str) -> DataFrame:
+    whole = Window.partitionBy(*keys)
+    position = F.row_number().over(whole.orderBy(*order)).cast("long")
+    return df.select(*columns, position.alias(rank), F.count(F.lit(1)).over(whole).alias(size))
+
+
+def _number_across(df: DataFrame, keys, order, columns, rank: str, size: str, limit: int) -> DataFrame:
+    """As :func:`number_rows`, for keys that are too much for one task."""
+    # rows alike in their order go to one range; the hash stands for texts, and one hash for two at worst counts too many
+    alike = df.groupBy(F.xxhash64(*keys, *order)).agg(F.count(F.lit(1)).alias("__rows"))
+    rows, most = alike.agg(F.sum("__rows"), F.max("__rows")).first()
+    crowded = most > limit
+    if crowded:
+        names = df.columns
+        df = collapse_copies(df)
+        order = copy_order(df.select(*names), order)
+    # few ranges for few rows: Spark samples values of the order for each
+    ranges = max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / _ROWS_PER_RANGE))
+    in_order = df.repartitionByRange(ranges, *keys, *order).sortWithinPartitions(*keys, *order)
+    kept = [*columns, *[COPIES] * crowded]
+    # held, as the borders of the ranges may be others in another run; the number has the range above bit 33
+    placed = hold(in_order.select(*kept, F.monotonically_increasing_id().alias("__place"))).withColumn("__range", F.shiftright("__place", 33))
+    weight = F.col(COPIES) if crowded else F.lit(1).cast("long")
+    # a row per range and one more per key at most
+    pieces = placed.groupBy(*keys, "__range").agg(F.sum(weight).alias("__n"), F.min("__place").alias("__first"))
+    of_key = Window.partitionBy(*keys)
+    earlier = of_key.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(
-        *[F.col(k).alias(f"__key{i}") for i, k in enumerate(seg.keys)],
-        F.col(SEGMENT).alias("__from"),
-        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"),
-        F.sum("__rows").over(Window.partitionBy(*seg.keys)).alias("__total"),
-    )
-    same_key = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(seg.keys)]
-    match = reduce(Column.__and__, [*same_key, F.col(SEGMENT) == F.col("__from")])
-    return numbered.join(F.broadcast(offsets), match, "left").select(
-        *[c for c in numbered.columns if c not in (rank, size)],
-        (F.col(rank) + F.coalesce("__offset", F.lit(0))).alias(rank),
-        F.coalesce("__total", F.col(size)).alias(size),
+        *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
+        F.col("__range").alias("__from"),
+        "__first",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"),
+        F.sum("__n").over(of_key).alias("__total"),
     )
+    joined = placed.join(F.broadcast(offsets), _same_key(keys) & (F.col("__range") == F.col("__from")))
+    upto = F.col("__place") - F.col("__first") + 1
+    if crowded:  # a row's rank is that of the last copy it stands for
+        upto = F.sum(weight).over(Window.partitionBy(*keys, "__range").orderBy("__place"))
+    numbered = joined.withColumn(rank, upto + F.col("__offset")).withColumn(size, F.col("__total"))
+    if crowded:
+        numbered = numbered.withColumn(rank, F.explode(F.sequence(F.col(rank) - F.col(COPIES) + 1, F.col(rank))))
+    return numbered.select(*columns, rank, size)
 
 
 def carry_forward(

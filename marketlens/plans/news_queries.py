@@ -202,4 +202,5 @@ def window_sentiment(spark, sf_dir):
 def rank_articles_by_text(spark, sf_dir):
     """Articles of a company in the order of their texts; companies with many are cut along the texts."""
     texts = news(spark, sf_dir).select("company", "doc_id", "description")
-    return number_rows(texts, ["company"], ["description", "doc_id"], size="articles", rows_per_segment=10).drop("description")
+    return number_rows(
+        texts, ["company"], ["description", "doc_id"], size="articles", rows_per_segment=10, without=["description"])

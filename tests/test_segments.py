@@ -203,6 +203,22 @@ def test_keys_are_cut_by_a_text(spark):
         assert seg.frame.groupBy("symbol", segments.SEGMENT).count().agg(F.max("count")).first()[0] <= 10, name
 
 
+def test_numbers_take_one_sort_whatever_the_texts(spark):
+    """Texts that begin alike and copies of them cost no round of cuts each; small keys are beside large ones."""
+    made = [("A", "ab" * (i % 250)) for i in range(500)] + [(None, "x" * 90 + str(i)) for i in range(70)] + [("B", "b")] * 3
+    df = spark.createDataFrame([(s, t, i) for i, (s, t) in enumerate(made)], "symbol string, url string, id long")
+    w = Window.partitionBy("symbol")
+    want = rows(df.select("symbol", "id", F.row_number().over(w.orderBy("url", "id")), F.count("*").over(w)))
+    spark.sparkContext.setJobGroup("numbers", "numbers")
+    try:
+        got = segments.number_rows(df, ["symbol"], ["url", "id"], rows_per_segment=5, without=["url"])
+        assert got.columns == ["symbol", "id", "rank", "size"]
+        assert rows(got) == want
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("numbers")) < 25
+    finally:
+        spark.sparkContext.setJobGroup("default", "default")
+
+
 def test_documents_in_the_default_order_cut_a_hot_symbol(spark):
     from marketlens.sources import landed
 
