@@ -250,10 +250,11 @@ def serve_market_data(spark, sf_dir):
 
 
 def _layout(spark, sf_dir):
-    """Bars and newest scores in the serving layout, two parts a symbol."""
-    path = shared_path(spark, "layout")
-    tables = layout.ServingLayout(spark, path, path.rsplit("/", 1)[1].replace("-", "_"), buckets=8, parts=2)
-    tables.write_predictions(bars(spark, sf_dir), ties=BAR_TIES)
+    """Bars and newest scores in the serving layout, at least eight buckets and two parts a symbol."""
+    path, rows = shared_path(spark, "layout"), bars(spark, sf_dir)
+    buckets, parts = layout.sizes(rows, buckets=8, parts=2)
+    tables = layout.ServingLayout(spark, path, path.rsplit("/", 1)[1].replace("-", "_"), buckets, parts)
+    tables.write_predictions(rows, ties=BAR_TIES)
     tables.write_sentiment(company_scores(spark, sf_dir), "published_at", KEY)
     return tables
 

@@ -8,6 +8,7 @@ Bucketing, pruning and filters are Spark's and Parquet's own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,12 +18,26 @@ from pyspark.sql import functions as F
 from marketlens.operators import serving
 
 SLOT = "serving_slot"
+#: Rows that a bucket is to have, and the share of them that a part of a symbol may have.
+ROWS_PER_BUCKET = 1_000_000
+_PART_SHARE = 0.25
 
 
 def _slot(symbol: str, part: Column) -> Column:
     return F.concat(F.col(symbol), F.lit("#"), part.cast("string"))
 
 
+def sizes(
+    predictions: DataFrame, buckets: int = 1, parts: int = 1, rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> tuple[int, int]:
+    """Buckets for the rows and parts for the largest symbol, no fewer than those given; one count per symbol."""
+    counts = predictions.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
+    # rows without a symbol have one slot that no part spreads, as they are never read by it
+    total, largest = counts.agg(F.sum("rows"), F.max(F.when(F.col("symbol").isNotNull(), F.col("rows")))).first()
+    return (max(buckets, math.ceil((total or 0) / rows_per_bucket)),
+            max(parts, math.ceil((largest or 0) / (rows_per_bucket * _PART_SHARE))))
+
+
 def store_bucketed(
     df: DataFrame, name: str, path: str, key: str, buckets: int, sort_by: Sequence[str] = (),
     bloom: dict[str, int] | None = None,
@@ -40,7 +55,7 @@ class ServingLayout:
     """The two tables below ``path``, in the session's catalog under names that begin with ``name``.
 
     ``buckets`` is to grow with the data (some hundred MB a bucket), ``parts``
-    with the share of the largest symbol: it is cut into so many.
+    with the rows of the largest symbol: it is cut into so many (:func:`sizes`).
     """
 
     spark: SparkSession

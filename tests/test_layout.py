@@ -61,6 +61,26 @@ def test_parts_spread_a_symbol(tables, spark):
     assert rows(made.predictions()) == rows(predictions)
 
 
+def test_buckets_and_parts_grow_with_the_rows(spark, tmp_path):
+    """Four times the rows are four times the buckets, so no bucket has more; a large symbol gets more parts."""
+    most = []
+    for n in (2_000, 8_000):
+        frame = spark.range(n).select(
+            F.col("id").alias("n"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("S"), F.col("id") % 97)).otherwise("HOT").alias("symbol"),
+            F.timestamp_seconds("id").alias("timestamp"), *[F.lit(1.0).alias(c) for c in ("price", "volume", "prediction")])
+        buckets, parts = layout.sizes(frame, 2, 3, rows_per_bucket=200)
+        assert (buckets, parts) == (n // 200, n // 200)
+        made = layout.ServingLayout(spark, f"{tmp_path}/{n}", f"layout_sized_{n}", buckets, parts)
+        made.write_predictions(frame, ties=["n"])
+        made.write_sentiment(spark.createDataFrame([("HOT", T0, 0.1)], NEWS))
+        files = spark.read.parquet(f"{made.path}/predictions").groupBy(F.input_file_name()).count()
+        most.append(files.agg(F.max("count")).first()[0])
+        assert rows(made.joined_of("HOT").select("n")) == rows(frame.filter("symbol = 'HOT'").select("n"))
+        made.drop()
+    assert most[1] < 2 * most[0]
+    assert layout.sizes(frame.limit(0), 8, 2) == (8, 2) == layout.sizes(frame, 8, 2)
+
+
 def test_written_again_and_empty(spark, tmp_path):
     made = layout.ServingLayout(spark, f"{tmp_path}/t", "layout_again", buckets=3, parts=2)
     none, no_news = spark.createDataFrame([], BARS), spark.createDataFrame([], NEWS)
