@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,6 +21,8 @@ from marketlens.operators.segments import ROWS_PER_SEGMENT, number_rows
 TREES, DEPTH = 50, 10
 TRAIN_SHARE = 0.8
 _HASH_PARTS = 1000
+#: Rows of a partition that a training reads.
+ROWS_PER_PART = 500_000
 
 
 def split_by_time(
@@ -39,14 +42,15 @@ def split_by_hash(df: DataFrame, key: Sequence[str], share: float = TRAIN_SHARE)
     return df.withColumn("is_train", part < int(share * _HASH_PARTS))
 
 
-def spread_evenly(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The rows over all cores, by hash of the key.
+def spread_evenly(df: DataFrame, key: Sequence[str], rows: int | None = None) -> DataFrame:
+    """The rows over all cores, by hash of the key; ``rows`` is their number, if it is known.
 
     A feature table comes out of a shuffle by symbol, which leaves few
-    partitions; each of the many passes of a training would run on these.
+    partitions; each of the many passes of a training would run on these. On
+    more than the rows need, each partition would send statistics of all nodes.
     """
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.count() if rows is None else rows
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_PART))
     return df.repartition(parts, *key)
 
 
@@ -55,8 +59,10 @@ def train_forest(
     trees: int = TREES, depth: int = DEPTH, seed: int = 17,
 ) -> PipelineModel:
     assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    # the node of a row in each tree is kept from level to level, else every level walks all trees from their roots
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed
+        featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True,
+        checkpointInterval=-1,
     )
     # the last bar of a symbol has no next price
     return Pipeline(stages=[assemble, forest]).fit(train.filter(F.col(label).isNotNull()))
@@ -128,7 +134,7 @@ def train_on_early(
     """
     if not has_enough_rows(features):
         return None
-    marked = hold(spread_evenly(split_by_time(features, ts, ties), ["symbol", ts, *ties]))
+    marked = hold(spread_evenly(split_by_time(features, ts, ties), ["symbol", ts, *ties], features.count()))
     return train_forest(marked.filter("is_train"), label, trees=trees, depth=depth, seed=seed), marked
 
 

@@ -52,9 +52,9 @@ def _shown(scored, bounds, slack, *names):
 )
 def train_forest(spark, sf_dir):
     """The trained model's trees: a binary tree has an odd number of nodes, and is no deeper than asked for."""
-    table = features.feature_table(ticks(spark, sf_dir), ties=TIES)
+    table = hold(features.feature_table(ticks(spark, sf_dir), ties=TIES))
     marked = forecast.split_by_time(table, ties=TIES)
-    train = hold(forecast.spread_evenly(marked.filter("is_train"), ["symbol", "timestamp", *TIES]))
+    train = hold(forecast.spread_evenly(marked.filter("is_train"), ["symbol", "timestamp", *TIES], table.count()))
     model = forecast.train_forest(train)
     path = shared_path(spark, "model")
     forecast.save_model(model, path)

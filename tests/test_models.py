@@ -200,3 +200,20 @@ def test_a_batch_that_fails_keeps_its_model(spark, tmp_path):
     shelf.publish(models[1], 2)
     run(scoring)
     assert rows(log.current(spark).select("model_version", "prediction").distinct()) == [(1, 10.0)]
+
+
+def test_a_training_has_partitions_for_its_rows_and_keeps_nodes(spark, monkeypatch):
+    """Statistics of all nodes come from every partition, so their number follows the rows, not the shuffle setting."""
+    found = spark.range(1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        assert forecast.spread_evenly(found, ["id"]).rdd.getNumPartitions() == cores
+        monkeypatch.setattr(forecast, "ROWS_PER_PART", 50)
+        assert forecast.spread_evenly(found, ["id"]).rdd.getNumPartitions() == max(20, cores)
+        assert forecast.spread_evenly(found, ["id"], 5000).rdd.getNumPartitions() == 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    model = forecast.train_forest(table(spark, walk(60)), trees=2, depth=2)
+    assert model.stages[-1].getCacheNodeIds()
